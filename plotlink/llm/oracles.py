@@ -43,4 +43,18 @@ SELECT doc_id, size, text_crc32, 'rows' AS law, (pos * 16 // n)::INTEGER AS shar
        (pos - (((pos * 16 // n) * n + 15) // 16))::BIGINT AS slot, NULL::INTEGER AS grown_shard, source FROM p
 """
 
-ORACLES = {"op2_mixing": OP2_MIXING, "op3_exact_dedup": OP3_EXACT_DEDUP, "op9_sharding": OP9_SHARDING}
+OP7_NEAR_DEDUP = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+                                   ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS s FROM w),
+n AS (SELECT doc_id, len(s)::BIGINT AS n_shingles FROM s),
+x AS (SELECT doc_id, unnest(s) AS h FROM s),
+c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n_both FROM x a JOIN x b ON a.h = b.h AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+links AS (SELECT a, b FROM c JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b WHERE 100 * n_both >= 85 * (p.n_shingles + q.n_shingles - n_both)),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM n UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a)
+SELECT n.doc_id, n.n_shingles, m.component_id, n.doc_id = m.component_id AS kept
+FROM n JOIN (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a) m USING (doc_id)
+"""
+
+ORACLES = {"op2_mixing": OP2_MIXING, "op3_exact_dedup": OP3_EXACT_DEDUP, "op7_near_dedup": OP7_NEAR_DEDUP, "op9_sharding": OP9_SHARDING}
