@@ -43,6 +43,26 @@ SELECT doc_id, size, text_crc32, 'rows' AS law, (pos * 16 // n)::INTEGER AS shar
        (pos - (((pos * 16 // n) * n + 15) // 16))::BIGINT AS slot, NULL::INTEGER AS grown_shard, source FROM p
 """
 
+_CONTROL = ("<|im_start|>", "<|im_end|>", "<|endoftext|>", "<|system|>", "<|user|>", "<|assistant|>", "<|end|>", "<s>", "</s>", "<<SYS>>", "<</SYS>>", "[INST]", "[/INST]")
+
+
+def _escaped(column: str) -> str:
+    out = f"replace({column}, '&', '&amp;')"
+    for c in _CONTROL:
+        out = f"replace({out}, '{c}', '{'&lt;' if c[0] == '<' else '&#91;'}{c[1:]}')"
+    return out
+
+
+OP4_CHAT_FORMATTING = rf"""
+WITH r AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+           UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]')
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       sum(12 + length(replace({_escaped("role")}, chr(10), '&#10;')) + 1 + length({_escaped("text")}) + 11)::BIGINT AS formatted_chars
+FROM r GROUP BY conv_id
+"""
+
 OP7_NEAR_DEDUP = r"""
 WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
@@ -57,4 +77,4 @@ SELECT n.doc_id, n.n_shingles, m.component_id, n.doc_id = m.component_id AS kept
 FROM n JOIN (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a) m USING (doc_id)
 """
 
-ORACLES = {"op2_mixing": OP2_MIXING, "op3_exact_dedup": OP3_EXACT_DEDUP, "op7_near_dedup": OP7_NEAR_DEDUP, "op9_sharding": OP9_SHARDING}
+ORACLES = {"op2_mixing": OP2_MIXING, "op3_exact_dedup": OP3_EXACT_DEDUP, "op4_chat_formatting": OP4_CHAT_FORMATTING, "op7_near_dedup": OP7_NEAR_DEDUP, "op9_sharding": OP9_SHARDING}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plotlink.llm import exact_dedup, mixing, near_dedup, sharding
+from plotlink.llm import chat, exact_dedup, mixing, near_dedup, sharding
 from plotlink.llm.common import read_table
 
 
@@ -16,6 +16,10 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.dedup(read_table(spark, sf_dir, "documents"))
 
 
+def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_conversations(read_table(spark, sf_dir, "conversations"))
+
+
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(read_table(spark, sf_dir, "documents"))
 
@@ -24,4 +28,4 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_mixing, op3_exact_dedup, op7_near_dedup, op9_sharding)}
+QUERIES = {f.__name__: f for f in (op2_mixing, op3_exact_dedup, op4_chat_formatting, op7_near_dedup, op9_sharding)}
