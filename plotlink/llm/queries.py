@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plotlink.llm import chat, exact_dedup, mixing, near_dedup, sharding
+from plotlink.llm import chat, exact_dedup, langid, mixing, near_dedup, sharding
 from plotlink.llm.common import read_table
 
 
@@ -24,8 +24,12 @@ def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(read_table(spark, sf_dir, "documents"))
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_mixing, op3_exact_dedup, op4_chat_formatting, op7_near_dedup, op9_sharding)}
+QUERIES = {f.__name__: f for f in (op2_mixing, op3_exact_dedup, op4_chat_formatting, op7_near_dedup, op8_language_id, op9_sharding)}
