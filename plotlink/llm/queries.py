@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plotlink.llm import chat, exact_dedup, langid, mixing, near_dedup, sharding
+from plotlink.llm import chat, decontaminate, exact_dedup, langid, mixing, near_dedup, sharding
 from plotlink.llm.common import read_table
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_documents(read_table(spark, sf_dir, "documents"))
 
@@ -32,4 +36,4 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_mixing, op3_exact_dedup, op4_chat_formatting, op7_near_dedup, op8_language_id, op9_sharding)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_mixing, op3_exact_dedup, op4_chat_formatting, op7_near_dedup, op8_language_id, op9_sharding)}
