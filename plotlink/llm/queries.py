@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plotlink.llm import chat, decontaminate, exact_dedup, langid, mixing, near_dedup, sharding
+from plotlink.llm import chat, decontaminate, exact_dedup, langid, mixing, near_dedup, pii, sharding
 from plotlink.llm.common import read_table
 
 
@@ -36,4 +36,8 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_mixing, op3_exact_dedup, op4_chat_formatting, op7_near_dedup, op8_language_id, op9_sharding)}
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.detect(read_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_mixing, op3_exact_dedup, op4_chat_formatting, op7_near_dedup, op8_language_id, op9_sharding, op10_pii)}
