@@ -63,6 +63,19 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
 FROM r GROUP BY conv_id
 """
 
+OP6_WARC = r"""
+WITH n AS (SELECT greatest(1, (count(*) + 1999) // 2000) AS archives FROM pages),
+p AS (SELECT page_id, url, html, ('0x' || substr(md5('warc:' || coalesce(page_id::VARCHAR, 'null')), 1, 8))::BIGINT % archives AS archive,
+             ('0x' || substr(md5('damage:' || coalesce(page_id::VARCHAR, 'null')), 1, 8))::BIGINT % 50 AS fate,
+             'WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: response' || chr(13) || chr(10) || 'WARC-Record-ID: <urn:page:' || coalesce(page_id::VARCHAR, '') || '>' || chr(13) || chr(10)
+             || 'WARC-Target-URI: ' || coalesce(url, '') || chr(13) || chr(10) || 'Content-Length: ' || octet_length(encode(coalesce(html, ''))) || chr(13) || chr(10) || chr(13) || chr(10) AS head,
+             chr(13) || chr(10) || chr(13) || chr(10) AS tail FROM pages, n),
+r AS (SELECT *, head || coalesce(html, '') || tail AS rec, head || regexp_replace(coalesce(html, ''), '^[!-~]', '~') || tail AS rot FROM p),
+o AS (SELECT *, coalesce(sum(octet_length(encode(rec))) OVER (PARTITION BY archive ORDER BY page_id, url, html ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS "offset" FROM r)
+SELECT archive, "offset", page_id, CASE WHEN fate = 1 THEN 'missing' ELSE 'altered' END AS state, sha256(rec) AS expected, CASE WHEN fate = 0 THEN sha256(rot) END AS found
+FROM o WHERE fate = 1 OR (fate = 0 AND rec <> rot)
+"""
+
 OP7_NEAR_DEDUP = r"""
 WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
@@ -77,4 +90,4 @@ SELECT n.doc_id, n.n_shingles, m.component_id, n.doc_id = m.component_id AS kept
 FROM n JOIN (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a) m USING (doc_id)
 """
 
-ORACLES = {"op2_mixing": OP2_MIXING, "op3_exact_dedup": OP3_EXACT_DEDUP, "op4_chat_formatting": OP4_CHAT_FORMATTING, "op7_near_dedup": OP7_NEAR_DEDUP, "op9_sharding": OP9_SHARDING}
+ORACLES = {"op2_mixing": OP2_MIXING, "op3_exact_dedup": OP3_EXACT_DEDUP, "op4_chat_formatting": OP4_CHAT_FORMATTING, "op6_warc": OP6_WARC, "op7_near_dedup": OP7_NEAR_DEDUP, "op9_sharding": OP9_SHARDING}

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from plotlink.llm import chat, decontaminate, exact_dedup, langid, mixing, near_dedup, pii, sharding
+from plotlink.llm import chat, decontaminate, exact_dedup, langid, line_dedup, mixing, near_dedup, pii, sharding, warc
 from plotlink.llm.common import read_table
 
 
@@ -24,6 +25,14 @@ def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.format_conversations(read_table(spark, sf_dir, "conversations"))
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup_lines(read_table(spark, sf_dir, "documents"))
+
+
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.audit_pages(read_table(spark, sf_dir, "pages"))
+
+
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(read_table(spark, sf_dir, "documents"))
 
@@ -40,4 +49,5 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.detect(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_mixing, op3_exact_dedup, op4_chat_formatting, op7_near_dedup, op8_language_id, op9_sharding, op10_pii)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_mixing, op3_exact_dedup, op4_chat_formatting, op5_line_dedup, op6_warc, op7_near_dedup, op8_language_id, op9_sharding, op10_pii)}
+QUERIES["pipeline"] = corpus_pipeline.run
