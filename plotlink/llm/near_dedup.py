@@ -7,8 +7,8 @@ four registers (empty ones borrow another's, in a fixed order) are the candidate
 Copies with the same set collapse to one class first. In each band bucket every class is then paired with one
 leader only; the estimate from the registers, corrected for chance collisions, picks the most promising leaders,
 the pairs are confirmed on full sets, and components are formed. What is left are buckets that still hold several
-components: only there are pairs of different components compared, register against register in blocks, and those
-not ruled out by the estimate are confirmed on full sets. So a large group costs in proportion to its size, but for
+components: only there do blocks of members meet, with their texts, and pairs of different components that the
+estimate does not rule out are confirmed on full sets in the same task, which passes on nothing but links. So a large group costs in proportion to its size, but for
 members that lie apart, and no link between components is passed over.
 """
 
@@ -33,6 +33,8 @@ BANDS, BAND_REGISTERS = 16, 4
 SMALL_SET = 64
 #: Standard errors of the estimate that a pair may lie below the threshold and still be confirmed.
 MARGIN = 4.0
+#: How far below the threshold an estimate may lie for the pair to be tried in the first step.
+NEAR = 0.03
 #: Leaders of a class whose pairs are confirmed before components are first formed.
 LEADERS = 2
 #: Members of a block of a bucket; two blocks meet in one task.
@@ -150,23 +152,39 @@ def _rate_pairs(percent: int):
     return run
 
 
-def _cross_pairs(percent: int):
-    """Rows sorted by group: pairs of different components that the estimate does not rule out, each from the first key that the two share."""
+def _linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both > 0 and 100 * both >= percent * (len(a) + len(b) - both)
 
-    def pairs(group: list[tuple]) -> Iterator[tuple[int, int]]:
+
+def _cross_links(percent: int):
+    """Rows sorted by (key, i, j): links between different components of a pair of blocks, confirmed on full sets.
+
+    A pair is looked at where its first common key brings it, if the estimate does not rule it out and no link
+    found here has joined the two components yet.
+    """
+
+    def links(group: list[tuple]) -> Iterator[tuple[int, int]]:
         key, i, j = group[0][:3]
-        ids, comp, n = (np.array([g[k] for g in group]) for k in (4, 5, 6))
-        block = np.array([g[3] for g in group])
+        block, ids, comp, n = (np.array([g[k] for g in group]) for k in (3, 4, 5, 6))
         regs = np.frombuffer(b"".join(g[7] for g in group), np.uint16).reshape(-1, BUCKETS)
         keys = [g[8] for g in group]
+        sets: dict[int, np.ndarray] = {}
+
+        def of(k: int) -> np.ndarray:
+            if k not in sets:
+                sets[k] = _split(pa.array([group[k][9]], pa.large_string()))[0]
+            return sets[k]
+
         for x in np.flatnonzero(block == i):
             y = np.flatnonzero((block == j) & (comp != comp[x]) & ((ids > ids[x]) if i == j else True))
             y = y[_promising(regs[x][None], regs[y], n[x : x + 1], n[y], percent)] if len(y) else y
             for z in y:
-                shared = min(len(keys[x]), len(keys[z]))
-                first = next(k for k in range(shared) if keys[x][k] == keys[z][k])
-                if keys[x][first] == key:
+                if comp[x] == comp[z] or next(k for k, both in enumerate(zip(keys[x], keys[z], strict=False)) if both[0] == both[1]) != keys[x].index(key):
+                    continue
+                if _linked(of(x), of(z), percent):
                     yield (int(ids[x]), int(ids[z]))
+                    comp[comp == comp[z]] = comp[x]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group: list[tuple] = []
@@ -180,12 +198,12 @@ def _cross_pairs(percent: int):
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if group and row[:3] != group[0][:3]:
-                    found.extend(pairs(group))
+                    found.extend(links(group))
                     group = []
                 group.append(row)
             yield out()
         if group:
-            found.extend(pairs(group))
+            found.extend(links(group))
         yield out()
 
     return run
@@ -204,9 +222,7 @@ def _confirm(percent: int):
             at, good = -1, []
             for k, other in enumerate(_split(c["t_b"])):
                 at += int(fresh[k])
-                mine = sets_a[at]
-                both = len(np.intersect1d(mine, other, assume_unique=True))
-                good.append(both > 0 and 100 * both >= percent * (len(mine) + len(other) - both))
+                good.append(_linked(sets_a[at], other, percent))
             keep = pa.array(np.flatnonzero(good))
             yield pa.RecordBatch.from_arrays([c["a"].take(keep), c["b"].take(keep)], names=["a", "b"])
 
@@ -247,11 +263,13 @@ def near_duplicates(docs: DataFrame, *, percent: int = LINK_PERCENT) -> DataFram
     buckets = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min(F.struct(F.xxhash64("id", "key"), "id")).alias("lead")).where("members > 1").select("key", "members", F.col("lead.id").alias("leader"))
     members = common.stored(keyed.join(buckets, "key"), "members")
     involved = members.select("id").distinct()
-    texts = common.stored(docs.select(F.col("doc_id").alias("id"), "text").join(involved, "id", "left_semi"), "texts")
+    # Never broadcast: the ids grow with the corpus.
+    texts = common.stored(docs.select(F.col("doc_id").alias("id"), "text").join(involved.hint("merge"), "id", "left_semi"), "texts")
 
     sides = heads.select("id", F.col("n_shingles").alias("n"), "registers")
     stars = members.where("id <> leader").select(F.col("id").alias("b"), F.col("leader").alias("a")).distinct()
     rated = stars.join(sides.toDF("b", "n_b", "r_b"), "b").join(sides.toDF("a", "n_a", "r_a"), "a").select("a", "b", "n_a", "n_b", "r_a", "r_b").mapInArrow(_rate_pairs(percent), "a long, b long, rate double")
+    rated = rated.where(F.col("rate") >= percent / 100 - NEAR)
     best = F.slice(F.sort_array(F.collect_list(F.struct("rate", "a")), asc=False), 1, LEADERS)  # a class has one leader for each of its keys
     tried = rated.groupBy("b").agg(best.alias("best")).select("b", F.explode("best.a").alias("a"))
     near = common.stored(_confirmed(tried, texts, percent), "links")
@@ -262,10 +280,8 @@ def near_duplicates(docs: DataFrame, *, percent: int = LINK_PERCENT) -> DataFram
     blocks = F.ceil(F.col("members") / BLOCK).cast("int")
     rows = placed.join(mixed.select("key", blocks.alias("blocks")), "key").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "component")
-    rows = rows.join(heads, "id").select("key", "i", "j", "block", "id", "component", F.col("n_shingles").alias("n"), "registers", "keys")
-    crossed = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_cross_pairs(percent), "a long, b long")
-    crossed = common.stored(crossed.distinct(), "cross-pairs")
-    far = _confirmed(crossed, texts, percent)
+    rows = rows.join(heads, "id").join(texts, "id").select("key", "i", "j", "block", "id", "component", F.col("n_shingles").alias("n"), "registers", "keys", "text")
+    far = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_cross_links(percent), "a long, b long")
     comp = common.stored(components(comp.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(far)), "components")
 
     whole = sketches.select("doc_id", *same).join(classes.where("copies > 1").select(*same, "rep"), same, "left").select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep"))
