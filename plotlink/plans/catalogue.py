@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from plotlink.plans import matching_queries
+from plotlink.plans import matching_queries, text_queries
 
-_MODULES = (matching_queries,)
+_MODULES = (matching_queries, text_queries)
 QUERIES = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
 ORACLES = {k: s for m in _MODULES for k, s in m.ORACLES.items()}
