@@ -11,6 +11,8 @@ turn and the original comes back exactly.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -67,20 +69,25 @@ def paths(messages: DataFrame, best: int = 1) -> DataFrame:
     known = base.join(ids.withColumn("has", F.lit(True)), ["t", "parent"], "left").withColumn("parent", F.when(F.col("has"), F.col("parent"))).drop("has")
     # jump: the ancestor 2^k steps up (null beyond the root); depth and total cover the steps taken so far.
     links = common.stored(known.select("t", "tree", "node", F.col("parent").alias("jump"), F.when(F.col("parent").isNull(), 0).otherwise(1).cast("long").alias("depth"), "score", F.col("score").alias("total")), "tree-links")
-    levels = [links.select("t", "node", "jump")]
-    while not links.where("jump is not null").isEmpty():
+    # Only messages that have not reached their root take part in a round: of short trees nothing is left after a few.
+    open_, settled, levels = links.where("jump is not null"), [links.where("jump is null")], []
+    while not open_.isEmpty():
+        if len(levels) > 40:
+            raise ValueError("parents form a cycle")
+        levels.append(open_.select("t", "node", "jump"))
         up = links.select("t", F.col("node").alias("jump"), F.col("jump").alias("u_jump"), F.col("depth").alias("u_depth"), F.col("total").alias("u_total"))
-        stepped = links.join(up, ["t", "jump"], "left")
-        links = stepped.select("t", "tree", "node", F.col("u_jump").alias("jump"), (F.col("depth") + F.coalesce("u_depth", F.lit(0))).alias("depth"), "score", (F.col("total") + F.coalesce("u_total", F.lit(0.0))).alias("total"))
-        links = common.stored(links, "tree-links")
-        levels.append(links.select("t", "node", "jump"))
+        stepped = open_.join(up, ["t", "jump"]).select("t", "tree", "node", F.col("u_jump").alias("jump"), (F.col("depth") + F.col("u_depth")).alias("depth"), "score", (F.col("total") + F.col("u_total")).alias("total"))
+        stepped = common.stored(stepped, "tree-links")
+        settled.append(stepped.where("jump is null"))
+        open_ = stepped.where("jump is not null")
+        links = functools.reduce(DataFrame.unionByName, [*settled, open_])
     leaves = links.join(known.where("parent is not null").select("t", F.col("parent").alias("node")).distinct(), ["t", "node"], "left_anti")
     order = Window.partitionBy("t").orderBy((F.col("total") / (F.col("depth") + 1)).desc(), "node")
     chosen = leaves.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= best).select("t", "tree", F.col("node").alias("leaf"), "rank", "depth")
     # Every round adds the 2^k-th ancestors of what is known, so the set doubles until it is the whole path.
     on_path = common.stored(chosen.select("t", "tree", "leaf", "rank", "depth", F.col("leaf").alias("node")), "tree-paths")
     for k, level in enumerate(levels):
-        more = on_path.join(level, ["t", "node"]).where("jump is not null").select("t", "tree", "leaf", "rank", (F.col("depth") - (1 << k)).alias("depth"), F.col("jump").alias("node"))
+        more = on_path.join(level, ["t", "node"]).select("t", "tree", "leaf", "rank", (F.col("depth") - (1 << k)).alias("depth"), F.col("jump").alias("node"))
         on_path = common.stored(on_path.unionByName(more), "tree-paths")
     return on_path
 
