@@ -106,6 +106,31 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(ids[line].view(np.int64)), pa.array(np.full(len(key), role, np.int8))], names=["key", "line", "role"])
 
 
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by key, index rows first: those of keys with an index row and a second line.
+
+    From one batch to the next only the first row of the open key is carried over.
+    """
+    carried: tuple[int, int, int, bool] | None = None
+    for batch in batches:
+        key, line, role = (batch.column(i).to_numpy() for i in range(3))
+        if not len(key):
+            continue
+        if carried:
+            key, line, role = np.append(carried[0], key), np.append(carried[1], line), np.append(carried[2], role).astype(np.int8)
+        new = np.ones(len(key), bool)
+        new[1:] = key[1:] != key[:-1]
+        first, group = np.flatnonzero(new), np.cumsum(new) - 1
+        met = np.bincount(group, line != line[first[group]], minlength=len(first)) > 0
+        passed = bool(carried and carried[3])
+        met[0] |= passed
+        met &= (role[first] & INDEX) > 0
+        keep = met[group]
+        keep[0] &= not passed
+        carried = (key[first[-1]], line[first[-1]], role[first[-1]], bool(met[-1]))
+        yield pa.RecordBatch.from_arrays([pa.array(key[keep]), pa.array(line[keep]), pa.array(role[keep])], names=["key", "line", "role"])
+
+
 def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at, points, begins, ends, rows in _lines(batch.column(1)):
@@ -225,14 +250,15 @@ def _block_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def links(docs: DataFrame, text: str = "text") -> DataFrame:
     """line_a, check_a, line_b, check_b: all pairs of different line texts within TAU edits, once each.
 
-    A line text is named by two independent 64-bit hashes. Keys are counted first; only lines under keys where
-    an index row meets another line go on, in blocks, with their texts.
+    A line text is named by two independent 64-bit hashes. Of the keys only those at which an index row meets another
+    line go on, and only their lines, in blocks, get their texts.
     """
     column = F.coalesce(F.col(text), F.lit(""))
     keyed = docs.select(column.alias("text")).mapInArrow(_keys, "key long, line long, role byte")
-    keyed = common.stored(keyed.groupBy("key", "line").agg(F.bit_or("role").alias("role")), "line-keys")
-    met = keyed.groupBy("key").agg(F.min("line").alias("low"), F.max("line").alias("high"), F.max((F.col("role").bitwiseAND(F.lit(INDEX).cast("byte")) > 0).cast("int")).alias("indexed"), F.count(F.lit(1)).alias("n")).where("low <> high and indexed = 1")
-    rows = common.stored(keyed.join(met.select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "key"), "line-groups")
+    met = keyed.repartition("key").sortWithinPartitions("key", F.col("role").desc(), "line").mapInArrow(_met, "key long, line long, role byte")
+    met = common.stored(met.groupBy("key", "line").agg(F.bit_or("role").alias("role")), "line-groups")
+    blocks = met.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    rows = met.join(blocks, "key")
     texts = docs.select(column.alias("text")).mapInArrow(_line_texts, "line long, check long, text string")
     texts = texts.join(rows.select("line").distinct().hint("merge"), "line", "left_semi").groupBy("line", "check").agg(F.first("text").alias("text"))
     rows = rows.withColumn("block", F.pmod(F.xxhash64("line"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
