@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 EDGE = "array<struct<ax:double,ay:double,bx:double,by:double>>"
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with the value worked out once: Column functions repeat their arguments' whole trees otherwise."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def rectangle(x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
     """Counter-clockwise closed ring."""
     return F.array(x0, y0, x1, y0, x1, y1, x0, y1, x0, y0)
@@ -15,14 +20,15 @@ def rectangle(x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
 
 def points(ring: Column) -> Column:
     """array<struct<x, y>>, the closing point included."""
-    return F.transform(F.sequence(F.lit(1), F.size(ring) - 1, F.lit(2)), lambda i: F.struct(F.element_at(ring, i).alias("x"), F.element_at(ring, i + 1).alias("y")))
+    at = lambda r: F.transform(F.sequence(F.lit(1), F.size(r) - 1, F.lit(2)), lambda i: F.struct(F.element_at(r, i).alias("x"), F.element_at(r, i + 1).alias("y")))
+    return let(ring, at)
 
 
 def edges(ring: Column) -> Column:
     """array<struct<ax, ay, bx, by>> of a closed ring."""
-    i = F.sequence(F.lit(1), F.size(ring) - 3, F.lit(2))
-    edge = lambda k: F.struct(F.element_at(ring, k).alias("ax"), F.element_at(ring, k + 1).alias("ay"), F.element_at(ring, k + 2).alias("bx"), F.element_at(ring, k + 3).alias("by"))
-    return F.when(F.size(ring) >= 4, F.transform(i, edge)).otherwise(F.array().cast(EDGE))
+    edge = lambda r, k: F.struct(F.element_at(r, k).alias("ax"), F.element_at(r, k + 1).alias("ay"), F.element_at(r, k + 2).alias("bx"), F.element_at(r, k + 3).alias("by"))
+    of = lambda r: F.when(F.size(r) >= 4, F.transform(F.sequence(F.lit(1), F.size(r) - 3, F.lit(2)), lambda k: edge(r, k))).otherwise(F.array().cast(EDGE))
+    return let(ring, of)
 
 
 def signed_area(ring: Column) -> Column:
@@ -44,19 +50,20 @@ def envelope(ring: Column) -> Column:
 
 def oriented(ring: Column) -> Column:
     """The ring counter-clockwise."""
-    back = F.flatten(F.transform(F.reverse(points(ring)), lambda p: F.array(p["x"], p["y"])))
-    return F.when(signed_area(ring) < 0, back).otherwise(ring)
+    back = lambda r: F.flatten(F.transform(F.reverse(points(r)), lambda p: F.array(p["x"], p["y"])))
+    return let(ring, lambda r: F.when(signed_area(r) < 0, back(r)).otherwise(r))
 
 
 def centroid(ring: Column) -> Column:
-    """Area centroid; the mean of the envelope where the area is 0."""
-    e = edges(ring)
+    """Area centroid; the middle of the envelope where the area is 0."""
     cross = lambda s: s["ax"] * s["by"] - s["bx"] * s["ay"]
-    a = signed_area(ring)
-    x = F.aggregate(e, F.lit(0.0), lambda s, k: s + (k["ax"] + k["bx"]) * cross(k)) / (6 * a)
-    y = F.aggregate(e, F.lit(0.0), lambda s, k: s + (k["ay"] + k["by"]) * cross(k)) / (6 * a)
-    box = envelope(ring)
-    return F.struct(F.when(a != 0, x).otherwise((box["x0"] + box["x1"]) / 2).alias("x"), F.when(a != 0, y).otherwise((box["y0"] + box["y1"]) / 2).alias("y"))
+
+    def of(r: Column) -> Column:
+        sums = F.aggregate(edges(r), F.struct(F.lit(0.0).alias("a"), F.lit(0.0).alias("x"), F.lit(0.0).alias("y")), lambda s, k: F.struct((s["a"] + cross(k)).alias("a"), (s["x"] + (k["ax"] + k["bx"]) * cross(k)).alias("x"), (s["y"] + (k["ay"] + k["by"]) * cross(k)).alias("y")))
+        middle = lambda b: F.struct(((b["x0"] + b["x1"]) / 2).alias("x"), ((b["y0"] + b["y1"]) / 2).alias("y"))
+        return let(sums, lambda s: F.when(s["a"] != 0, F.struct((s["x"] / (3 * s["a"])).alias("x"), (s["y"] / (3 * s["a"])).alias("y"))).otherwise(let(envelope(r), middle)))
+
+    return let(ring, of)
 
 
 def contains_point(ring: Column, x: Column, y: Column) -> Column:
@@ -95,21 +102,23 @@ def mitred(ring: Column, distance: Column, limit: float = 3.0) -> Column:
 
     Distance 0 returns the ring. Corners move along the bisector of their edges' outward normals.
     """
-    ring = oriented(ring)
-    e = edges(ring)
-    n = F.size(e)
-    length = lambda k: F.nullif(F.hypot(k["bx"] - k["ax"], k["by"] - k["ay"]), F.lit(0.0))
 
-    def corner(i: Column) -> Column:
-        before, after = F.element_at(e, F.when(i == 1, n).otherwise(i - 1)), F.element_at(e, i)
-        nx1, ny1 = (before["by"] - before["ay"]) / length(before), (before["ax"] - before["bx"]) / length(before)
-        nx2, ny2 = (after["by"] - after["ay"]) / length(after), (after["ax"] - after["bx"]) / length(after)
-        half = (1 + nx1 * nx2 + ny1 * ny2) / 2  # cos^2 of half the turn
-        factor = F.least(1 / F.greatest(half, F.lit(1e-12)) / 2, limit / (2 * F.sqrt(F.greatest(half, F.lit(1e-12)))))
-        return F.array(after["ax"] + distance * (nx1 + nx2) * factor, after["ay"] + distance * (ny1 + ny2) * factor)
+    def normal(k: Column) -> Column:
+        size = F.hypot(k["bx"] - k["ax"], k["by"] - k["ay"])
+        return F.struct(((k["by"] - k["ay"]) / size).alias("x"), ((k["ax"] - k["bx"]) / size).alias("y"), k["ax"].alias("px"), k["ay"].alias("py"))
+
+    def corner(one: Column, two: Column) -> Column:
+        half = F.greatest((1 + one["x"] * two["x"] + one["y"] * two["y"]) / 2, F.lit(1e-12))  # cos^2 of half the turn
+        factor = F.least(1 / half / 2, limit / (2 * F.sqrt(half)))
+        return let(factor, lambda f: F.array(two["px"] + distance * (one["x"] + two["x"]) * f, two["py"] + distance * (one["y"] + two["y"]) * f))
+
+    def around(n: Column) -> Column:
+        before = F.concat(F.slice(n, F.size(n), F.lit(1)), F.slice(n, F.lit(1), F.size(n) - 1))
+        return F.zip_with(before, n, corner)
 
-    moved = F.transform(F.sequence(F.lit(1), n), corner)
-    return F.when(distance == 0, ring).otherwise(F.flatten(F.concat(moved, F.slice(moved, 1, 1))))
+    solid = F.filter(edges(oriented(ring)), lambda k: (k["ax"] != k["bx"]) | (k["ay"] != k["by"]))
+    grown = let(let(F.transform(solid, normal), around), lambda m: F.flatten(F.concat(m, F.slice(m, 1, 1))))
+    return F.when(distance == 0, ring).otherwise(grown)
 
 
 def moved(ring: Column, dx: Column, dy: Column) -> Column:
@@ -118,18 +127,16 @@ def moved(ring: Column, dx: Column, dy: Column) -> Column:
 
 def scaled(ring: Column, factor: Column) -> Column:
     """Scaled about the centroid."""
-    c = centroid(ring)
-    return F.transform(ring, lambda v, i: F.when(i % 2 == 0, c["x"] + (v - c["x"]) * factor).otherwise(c["y"] + (v - c["y"]) * factor))
+    return let(centroid(ring), lambda c: F.transform(ring, lambda v, i: F.when(i % 2 == 0, c["x"] + (v - c["x"]) * factor).otherwise(c["y"] + (v - c["y"]) * factor)))
 
 
 def clean_ring(ring: Column, eps: float = 1e-6) -> Column:
     """Consecutive repeats and the closing point dropped, then closed again; null under three distinct points."""
     near = lambda a, b: (F.abs(a["x"] - b["x"]) <= eps) & (F.abs(a["y"] - b["y"]) <= eps)
-    p = points(ring)
-    kept = F.filter(p, lambda q, i: (i == 0) | ~near(q, F.element_at(p, F.greatest(i, F.lit(1)))))
-    kept = F.when((F.size(kept) > 1) & near(F.element_at(kept, 1), F.element_at(kept, -1)), F.slice(kept, 1, F.size(kept) - 1)).otherwise(kept)
-    closed = F.flatten(F.transform(F.concat(kept, F.slice(kept, 1, 1)), lambda q: F.array(q["x"], q["y"])))
-    return F.when(F.size(F.array_distinct(kept)) >= 3, closed)
+    single = lambda p: F.filter(p, lambda q, i: (i == 0) | ~near(q, F.element_at(p, F.greatest(i, F.lit(1)))))
+    opened = lambda k: F.when((F.size(k) > 1) & near(F.element_at(k, 1), F.element_at(k, -1)), F.slice(k, F.lit(1), F.size(k) - 1)).otherwise(k)
+    closed = lambda k: F.when(F.size(F.array_distinct(k)) >= 3, F.flatten(F.transform(F.concat(k, F.slice(k, 1, 1)), lambda q: F.array(q["x"], q["y"]))))
+    return let(let(let(points(ring), single), opened), closed)
 
 
 def great_circle(lat1: Column, lon1: Column, lat2: Column, lon2: Column, radius: float = 6378137.0) -> Column:

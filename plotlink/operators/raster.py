@@ -26,11 +26,15 @@ def _at(pixels: Column, i: Column) -> Column:
     return F.get(pixels, i)
 
 
-def smoothed(gray: Column, w: Column, h: Column) -> Column:
-    """Separable 1-2-1 filter; the border repeats its own pixels."""
+def _smoothed(images: DataFrame) -> DataFrame:
+    """Adds smooth: a separable 1-2-1 filter whose border repeats its own pixels. The pass along rows is a column of its
+    own: inside the second pass it would be worked out again for every pixel."""
+    w, h = F.col("w"), F.col("h")
     x, y = lambda i: i % w, lambda i: F.floor(i / w).cast("int")
-    across = F.transform(_grid(w, h), lambda i: (_at(gray, i - F.when(x(i) > 0, 1).otherwise(0)) + 2 * _at(gray, i) + _at(gray, i + F.when(x(i) < w - 1, 1).otherwise(0))) / 4)
-    return F.transform(_grid(w, h), lambda i: (_at(across, i - F.when(y(i) > 0, w).otherwise(0)) + 2 * _at(across, i) + _at(across, i + F.when(y(i) < h - 1, w).otherwise(0))) / 4)
+    across = F.transform(_grid(w, h), lambda i: (_at(F.col("gray"), i - F.when(x(i) > 0, 1).otherwise(0)) + 2 * _at(F.col("gray"), i) + _at(F.col("gray"), i + F.when(x(i) < w - 1, 1).otherwise(0))) / 4)
+    a = F.col("across")
+    down = F.transform(_grid(w, h), lambda i: (_at(a, i - F.when(y(i) > 0, w).otherwise(0)) + 2 * _at(a, i) + _at(a, i + F.when(y(i) < h - 1, w).otherwise(0))) / 4)
+    return images.withColumn("across", across).withColumn("smooth", down).drop("across")
 
 
 def with_edges(images: DataFrame, params: Params = DEFAULTS) -> DataFrame:
@@ -42,7 +46,7 @@ def with_edges(images: DataFrame, params: Params = DEFAULTS) -> DataFrame:
     s = F.col("smooth")
     right, left = lambda i: _at(s, i - w + 1) + 2 * _at(s, i + 1) + _at(s, i + w + 1), lambda i: _at(s, i - w - 1) + 2 * _at(s, i - 1) + _at(s, i + w - 1)
     below, above = lambda i: _at(s, i + w - 1) + 2 * _at(s, i + w) + _at(s, i + w + 1), lambda i: _at(s, i - w - 1) + 2 * _at(s, i - w) + _at(s, i - w + 1)
-    out = images.withColumn("smooth", smoothed(F.col("gray"), w, h))
+    out = _smoothed(images)
     out = out.withColumn("gx", F.transform(_grid(w, h), lambda i: F.when(inner(i), right(i) - left(i)).otherwise(0.0))).withColumn("gy", F.transform(_grid(w, h), lambda i: F.when(inner(i), below(i) - above(i)).otherwise(0.0)))
     out = out.withColumn("mag", F.zip_with("gx", "gy", lambda a, b: F.sqrt(a * a + b * b)))
     n = F.size("mag")
