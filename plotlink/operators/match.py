@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from plotlink.functions import geometry as G
 from plotlink.operators import gridjoin, overlay
+from plotlink.operators.scratch import cut_lineage
 from plotlink.params import DEFAULTS, Params
 
 NEW, SAME, DEVIATING, COMPLEX, MAP_ONLY = "NEU", "IDENTISCH", "ABWEICHEND", "KOMPLEX", "NUR_OSM"
@@ -17,8 +18,8 @@ DEFAULT_ACCEPT = ("UEBERNAHME_EMPFOHLEN", "ANGLEICHEN")
 
 
 def _is_box(ring: str, prefix: str = "") -> Column:
-    box = (F.col(f"{prefix}x1") - F.col(f"{prefix}x0")) * (F.col(f"{prefix}y1") - F.col(f"{prefix}y0"))
-    return (F.size(ring) == 10) & (F.abs(G.area(F.col(ring)) - box) <= 1e-9 * F.greatest(box, F.lit(1.0)))
+    """Axis-parallel boxes in the order that geometry.rectangle writes them; any other ring takes the general way."""
+    return F.col(ring) == G.rectangle(*[F.col(prefix + c) for c in gridjoin.BOX])
 
 
 def with_shared_area(pairs: DataFrame, ids: list[str], ring: str = "ring", other: str = "o_ring") -> DataFrame:
@@ -26,11 +27,15 @@ def with_shared_area(pairs: DataFrame, ids: list[str], ring: str = "ring", other
     boxes = _is_box(ring) & _is_box(other, "o_")
     width = F.greatest(F.lit(0.0), F.least("x1", "o_x1") - F.greatest("x0", "o_x0"))
     height = F.greatest(F.lit(0.0), F.least("y1", "o_y1") - F.greatest("y0", "o_y0"))
-    marked = pairs.withColumn("both_boxes", boxes)
+    # Stored once: both branches and the callers read the joined pairs again.
+    marked = cut_lineage(pairs.withColumn("both_boxes", boxes))
     general = marked.where(~F.col("both_boxes")).drop("both_boxes")
+    closed = marked.where("both_boxes").drop("both_boxes").withColumn("shared", width * height)
+    if general.isEmpty():
+        return closed
     areas = overlay.shared_area(general.select(*ids, F.array(ring).alias("rings_a"), F.array(other).alias("rings_b")), ids, "rings_a", "rings_b")
     general = general.join(areas, ids, "left").withColumn("shared", F.coalesce("shared", F.lit(0.0)))
-    return marked.where("both_boxes").drop("both_boxes").withColumn("shared", width * height).unionByName(general)
+    return closed.unionByName(general)
 
 
 def partners(official: DataFrame, mapped: DataFrame, params: Params = DEFAULTS) -> DataFrame:
@@ -38,9 +43,8 @@ def partners(official: DataFrame, mapped: DataFrame, params: Params = DEFAULTS)
 
     official: id, ring, x0..y1; mapped: osm_id, is_way, ring, x0..y1. Adds area, o_area, shared, iou, overlap.
     """
-    pairs = gridjoin.envelope_join(official, mapped, size=params.cell)
-    pairs = with_shared_area(pairs, ["id", "o_osm_id"])
-    pairs = pairs.withColumn("area", G.area(F.col("ring"))).withColumn("o_area", G.area(F.col("o_ring")))
+    sized = lambda df: df.withColumn("area", G.area(F.col("ring")))  # noqa: E731  once a building, not once a pair
+    pairs = with_shared_area(gridjoin.envelope_join(sized(official), sized(mapped), size=params.cell), ["id", "o_osm_id"])
     union, smaller = F.col("area") + F.col("o_area") - F.col("shared"), F.least("area", "o_area")
     pairs = pairs.withColumn("iou", F.when(union > 0, F.col("shared") / union).otherwise(0.0)).withColumn("overlap", F.when(smaller > 0, F.col("shared") / smaller).otherwise(0.0))
     return pairs.where(F.col("overlap") >= params.partner_overlap)
@@ -56,6 +60,7 @@ def classify(official: DataFrame, mapped: DataFrame, params: Params = DEFAULTS)
         F.count(F.lit(1)).alias("n_partners"), F.sort_array(F.collect_list("o_osm_id")).alias("partners"), F.first("iou").alias("iou"), F.first("o_is_way").alias("partner_is_way"), F.max("sharers").alias("sharers"),
         F.first("ring").alias("ring"), F.first("o_ring").alias("o_ring"),
     )
+    grouped = cut_lineage(grouped)
     single = grouped.where("n_partners = 1")
     near = overlay.discrete_hausdorff(single, ["id"], "ring", "o_ring")
     out = official.select("id").join(grouped.drop("ring", "o_ring"), "id", "left").join(near, "id", "left")

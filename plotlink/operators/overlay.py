@@ -78,9 +78,12 @@ def discrete_hausdorff(pairs: DataFrame, ids: list[str], ring_a: str, ring_b: st
     """ids, hausdorff: the largest distance of a boundary sample (parts samples an edge) of either ring from the other."""
 
     def one_way(source: str, target: str) -> DataFrame:
-        sampled = pairs.select(*ids, F.explode(G.edges(F.col(source))).alias("e"), G.edges(F.col(target)).alias("others")).withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).withColumn("t", F.col("t") / F.lit(float(parts)))
-        x, y = F.col("e.ax") + F.col("t") * (F.col("e.bx") - F.col("e.ax")), F.col("e.ay") + F.col("t") * (F.col("e.by") - F.col("e.ay"))
-        near = F.array_min(F.transform("others", lambda o: G.segment_distance(x, y, o["ax"], o["ay"], o["bx"], o["by"])))
-        return sampled.select(*ids, near.alias("d"))
+        # Samples meet edges as rows: plain arithmetic is compiled, functions over arrays are not.
+        sides = pairs.select(*ids, F.posexplode(G.edges(F.col(source))).alias("k", "e"), G.edges(F.col(target)).alias("others"))
+        met = sides.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).withColumn("o", F.explode("others"))
+        t = F.col("i") / F.lit(float(parts))
+        x, y = F.col("e.ax") + t * (F.col("e.bx") - F.col("e.ax")), F.col("e.ay") + t * (F.col("e.by") - F.col("e.ay"))
+        near = met.select(*ids, "k", "i", G.segment_distance(x, y, F.col("o.ax"), F.col("o.ay"), F.col("o.bx"), F.col("o.by")).alias("d"))
+        return near.groupBy(*ids, "k", "i").agg(F.min("d").alias("d")).select(*ids, "d")
 
     return one_way(ring_a, ring_b).unionByName(one_way(ring_b, ring_a)).groupBy(*ids).agg(F.max("d").alias("hausdorff"))
