@@ -143,10 +143,13 @@ class ItemIndex:
         order = np.argsort(keys, kind="stable")
         return _Repeat(seed, first, second, later, *filters, keys[order], order)
 
-    def candidates(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(start word of the item in the text, item) of all matches in a text of many rows."""
+    def candidates(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(matched word, start word of the whole item as seen from there, item) of all matches in a text of many rows.
+
+        The start may lie before the row of the matched word: a row may open with an item whose first words are missing.
+        """
         text = np.concatenate([words, np.zeros(2 * self.longest + 2, np.uint64)])
-        begins, items = [], []
+        met, begins, items = [], [], []
         for r in self.repeats:
             bits = textkernel.mix64(text ^ r.seed)
             start = np.arange(len(words), dtype=np.int64)
@@ -168,11 +171,12 @@ class ItemIndex:
                 n = (high - low)[hit]
                 which = np.repeat(low[hit], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
                 anchor = self.anchors[r.anchors[which]]
-                begins.append(np.repeat(start[hit], n) - anchor[:, 1])
+                met.append(np.repeat(start[hit], n))
+                begins.append(met[-1] - anchor[:, 1])
                 items.append(anchor[:, 0])
         if not begins:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        return np.concatenate(begins), np.concatenate(items)
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return np.concatenate(met), np.concatenate(begins), np.concatenate(items)
 
 
 def fit_distance(item: np.ndarray, stretch: np.ndarray, most: int) -> tuple[int, int]:
@@ -198,9 +202,9 @@ def _match(index: ItemIndex, share: float):
             rows, items, distances, places, lengths = [], [], [], [], []
             for at, words, counts in word_rows(batch.column(1)):
                 ends = np.cumsum(counts)
-                begin, item = index.candidates(words)
-                begin = np.maximum(begin, 0)
-                row = np.searchsorted(ends, np.minimum(begin, max(len(words) - 1, 0)), side="right")
+                met, begin, item = index.candidates(words)
+                row = np.searchsorted(ends, met, side="right")
+                begin = np.maximum(begin, (ends - counts)[row])
                 # One look for each row, item and half an item of text covers all matches there.
                 size = np.array([len(x) for x in index.items], np.int64)[item] if len(item) else item
                 tries = np.unique(np.stack([row, item, begin // np.maximum(size // 2, 1)], axis=1), axis=0)

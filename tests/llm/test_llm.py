@@ -225,6 +225,16 @@ def test_decontamination_in_blocks(spark, monkeypatch):
     assert {(r.doc_id, r.item_id) for r in decontaminate.leaks(docs, bench).collect()} >= {(k, k) for k, _ in items}
 
 
+@pytest.mark.parametrize(("length", "missing"), [(40, 5), (40, 8), (58, 8), (20, 3)])
+def test_documents_that_open_with_a_cut_item(spark, length, missing):
+    rng = random.Random(length + missing)
+    items = [(k, words(rng, length)) for k in range(40)]
+    docs = [(k, " ".join(item.split()[missing:] + words(rng, 10).split()), "en", "a") for k, item in items]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.leaks(make(spark, docs).coalesce(1), bench).collect()}
+    assert len(got) >= 39 and got <= {(k, k) for k, _ in items}
+
+
 def test_mixing(spark, corpus):
     got = mixing.mix_documents(make(spark, corpus)).collect()
     assert len(got) == len(corpus)
