@@ -464,6 +464,33 @@ def test_pii_model_adds_secrets(spark):
     assert not any("secret" in got[i] for i in range(400) if i % 3)
 
 
+def test_pii_adds_every_kind(spark):
+    rng = random.Random(8)
+    number = lambda: f"{rng.randint(200, 999)}-{rng.randint(10, 99)}-{rng.randint(1000, 9999)}"
+    account = lambda: str(rng.randint(10**9, 10**10 - 1))
+    letters = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(30))
+    kinds = {
+        "number": lambda: f"please call {number()} today", "account": lambda: f"to the account {account()} now",
+        "spelled": lambda: f"write to bob{rng.randint(1, 99)} at host{rng.randint(1, 99)} dot com soon", "secret": lambda: f'the token = "{letters()}" here',
+    }
+    plain = [lambda: f"rows {number()} of a table", lambda: f"block {account()} of many", lambda: f"look at this dot thing{rng.randint(1, 99)}xy there", lambda: f"some {letters()} word"]
+    made = [(list(kinds)[i % 4] if i % 2 else None, list(kinds.values())[i % 4]() if i % 2 else plain[i // 2 % 4]()) for i in (rng.randrange(10**6) for _ in range(1600))]
+    made += [(k, f()) for k, f in kinds.items() for _ in range(150)]
+    got = {r.doc_id: r.spans for r in pii.detect(make(spark, [(i, t, "en", "a") for i, (_, t) in enumerate(made)])).collect()}
+    for kind in kinds:
+        mine = [i for i, (k, _) in enumerate(made) if k == kind]
+        assert sum(got[i].startswith(kind) for i in mine) >= 0.95 * len(mine), kind
+    assert not any(got[i] for i, (k, _) in enumerate(made) if k is None)
+
+
+def test_pii_only_kept_spans_suppress_others(spark):
+    # Three overlap in a chain: the middle one gives way to the best, so the last one is free.
+    text = "bob at host dot abcdefghijklmnop=555-123 4567 89"
+    rank = pii.Split("length", 28, pii.Split("length", 20, pii.Leaf(1.0), pii.Leaf(2.0)), pii.Leaf(3.0))
+    model = pii.Model(0.0, (rank,), (0.5,) * len(pii.GENERATORS))
+    assert pii.detect(make(spark, [(1, text, "en", "a")]), model).first().spans == "number:33:48,spelled:0:32"
+
+
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline
 
