@@ -40,16 +40,18 @@ def targets(totals: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float
     return t.withColumn("budget", words - F.col("whole") * F.col("source_size")).select("stratum", "source_size", "target", "whole", "budget")
 
 
-def mix(docs: DataFrame, *, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST, seed: str = SEED) -> DataFrame:
+def mix(docs: DataFrame, *, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST, seed: str = SEED, whole_rows: bool = False) -> DataFrame:
     """How many words of each document the mix takes: doc_id, source, size, source_size, target, taken, whole.
 
     A source's taken words are its target, rounded: `whole` full passes over it and, of one more pass in hash
     order, the words up to its budget, so at most one document a source is cut. Null text has size 0 and takes
     nothing; a null source is a source, last in order; rows that agree in doc_id are separate documents, placed
     by size. An empty table gives an empty result. Columns other than doc_id, text and source are not looked at.
+    whole_rows: each row of the plan also has its document as a struct, row.
     """
     at = F.conv(F.substring(common.seeded_hex(seed, F.col("doc_id")), 1, HASH_BITS // 4), 16, 10).cast("long")
-    rows = common.stored(docs.select("doc_id", "source", common.stratum_key(F.col("source")).alias("stratum"), common.n_words(F.col("text")).alias("size"), at.alias("at")), "mix-rows")
+    row = [F.struct(*docs.columns).alias("row")] if whole_rows else []
+    rows = common.stored(docs.select("doc_id", "source", common.stratum_key(F.col("source")).alias("stratum"), common.n_words(F.col("text")).alias("size"), at.alias("at"), *row), "mix-rows")
     levels = max(2, min(HASH_BITS // LEVEL_BITS, -(-rows.count().bit_length() // LEVEL_BITS) + 1))
 
     plan = targets(rows.groupBy("stratum").agg(F.sum("size").alias("source_size")), weights, share, most)
@@ -66,11 +68,11 @@ def mix(docs: DataFrame, *, weights: tuple[int, ...] = WEIGHTS, share: float = S
         plan = common.stored(plan.drop("edge").join(edge, "stratum", "left").select(*plan.drop("edge", "below").columns, F.coalesce("e.bucket", past_all).alias("edge"), F.coalesce("e.below", "below").alias("below")), "mix-plan")
 
     placed = rows.join(common.small(plan), "stratum").withColumn("prefix", F.shiftright("at", shift))
-    run = Window.partitionBy("stratum").orderBy("at", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    run = Window.partitionBy("stratum").orderBy("at", "doc_id", "size", *[F.col("row.text") for _ in row]).rowsBetween(Window.unboundedPreceding, -1)
     on_edge = placed.where(F.col("prefix") == F.col("edge")).withColumn("ahead", F.col("below") + F.coalesce(F.sum("size").over(run), F.lit(0)))
     part = on_edge.withColumn("part", F.greatest(F.lit(0), F.least("size", F.col("budget") - F.col("ahead")))).drop("ahead")
     rest = placed.where(F.col("prefix") != F.col("edge")).withColumn("part", F.when(F.col("prefix") < F.col("edge"), F.col("size")).otherwise(F.lit(0)))
-    return rest.unionByName(part).select("doc_id", "source", "size", "source_size", "target", (F.col("whole") * F.col("size") + F.col("part")).cast("long").alias("taken"), "whole", "part")
+    return rest.unionByName(part).select("doc_id", "source", "size", "source_size", "target", (F.col("whole") * F.col("size") + F.col("part")).cast("long").alias("taken"), "whole", "part", *[F.col("row") for _ in row])
 
 
 def mix_documents(docs: DataFrame) -> DataFrame:
@@ -81,12 +83,13 @@ def mix_documents(docs: DataFrame) -> DataFrame:
 def apply_mix(docs: DataFrame, columns: list[str] | None = None, **options) -> DataFrame:
     """The mixed corpus itself: each document as often as the mix takes it, the cut one shortened.
 
-    doc_id must be a key here; rows without an id are kept once, as they are.
+    Every row has its own part of the plan, whether its doc_id is a key, repeated or null; rows without words are
+    kept once, as they are.
     """
     columns = columns or docs.columns
-    plan = mix(docs, **options).where(F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("m_id"), F.col("whole").alias("m_whole"), F.col("part").alias("m_part"), F.col("size").alias("m_size"))
-    joined = docs.join(plan, docs["doc_id"] == F.col("m_id"), "left")
-    cut = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(rf"[{common.SPACE_CLASS}]*{common.WORD_PATTERN}"), F.lit(0)), 1, F.greatest(F.lit(1), F.col("m_part").cast("int"))), "")
-    last = F.when(F.col("m_part") >= F.col("m_size"), F.col("text")).otherwise(cut)
-    copies = F.when(F.col("m_id").isNull() | (F.col("m_size") == 0), F.array("text")).otherwise(F.concat(F.array_repeat("text", F.col("m_whole").cast("int")), F.when(F.col("m_part") > 0, F.array(last)).otherwise(F.array().cast("array<string>"))))
-    return joined.withColumn("m_text", F.explode(copies)).select(*[F.col("m_text").alias("text") if c == "text" else docs[c] for c in columns])
+    planned = mix(docs, **options, whole_rows=True)
+    text = F.col("row.text")
+    cut = F.array_join(F.slice(F.regexp_extract_all(text, F.lit(rf"[{common.SPACE_CLASS}]*{common.WORD_PATTERN}"), F.lit(0)), 1, F.greatest(F.lit(1), F.col("part").cast("int"))), "")
+    last = F.when(F.col("part") >= F.col("size"), text).otherwise(cut)
+    copies = F.when(F.col("size") == 0, F.array(text)).otherwise(F.concat(F.array_repeat(text, F.col("whole").cast("int")), F.when(F.col("part") > 0, F.array(last)).otherwise(F.array().cast("array<string>"))))
+    return planned.withColumn("m_text", F.explode(copies)).select(*[F.col("m_text").alias("text") if c == "text" else F.col("row")[c].alias(c) for c in columns])

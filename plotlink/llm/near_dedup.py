@@ -257,9 +257,9 @@ def near_duplicates(docs: DataFrame, *, percent: int = LINK_PERCENT) -> DataFram
     same = ["n_shingles", "set_a", "set_b"]
     classes = common.stored(sketches.where("n_shingles > 0").groupBy(*same).agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies")), "classes")
     own = sketches.where("n_shingles > 0").join(classes.where("copies > 1").select(*same, "rep"), same, "left")
-    heads = common.stored(own.where(F.col("doc_id") == F.coalesce("rep", "doc_id")).select(F.col("doc_id").alias("id"), "n_shingles", "registers", "keys").dropDuplicates(["id", "n_shingles"]), "heads")
+    heads = common.stored(own.where(F.col("doc_id") == F.coalesce("rep", "doc_id")).select(F.col("doc_id").alias("id"), *same, "registers", "keys").dropDuplicates(["id", *same]), "heads")
 
-    keyed = heads.select("id", F.explode("keys").alias("key"))
+    keyed = heads.select("id", "set_a", F.explode("keys").alias("key"))
     buckets = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min(F.struct(F.xxhash64("id", "key"), "id")).alias("lead")).where("members > 1").select("key", "members", F.col("lead.id").alias("leader"))
     members = common.stored(keyed.join(buckets, "key"), "members")
     involved = members.select("id").distinct()
@@ -275,12 +275,12 @@ def near_duplicates(docs: DataFrame, *, percent: int = LINK_PERCENT) -> DataFram
     near = common.stored(_confirmed(tried, texts, percent), "links")
     comp = common.stored(components(near), "components")
 
-    placed = members.join(comp.select(F.col("node").alias("id"), "component"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
+    placed = members.join(comp.select(F.col("node").alias("id"), "component"), "id", "left").select("key", "id", "set_a", F.coalesce("component", "id").alias("component"))
     mixed = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("members")).where("low <> high")
     blocks = F.ceil(F.col("members") / BLOCK).cast("int")
     rows = placed.join(mixed.select("key", blocks.alias("blocks")), "key").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "component")
-    rows = rows.join(heads, "id").join(texts, "id").select("key", "i", "j", "block", "id", "component", F.col("n_shingles").alias("n"), "registers", "keys", "text")
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "set_a", "component")
+    rows = rows.join(heads, ["id", "set_a"]).join(texts, "id").select("key", "i", "j", "block", "id", "component", F.col("n_shingles").alias("n"), "registers", "keys", "text")
     far = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_cross_links(percent), "a long, b long")
     comp = common.stored(components(comp.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(far)), "components")
 

@@ -258,6 +258,28 @@ def test_mixing(spark, corpus):
     assert {k: v for k, v in out.items() if v} == {k: v for k, v in plan.items() if v}
 
 
+def test_mixed_corpus_with_repeated_and_null_ids(spark, corpus):
+    rng = random.Random(12)
+    size = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
+    rows = [r for r in corpus if size(r[1]) < 1000] + [(7, words(rng, 30), "en", "a") for _ in range(9)] + [(None, words(rng, 40), "en", "b") for _ in range(5)]
+    plan, out = Counter(), Counter()
+    for r in mixing.mix(make(spark, rows)).collect():
+        plan[r.doc_id, r.source] += r.taken
+    for r in mixing.apply_mix(make(spark, rows)).collect():
+        out[r.doc_id, r.source] += size(r.text)
+    assert {k: v for k, v in out.items() if v} == {k: v for k, v in plan.items() if v}
+
+
+def test_near_duplicates_with_two_sets_of_one_id(spark):
+    rng = random.Random(13)
+    rows = []
+    for g in range(20):
+        one, two = words(rng, 40), words(rng, 40)
+        rows += [(1000 + g, one, "en", "a"), (1000 + g, two, "en", "a"), (2000 + g, one + " end", "en", "a"), (3000 + g, two + " end", "en", "a")]
+    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(make(spark, rows)).collect()}
+    assert got == {k + g: 1000 + g for k in (1000, 2000, 3000) for g in range(20)}
+
+
 def test_sharding(spark, corpus):
     got = sharding.shard_documents(make(spark, corpus)).collect()
     assert len(got) == len(corpus)
