@@ -1,6 +1,7 @@
 """Benchmark decontamination: CGK embedding, bit-sampling LSH and exact edit verification.
 
-Texts are sequences of words (A-Z lower-cased, ASCII punctuation removed). A CGK walk reads a sequence from a start:
+Texts are sequences of words (A-Z lower-cased, ASCII punctuation removed); a character of a script without blanks
+(UNSPACED) is a word of its own. A CGK walk reads a sequence from a start:
 step j writes the word under the pointer and moves on by a random bit that depends on j and that word. Two
 sequences that are a few edits apart fall back into step, so small edit distance becomes small Hamming distance of
 what was written. One hash of the LSH takes the written words at SAMPLES sampled steps; it is repeated with fresh walks
@@ -11,6 +12,9 @@ Steps are sampled in the length of the item (its length class). Walks are evalua
 sampled words occur for some item walk on, which gives the same matches as full embeddings. Matches are then verified
 with exact edit distance between the item and the best-fitting stretch of the document near the match.
 
+Items under MIN_WORDS words are too short for the walks: they are cut into one stretch more than edits are allowed, so
+one of these occurs unchanged wherever the item does, and is met by its hash. This path misses nothing.
+
 Items travel to the tasks in blocks of bounded size; every block is matched against all documents.
 """
 
@@ -26,7 +30,7 @@ from pyspark.sql import functions as F
 
 from plotlink.llm import common, textkernel
 
-#: Edits allowed, as a share of an item's words, and the fewest words of an item that counts as evidence.
+#: Edits allowed, as a share of an item's words, and the fewest words of an item that is met by walks.
 EDIT_SHARE, MIN_WORDS = 0.2, 8
 #: With this many repetitions nearly all stretches within EDIT_SHARE are met (measured in the tests).
 REPEATS = 10
@@ -44,9 +48,35 @@ _PUNCTUATION = np.ones(256, bool)
 _PUNCTUATION[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = False
 
 
+#: First and last code points of scripts that part no words: Thai to Tibetan, Burmese, Khmer, kana and Han, Han
+#: for compatibility, kana of half width, rare Han (fixed values).
+UNSPACED = ((0xE00, 0xFFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3040, 0x30FF), (0x31F0, 0x31FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0xFF66, 0xFF9F), (0x20000, 0x3FFFF))
+
+
+def _spaced(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The text with a blank on each side of every character of UNSPACED."""
+    lead = np.flatnonzero(raw >= 0xE0)
+    if not len(lead):
+        return raw, offsets
+    low = lambda k: raw[np.minimum(lead + k, len(raw) - 1)].astype(np.int64) & 0x3F
+    long = raw[lead] >= 0xF0
+    point = np.where(long, ((raw[lead].astype(np.int64) & 7) << 18) | (low(1) << 12) | (low(2) << 6) | low(3), ((raw[lead].astype(np.int64) & 15) << 12) | (low(1) << 6) | low(2))
+    alone = np.zeros(len(lead), bool)
+    for first, last in UNSPACED:
+        alone |= (point >= first) & (point <= last)
+    blanks = np.zeros(len(raw) + 1, np.int64)
+    np.add.at(blanks, lead[alone], 1)
+    np.add.at(blanks, np.minimum(lead[alone] + 3 + long[alone], len(raw)), 1)
+    shift = np.cumsum(blanks)
+    out = np.full(len(raw) + int(shift[-1]), 32, np.uint8)
+    out[np.arange(len(raw)) + shift[:-1]] = raw
+    return out, offsets + np.concatenate([[0], shift])[offsets]
+
+
 def word_rows(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first row, word hashes, words of each row) for pieces of a column, punctuation removed."""
     for at, _, raw, offsets in textkernel.pieces(column):
+        raw, offsets = _spaced(raw, offsets)
         keep = _PUNCTUATION[raw]
         places = np.concatenate([[0], np.cumsum(keep)])[offsets]
         hashes, _, _, counts = textkernel.words(raw[keep], places)
@@ -90,16 +120,25 @@ def _join(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return textkernel.mix64(a * np.uint64(0x9E3779B97F4A7C15) + b)
 
 
+def _grams(words: np.ndarray, n: int) -> np.ndarray:
+    """Hash of every stretch of n words."""
+    count = max(len(words) - n + 1, 0)
+    out = np.zeros(count, np.uint64)
+    for k in range(n):
+        out = _join(out, words[k : k + count])
+    return out
+
+
 class ItemIndex:
-    """LSH tables of one block of items."""
+    """LSH tables of one block of items, and the stretches of the short ones."""
 
-    def __init__(self, ids: list, texts: list[str], repeats: int = REPEATS, seed: int = 1):
+    def __init__(self, ids: list, texts: list[str], repeats: int = REPEATS, seed: int = 1, share: float = EDIT_SHARE):
         column = pa.array(texts, pa.large_string())
         self.ids: list = []
         self.items: list[np.ndarray] = []
         for at, hashes, counts in word_rows(column):
             for i, words in enumerate(np.split(hashes, np.cumsum(counts)[:-1])):
-                if len(words) >= MIN_WORDS:
+                if len(words):
                     self.ids.append(ids[at + i])
                     self.items.append(words)
         longest = max(map(len, self.items), default=0)
@@ -109,13 +148,21 @@ class ItemIndex:
         pad = np.zeros(2 * longest + 2, np.uint64)
         flat, anchors = [], []
         place = 0
+        stretches: dict[int, list[tuple[int, int, int]]] = {}  # by length: hash, item, offset
         for i, words in enumerate(self.items):
+            if len(words) < MIN_WORDS:
+                parts = min(int(share * len(words)) + 1, len(words))
+                cuts = [len(words) * k // parts for k in range(parts + 1)]
+                for low, high in zip(cuts, cuts[1:], strict=False):
+                    stretches.setdefault(high - low, []).append((int(_grams(words[low:high], high - low)[0]), i, low))
+                continue
             for offset in sorted({0, len(words) // 3, 2 * len(words) // 3}):
                 if offset == 0 or len(words) - offset >= MIN_WORDS:
                     size = len(words) - offset
                     anchors.append((i, offset, place + offset, max(c for c, low in enumerate(lows) if low <= size)))
             flat += [words, pad]
             place += len(words) + len(pad)
+        self.stretches = {n: (np.array([h for h, _, _ in v], np.uint64), np.array([x[1:] for x in v], np.int64)) for n, v in ((n, sorted(v)) for n, v in stretches.items())}
         self.anchors = np.array(anchors, np.int64).reshape(-1, 4)
         text = np.concatenate(flat) if flat else np.zeros(1, np.uint64)
         rng = np.random.RandomState(seed)
@@ -150,6 +197,15 @@ class ItemIndex:
         """
         text = np.concatenate([words, np.zeros(2 * self.longest + 2, np.uint64)])
         met, begins, items = [], [], []
+        for n, (hashes, owners) in self.stretches.items():
+            key = _grams(words, n)
+            low, high = np.searchsorted(hashes, key, "left"), np.searchsorted(hashes, key, "right")
+            hit = np.flatnonzero(high > low)
+            many = (high - low)[hit]
+            which = np.repeat(low[hit], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+            met.append(np.repeat(hit, many))
+            begins.append(met[-1] - owners[which, 1])
+            items.append(owners[which, 0])
         for r in self.repeats:
             bits = textkernel.mix64(text ^ r.seed)
             start = np.arange(len(words), dtype=np.int64)
@@ -232,8 +288,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, *, share: float = EDIT_SHARE, r
     """doc_id, item_id, distance, item_words, end_word: the documents that hold a stretch of text within
     share * words edits (of words) of an item, with the best stretch's distance and the word where it ends.
 
-    Items under MIN_WORDS words (null and empty ones too) are no evidence and match nothing; null and empty
-    documents hold nothing; items without an id are left out. Rows that repeat a doc_id or an item_id match each on
+    Items of any length count, so an item of one word is held by every document with that word; items without
+    words (null and empty ones too) match nothing; null and empty documents hold nothing; items without an id are left out. Rows that repeat a doc_id or an item_id match each on
     their own. A row of the result stands for one document row and item; an empty table gives an empty result.
     """
     schema = "doc_id long, item_id long, distance long, item_words long, end_word long"
@@ -243,7 +299,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, *, share: float = EDIT_SHARE, r
     out = None
     for k in range(blocks):
         rows = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k).collect()  # a block of the query set
-        index = ItemIndex([r.item_id for r in rows], [r.text for r in rows], repeats)
+        index = ItemIndex([r.item_id for r in rows], [r.text for r in rows], repeats, share=share)
         found = docs.select("doc_id", "text").mapInArrow(_match(index, share), schema)
         out = found if out is None else out.unionByName(found)
     return out

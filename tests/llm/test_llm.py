@@ -235,6 +235,29 @@ def test_documents_that_open_with_a_cut_item(spark, length, missing):
     assert len(got) >= 39 and got <= {(k, k) for k, _ in items}
 
 
+def test_short_items_and_scripts_without_blanks(spark):
+    rng = random.Random(17)
+    han = lambda n: "".join(rng.choice("漢字仮名交文書類題問答数学科理") for _ in range(n))
+    items = [(n, words(rng, n)) for n in range(1, 8)] + [(20, han(5)), (21, han(30)), (22, "for(i=0;i<n;i++)")]
+    docs = []
+    for k, item in items:
+        blank = "" if k in (20, 21) else " "
+        v = list(item) if k in (20, 21) else item.split()
+        for cut in range(len(v) // 5 + 1):
+            docs.append((k * 100 + cut, words(rng, rng.randint(0, 9)) + blank + blank.join(v[:1] * (cut == 0) + v[1 : len(v) - max(cut - 1, 0)]) + blank + words(rng, 6), "en", "a"))
+    docs += [(9000, han(40), "zh", "a"), (9001, words(rng, 50), "en", "a")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.distance for r in decontaminate.leaks(make(spark, docs).coalesce(1), bench).collect()}
+    want = {}
+    spread = lambda t: clean_words(re.sub("([\u3040-\u9fff])", r" \1 ", t))
+    for i, t, *_ in docs:
+        for k, item in items:
+            d = levenshtein_fit(spread(item), spread(t))
+            if d <= int(decontaminate.EDIT_SHARE * len(spread(item))):
+                want[i, k] = d
+    assert got == want and all((k * 100, k) in got for k, _ in items)
+
+
 def test_mixing(spark, corpus):
     got = mixing.mix_documents(make(spark, corpus)).collect()
     assert len(got) == len(corpus)
