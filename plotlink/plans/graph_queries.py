@@ -140,6 +140,12 @@ def alignment_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.reachable(e, starts)
 
 
+def alignment_groups_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same reachability from all suppliers over all edges; without an oracle, for which it is too large."""
+    e = layers.layer(spark, sf_dir, "SELECT DISTINCT l_suppkey AS src, l_partkey AS dst FROM {lineitem}", "lineitem")
+    return graph.reachable(e, layers.layer(spark, sf_dir, "SELECT s_suppkey AS start FROM {supplier}", "supplier"))
+
+
 def preview_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     before = layers.layer(spark, sf_dir, "SELECT p_partkey AS node_id, (p_partkey % 48) * 1e0 AS x, p_size * 1e0 AS y FROM {part} WHERE p_partkey % 7 <> 0", "part")
     after = layers.layer(spark, sf_dir, "SELECT p_partkey AS node_id, (p_partkey % 48) * 1e0 + CASE WHEN p_partkey % 5 = 0 THEN 0.25e0 ELSE 0e0 END AS x, p_size * 1e0 AS y FROM {part} WHERE p_partkey % 11 <> 0", "part")
@@ -169,7 +175,7 @@ def geometry_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (edge_sobel, edge_threshold, edge_support, tpr_fpr_by_threshold, confusion_matrix, calibration_bins, decision_time, decision_state, review_filters, shared_nodes, line_end_direction, keep_nodes, way_rings, prerequisites, dependency_order, alignment_groups, preview_diff, corner_owner, session_merge, geometry_functions)
+    for f in (edge_sobel, edge_threshold, edge_support, tpr_fpr_by_threshold, confusion_matrix, calibration_bins, decision_time, decision_state, review_filters, shared_nodes, line_end_direction, keep_nodes, way_rings, prerequisites, dependency_order, alignment_groups, alignment_groups_whole, preview_diff, corner_owner, session_merge, geometry_functions)
 }
 
 _SOBEL = f"""
