@@ -26,6 +26,8 @@ CLASS_BITS = 7
 #: Letters whose trigrams are bundled in one step.
 STEP_LETTERS, STEP_ROWS = 1 << 20, 512
 UNDETERMINED = "und"
+#: Cosine below which no language is told: this share of this quantile, in length classes with so many labelled documents.
+SLACK, LOW_QUANTILE, CLASS_ROWS = 0.5, 0.01, 50
 
 
 @functools.cache
@@ -161,6 +163,23 @@ def identify(docs: DataFrame) -> DataFrame:
 
 
 def drop_undetermined(docs: DataFrame) -> DataFrame:
-    """Documents for which a language was found, with all their columns."""
-    rejected = identify(docs).where((F.col("lang_pred") == UNDETERMINED) & F.col("doc_id").isNotNull()).select("doc_id")
+    """Documents for which a language was found, with all their columns; rows without an id stay.
+
+    A document goes if it has no letter, or if its cosine is below SLACK times the LOW_QUANTILE quantile of all labelled
+    documents of its length class (doubling lengths) that are not held out. A class with fewer than CLASS_ROWS of
+    them has the bound of the class below it, or none. If nothing could be learned, all documents stay.
+    """
+    fold = F.pmod(F.crc32(common.utf8_bytes(F.col("doc_id").cast("string"))), F.lit(4))
+    prototypes = learn(docs.where(fold != 2))
+    if not prototypes:
+        return docs
+    size = F.floor(F.log2(F.greatest(F.lit(1), F.length(F.coalesce("text", F.lit("")))).cast("double"))).cast("int")
+    known = F.coalesce(fold != 2, F.lit(False)) & F.col("lang").isNotNull()
+    scored = common.stored(predict(docs, prototypes, {"known": known, "size_class": size}), "language-scores")
+    found = scored.where(F.col("known") & (F.col("lang_pred") != UNDETERMINED)).groupBy("size_class").agg(F.count(F.lit(1)).alias("n"), F.percentile_approx("score", LOW_QUANTILE, 10_000).alias("low"))
+    lows = {r.size_class: SLACK * r.low for r in found.collect() if r.n >= CLASS_ROWS}  # at most 32 classes
+    bound = F.lit(0.0)
+    for c in sorted(lows):
+        bound = F.when(F.col("size_class") >= c, F.lit(lows[c])).otherwise(bound)
+    rejected = scored.where(((F.col("lang_pred") == UNDETERMINED) | (F.col("score") < bound)) & F.col("doc_id").isNotNull()).select("doc_id")
     return docs.join(rejected, "doc_id", "left_anti").select(*docs.columns)

@@ -459,6 +459,17 @@ def test_language_id(spark):
     assert langid.identify(make(spark, [])).count() == 0
 
 
+def test_documents_in_no_known_language_go(spark):
+    rng = random.Random(19)
+    text = lambda letters, n: " ".join("".join(rng.choice(letters) for _ in range(rng.randint(2, 6))) for _ in range(n))
+    rows = [(i, text(["abcde", "éfghi"][i % 2], rng.randint(20, 60)), ["xx", "yy"][i % 2], "s") for i in range(400)]
+    rows += [(1000 + i, text("漢字仮名交", 40), None, "s") for i in range(10)] + [(2000 + i, text("qwzxkvj", 40), None, "s") for i in range(10)]
+    kept = {r.doc_id for r in langid.drop_undetermined(make(spark, rows)).collect()}
+    assert kept == set(range(400))
+    unknown = [(i, t, None, s) for i, t, _, s in rows]
+    assert langid.drop_undetermined(make(spark, unknown)).count() == len(rows)
+
+
 def test_document_vectors_are_bundles_of_bound_trigrams():
     column = pa.array(["abca", None, "ab ca"])
     ((_, _, codes, rows),) = langid.trigrams(column)
