@@ -26,7 +26,7 @@ def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.dedup_lines(read_table(spark, sf_dir, "documents"))
+    return line_dedup.dedup_lines(read_table(spark, sf_dir, "documents"), line_dedup.SCALED)
 
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
