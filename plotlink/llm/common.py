@@ -19,14 +19,35 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 BROADCAST_ROWS = 200_000
 
 
+#: Tables that this process has written by `stored` and not released.
+_written: list[str] = []
+
+
 @functools.cache
 def _local_scratch() -> str:
     return tempfile.mkdtemp(prefix="plotlink-")
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """Folder shared by driver and executors; a temporary one only where none is configured (tests)."""
-    return spark.conf.get("spark.checkpoint.dir", None) or f"file://{_local_scratch()}"
+    """Folder shared by driver and executors. A temporary one where none is configured, but only in local mode: on a
+    cluster every executor would write to its own disk."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir is not set: intermediate tables need a folder that all executors share")
+    return folder or f"file://{_local_scratch()}"
+
+
+def mark() -> int:
+    """A point to which `release` can go back."""
+    return len(_written)
+
+
+def release(spark: SparkSession, since: int = 0) -> None:
+    """Remove the intermediate tables written since then. Results that were not written or collected by now need them."""
+    for path in _written[since:]:
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+    del _written[since:]
 
 
 def stored(df: DataFrame, label: str, partitions_by: str | None = None) -> DataFrame:
@@ -39,6 +60,7 @@ def stored(df: DataFrame, label: str, partitions_by: str | None = None) -> DataF
     writer = df.write
     if partitions_by:
         writer = writer.partitionBy(partitions_by)
+    _written.append(path)
     writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -67,6 +89,25 @@ def stratum_key(source: Column) -> Column:
     return F.when(source.isNull(), F.lit("b")).otherwise(F.concat(F.lit("a"), source))
 
 
+def row_hashes(docs: DataFrame) -> list[Column]:
+    """Two 64-bit hashes of a row's columns (maps as JSON): the name of a row where its id may repeat."""
+    cells = [F.to_json(F.struct(docs[f.name])) if "map<" in f.dataType.simpleString() else docs[f.name] for f in docs.schema.fields]
+    # A null is left out of a hash, so each cell also says whether it is there.
+    named = [x for c in cells for x in (c.isNull(), c)]
+    return [F.xxhash64(*named), F.xxhash64(F.lit("row"), *named)]
+
+
+def without_rows(docs: DataFrame, dropped: DataFrame, repeated: DataFrame) -> DataFrame:
+    """docs less the rows whose hashes (h1, h2) are in dropped; of the equal rows named in repeated one stays."""
+    h1, h2 = row_hashes(docs)
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), h1.alias("h1"), h2.alias("h2")).join(dropped.select("h1", "h2"), ["h1", "h2"], "left_anti")
+    repeated = stored(repeated.select("h1", "h2").distinct(), "repeated-rows")
+    if not repeated.isEmpty():
+        single, several = rows.join(repeated, ["h1", "h2"], "left_anti"), rows.join(repeated, ["h1", "h2"], "left_semi")
+        rows = single.unionByName(several.dropDuplicates(["h1", "h2"]))
+    return rows.select(*[F.col("row")[c].alias(c) for c in docs.columns])
+
+
 def seeded_hex(seed: str, row_id: Column) -> Column:
     """32 hex digits, uniform and the same in any engine that has MD5."""
     return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(row_id.cast("string"), F.lit("null"))))
