@@ -2,14 +2,16 @@
 
 A document is the set of its distinct 5-word shingles. Its sketch has one register for each of 128 buckets of the
 hash space: the count of leading zeros of the bucket's least hash and ten mantissa bits, 16 bits in all. Bands of
-four registers (empty ones borrow another's, in a fixed order) are the candidate keys.
+four registers (empty ones borrow another's, in a fixed order) are the candidate keys. Sets that fill few buckets have as
+many registers again, each the least of all their hashes under a salt of its own, compressed in the same way.
 
 Copies with the same set collapse to one class first. In each band bucket every class is then paired with one
 leader only; the estimate from the registers, corrected for chance collisions, picks the most promising leaders,
 the pairs are confirmed on full sets, and components are formed. What is left are buckets that still hold several
-components: only there do blocks of members meet, with their texts, and pairs of different components that the
-estimate does not rule out are confirmed on full sets in the same task, which passes on nothing but links. So a large group costs in proportion to its size, but for
-members that lie apart, and no link between components is passed over.
+components: only there do blocks meet, with their texts, of members outside the bucket's largest component with each
+other and with those inside, and pairs of different components that the estimate does not rule out are confirmed on
+full sets in the same task, which passes on nothing but links. So a large group costs in proportion to its size, but
+for members that lie apart, and no link between components is passed over.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ LINK_PERCENT = 85
 BUCKETS_LOG2, MANTISSA_BITS = 7, 10
 BUCKETS = 1 << BUCKETS_LOG2
 BANDS, BAND_REGISTERS = 16, 4
-#: Sets up to this size get as many bands again, of plain MinHash values: few buckets of theirs are filled.
+#: Sets up to this size get as many bands again, of salted registers: few buckets of theirs are filled.
 SMALL_SET = 64
 #: Standard errors of the estimate that a pair may lie below the threshold and still be confirmed.
 MARGIN = 4.0
@@ -56,6 +58,13 @@ def _fold(groups: np.ndarray, first: int) -> np.ndarray:
     return out
 
 
+def compressed(values: np.ndarray, used_bits: int = 0) -> np.ndarray:
+    """Registers of hashes whose leading used_bits are spent: the count of leading zeros and the bits behind the first one."""
+    mantissa, exponent = np.frexp((values << np.uint64(used_bits)).astype(np.float64))
+    zeros = np.minimum(64 - exponent, 62)
+    return ((zeros << MANTISSA_BITS) + np.maximum(0, (2 * mantissa - 1) * (1 << MANTISSA_BITS)).astype(np.int64) + 1).astype(np.uint16)
+
+
 def sketch(values: np.ndarray, rows: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
     """Registers (rows x BUCKETS, 0: empty) and band keys of sets given as ascending hashes by row."""
     n = len(sizes)
@@ -65,9 +74,7 @@ def sketch(values: np.ndarray, rows: np.ndarray, sizes: np.ndarray) -> tuple[np.
         cell = rows * BUCKETS + bucket
         lead = np.ones(len(cell), bool)
         lead[1:] = cell[1:] != cell[:-1]  # ascending, so a cell's first value is its least
-        mantissa, exponent = np.frexp((values[lead] << np.uint64(BUCKETS_LOG2)).astype(np.float64))
-        zeros = np.minimum(64 - exponent, 62)
-        registers.reshape(-1)[cell[lead]] = (zeros << MANTISSA_BITS) + np.maximum(0, (2 * mantissa - 1) * (1 << MANTISSA_BITS)).astype(np.int64) + 1
+        registers.reshape(-1)[cell[lead]] = compressed(values[lead], BUCKETS_LOG2)
     filled = registers[:, _PROBES[:, 0]]
     r, p = np.nonzero((filled == 0) & (sizes > 0)[:, None])
     for t in range(1, BUCKETS + 1):
@@ -83,7 +90,7 @@ def sketch(values: np.ndarray, rows: np.ndarray, sizes: np.ndarray) -> tuple[np.
         starts = np.concatenate([[0], np.cumsum(sizes)])
         take = np.concatenate([np.arange(starts[i], starts[i + 1]) for i in few])
         cuts = np.concatenate([[0], np.cumsum(sizes[few])[:-1]])
-        least = np.stack([np.minimum.reduceat(textkernel.mix64(values[take] ^ s), cuts) for s in _SALTS], axis=1)
+        least = np.stack([compressed(np.minimum.reduceat(textkernel.mix64(values[take] ^ s), cuts)) for s in _SALTS], axis=1)
         more = _fold(least.reshape(len(few), BANDS, BAND_REGISTERS), BANDS)
         for i, k in zip(few, more, strict=True):
             out[i] = np.concatenate([out[i], k])
@@ -98,9 +105,10 @@ def text_sets(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarr
 
 
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (doc_id, carried columns, text)."""
     for batch in batches:
-        ids = batch.column(0)
-        for at, to, values, rows, sizes in text_sets(batch.column(1)):
+        kept = batch.columns[:-1]
+        for at, to, values, rows, sizes in text_sets(batch.columns[-1]):
             ends = np.cumsum(sizes)
 
             def total(x: np.ndarray, ends=ends, sizes=sizes) -> np.ndarray:
@@ -109,8 +117,8 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
             registers, keys = sketch(values, rows, sizes)
             yield pa.RecordBatch.from_arrays(
-                [ids[at:to], pa.array(sizes.astype(np.int64)), pa.array(total(values)), pa.array(total(textkernel.mix64(values ^ np.uint64(0x5851F42D4C957F2D)))), pa.array([x.tobytes() for x in registers], pa.binary()), pa.array([k.view(np.int64) for k in keys], pa.list_(pa.int64()))],
-                names=["doc_id", "n_shingles", "set_a", "set_b", "registers", "keys"],
+                [*[c[at:to] for c in kept], pa.array(sizes.astype(np.int64)), pa.array(total(values)), pa.array(total(textkernel.mix64(values ^ np.uint64(0x5851F42D4C957F2D)))), pa.array([x.tobytes() for x in registers], pa.binary()), pa.array([k.view(np.int64) for k in keys], pa.list_(pa.int64()))],
+                names=[*batch.schema.names[:-1], "n_shingles", "set_a", "set_b", "registers", "keys"],
             )
 
 
@@ -242,8 +250,8 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     return pairs.select("a", "b").join(left, "b").join(right, "a").select("a", "b", "t_a", "t_b").mapInArrow(_confirm(percent), "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, *, percent: int = LINK_PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every document.
+def near_duplicates(docs: DataFrame, *, percent: int = LINK_PERCENT, carry: list[str] | None = None) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for every document, and the carried columns.
 
     Two documents are linked when 100 * |intersection| >= percent * |union| of their sets of distinct 5-word
     shingles (A-Z lower-cased; fewer than five words: the whole sequence). Null text and text without words have
@@ -252,7 +260,10 @@ def near_duplicates(docs: DataFrame, *, percent: int = LINK_PERCENT) -> DataFram
     takes no part in links between different sets, has the component of its equals and else null, and is kept
     only then. Copies are collapsed by the size and two independent 64-bit sums of their set's hashes.
     """
-    sketches = docs.select("doc_id", "text").mapInArrow(_sketches, "doc_id long, n_shingles long, set_a long, set_b long, registers binary, keys array<long>")
+    carry = carry or []
+    narrow = docs.select("doc_id", *carry, "text")
+    types = "".join(f"`{n}` {t}, " for n, t in narrow.dtypes[1:-1])
+    sketches = narrow.mapInArrow(_sketches, f"doc_id long, {types}n_shingles long, set_a long, set_b long, registers binary, keys array<long>")
     sketches = common.stored(sketches, "sketches")
     same = ["n_shingles", "set_a", "set_b"]
     classes = common.stored(sketches.where("n_shingles > 0").groupBy(*same).agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies")), "classes")
@@ -276,20 +287,38 @@ def near_duplicates(docs: DataFrame, *, percent: int = LINK_PERCENT) -> DataFram
     comp = common.stored(components(near), "components")
 
     placed = members.join(comp.select(F.col("node").alias("id"), "component"), "id", "left").select("key", "id", "set_a", F.coalesce("component", "id").alias("component"))
-    mixed = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("members")).where("low <> high")
-    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
-    rows = placed.join(mixed.select("key", blocks.alias("blocks")), "key").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "set_a", "component")
+    sizes = placed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
+    mixed = sizes.groupBy("key").agg(F.count(F.lit(1)).alias("components"), F.sum("n").alias("members"), F.max(F.struct("n", "component")).alias("major")).where("components > 1")
+    # Members of the largest component need not meet each other: their blocks come after those of all others.
+    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    mixed = mixed.select("key", F.col("major.component").alias("major"), blocks(F.col("members") - F.col("major.n")).alias("minor_blocks"), blocks(F.col("major.n")).alias("major_blocks"))
+    inside = F.col("component") == F.col("major")
+    place = F.xxhash64("id")
+    rows = placed.join(mixed, "key").withColumn("block", F.when(inside, F.col("minor_blocks") + F.pmod(place, F.col("major_blocks"))).otherwise(F.pmod(place, F.col("minor_blocks"))).cast("int"))
+    others = F.sequence(F.lit(0), F.when(inside, F.col("minor_blocks")).otherwise(F.col("minor_blocks") + F.col("major_blocks")) - 1)
+    rows = rows.withColumn("other", F.explode(others)).select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "set_a", "component")
     rows = rows.join(heads, ["id", "set_a"]).join(texts, "id").select("key", "i", "j", "block", "id", "component", F.col("n_shingles").alias("n"), "registers", "keys", "text")
     far = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_cross_links(percent), "a long, b long")
     comp = common.stored(components(comp.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(far)), "components")
 
-    whole = sketches.select("doc_id", *same).join(classes.where("copies > 1").select(*same, "rep"), same, "left").select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep"))
-    out = whole.join(comp.select(F.col("node").alias("rep"), "component"), "rep", "left").select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
-    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    whole = sketches.select("doc_id", *carry, *same).join(classes.where("copies > 1").select(*same, "rep"), same, "left").select("doc_id", *carry, "n_shingles", F.coalesce("rep", "doc_id").alias("rep"))
+    out = whole.join(comp.select(F.col("node").alias("rep"), "component"), "rep", "left").select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"), *carry)
+    return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), *carry)
 
 
 def drop_near_duplicates(docs: DataFrame, *, percent: int = LINK_PERCENT) -> DataFrame:
-    """The documents that stay, with all their columns: one of each component, and rows without an id."""
-    dropped = near_duplicates(docs, percent=percent).where(~F.col("kept") & F.col("doc_id").isNotNull()).select("doc_id").distinct()
-    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+    """The documents that stay, with all their columns: of each component the one with the least doc_id, and rows without
+    words or without an id.
+
+    Rows take part by what they hold, not by their doc_id: of rows that share one and are no copies of each other all stay, of
+    wholly equal rows one does.
+    """
+    h1, h2 = common.row_hashes(docs)
+    rows = docs.select(h1.alias("doc_id"), docs["doc_id"].alias("k_id"), h2.alias("h2"), docs["text"].alias("text"))
+    judged = near_duplicates(rows, percent=percent, carry=["k_id", "h2"]).select(F.col("doc_id").alias("h1"), "h2", "k_id", "n_shingles", "component_id")
+    judged = common.stored(judged.where("n_shingles > 0 and k_id is not null"), "near-judged")
+    keepers = judged.groupBy("component_id").agg(F.min(F.struct("k_id", "h1", "h2")).alias("keeper"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    grouped = judged.join(keepers.drop("n"), "component_id")
+    dropped = grouped.where("h1 <> keeper.h1 or h2 <> keeper.h2")
+    twice = grouped.where("h1 = keeper.h1 and h2 = keeper.h2").groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return common.without_rows(docs, common.stored(dropped.select("h1", "h2").distinct(), "near-dropped"), twice)
