@@ -28,6 +28,8 @@ STEP_LETTERS, STEP_ROWS = 1 << 20, 512
 UNDETERMINED = "und"
 #: Cosine below which no language is told: this share of this quantile, in length classes with so many labelled documents.
 SLACK, LOW_QUANTILE, CLASS_ROWS = 0.5, 0.01, 50
+#: The bound is set on about this many labelled documents, dealt by hash.
+CALIBRATION_ROWS = 50_000
 
 
 @functools.cache
@@ -101,7 +103,7 @@ def learn(labelled: DataFrame) -> dict[str, list[float]]:
 
     Trigrams are counted over the whole table; only one vector a language comes to the driver.
     """
-    counts = labelled.where("lang is not null").select("lang", "text").mapInArrow(_count, "lang string, code int, n long")
+    counts = labelled.where("lang is not null").select("lang", F.make_valid_utf8("text").alias("text")).mapInArrow(_count, "lang string, code int, n long")
     profile = counts.groupBy("lang", "code").agg(F.sum("n").alias("n"))
     parts = profile.mapInArrow(_bundle, "lang string, vector array<double>")
     sums = parts.select("lang", F.posexplode("vector")).groupBy("lang", "pos").agg(F.sum("col").alias("v"))
@@ -109,33 +111,43 @@ def learn(labelled: DataFrame) -> dict[str, list[float]]:
     return {r.lang: [x.v for x in r.vector] for r in rows}
 
 
-def _predict(prototypes: dict[str, list[float]]):
+def _scorer(prototypes: dict[str, list[float]]):
+    """(languages in order, function of a column of texts: place of the best one or -1, its cosine)."""
     langs = sorted(prototypes)
     table = np.array([prototypes[x] for x in langs], np.float64).reshape(len(langs), DIMENSIONS)
     table = (table / np.maximum(np.linalg.norm(table, axis=1, keepdims=True), 1e-12)).astype(np.float32)
 
+    def score(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        best, score = np.full(len(column), -1), np.zeros(len(column))
+        for at, to, codes, rows in trigrams(column):
+            row_ends = np.searchsorted(rows, np.arange(to - at + 1))
+            low = 0
+            while low < to - at and langs:
+                high = max(low + 1, min(low + STEP_ROWS, int(np.searchsorted(row_ends, row_ends[low] + STEP_LETTERS, side="right")) - 1))
+                part = slice(row_ends[low], row_ends[high])
+                seen, where = np.unique(codes[part], return_inverse=True)
+                if len(seen):
+                    documents = np.zeros((high - low, DIMENSIONS), np.float32)
+                    for c in range(0, len(seen), 8192):
+                        inside = (where >= c) & (where < c + 8192)
+                        width = min(8192, len(seen) - c)
+                        counts = np.bincount((rows[part][inside] - low) * width + where[inside] - c, minlength=(high - low) * width)
+                        documents += counts.reshape(high - low, width).astype(np.float32) @ trigram_vectors(seen[c : c + width])
+                    has = np.flatnonzero(np.diff(row_ends[low : high + 1]))
+                    norm = np.maximum(np.linalg.norm(documents[has], axis=1), 1e-12)
+                    cosine = documents[has] @ table.T / norm[:, None]
+                    best[at + low + has], score[at + low + has] = cosine.argmax(1), np.clip(cosine.max(1), 0, 1)
+                low = high
+        return best, score
+
+    return langs, score
+
+
+def _predict(prototypes: dict[str, list[float]]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        langs, rate = _scorer(prototypes)
         for batch in batches:
-            best, score = np.full(batch.num_rows, -1), np.zeros(batch.num_rows)
-            for at, to, codes, rows in trigrams(batch.column(batch.num_columns - 1)):
-                row_ends = np.searchsorted(rows, np.arange(to - at + 1))
-                low = 0
-                while low < to - at and langs:
-                    high = max(low + 1, min(low + STEP_ROWS, int(np.searchsorted(row_ends, row_ends[low] + STEP_LETTERS, side="right")) - 1))
-                    part = slice(row_ends[low], row_ends[high])
-                    seen, where = np.unique(codes[part], return_inverse=True)
-                    if len(seen):
-                        documents = np.zeros((high - low, DIMENSIONS), np.float32)
-                        for c in range(0, len(seen), 8192):
-                            inside = (where >= c) & (where < c + 8192)
-                            width = min(8192, len(seen) - c)
-                            counts = np.bincount((rows[part][inside] - low) * width + where[inside] - c, minlength=(high - low) * width)
-                            documents += counts.reshape(high - low, width).astype(np.float32) @ trigram_vectors(seen[c : c + width])
-                        has = np.flatnonzero(np.diff(row_ends[low : high + 1]))
-                        norm = np.maximum(np.linalg.norm(documents[has], axis=1), 1e-12)
-                        cosine = documents[has] @ table.T / norm[:, None]
-                        best[at + low + has], score[at + low + has] = cosine.argmax(1), np.clip(cosine.max(1), 0, 1)
-                    low = high
+            best, score = rate(batch.columns[-1])
             names = [langs[b] if b >= 0 else UNDETERMINED for b in best]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(names, pa.string()), pa.array(score)], names=[*batch.schema.names[:-1], "lang_pred", "score"])
 
@@ -145,7 +157,7 @@ def _predict(prototypes: dict[str, list[float]]):
 def predict(docs: DataFrame, prototypes: dict[str, list[float]], keep: dict[str, Column] | None = None) -> DataFrame:
     """doc_id, the kept columns, lang_pred and score from the text alone; `und` and 0 where it has no letter."""
     keep = keep or {}
-    narrow = docs.select("doc_id", *[c.alias(n) for n, c in keep.items()], "text")
+    narrow = docs.select("doc_id", *[c.alias(n) for n, c in keep.items()], F.make_valid_utf8("text").alias("text"))
     types = ", ".join(f"`{n}` {t}" for n, t in narrow.dtypes[:-1])
     return narrow.mapInArrow(_predict(prototypes), f"{types}, lang_pred string, score double")
 
@@ -155,31 +167,49 @@ def identify(docs: DataFrame) -> DataFrame:
 
     Learns from text and lang of documents whose crc32(doc_id) mod 4 is not 2 (a null id is never learned from and
     not held out). Null text and text without letters are `und` with score 0, and so is everything if nothing
-    could be learned. Equal cosines go to the first language in order. An empty table gives an empty result.
+    could be learned. Equal cosines go to the first language in order. Rows that repeat are rated each on their own, bytes that
+    are not UTF-8 count as U+FFFD, which is no letter. An empty table gives an empty result.
     """
     fold = F.pmod(F.crc32(common.utf8_bytes(F.col("doc_id").cast("string"))), F.lit(4))
     prototypes = learn(docs.where(fold != 2))
     return predict(docs, prototypes, {"held_out": F.coalesce(fold == 2, F.lit(False))})
 
 
+def _clear(prototypes: dict[str, list[float]], lows: dict[int, float]):
+    """Rows (row, has id, length class, text): the row of those without an id, and of those near enough to a language."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _, rate = _scorer(prototypes)
+        for batch in batches:
+            best, score = rate(batch.columns[-1])
+            size, known = batch.columns[-2].to_numpy(), batch.columns[-3].to_numpy(zero_copy_only=False)
+            bound = np.zeros(len(size))
+            for c in sorted(lows):
+                bound[size >= c] = lows[c]
+            keep = pa.array(~known | ((best >= 0) & (score >= bound)))
+            yield pa.RecordBatch.from_arrays(batch.columns[:1], names=["row"]).filter(keep)
+
+    return run
+
+
 def drop_undetermined(docs: DataFrame) -> DataFrame:
     """Documents for which a language was found, with all their columns; rows without an id stay.
 
-    A document goes if it has no letter, or if its cosine is below SLACK times the LOW_QUANTILE quantile of all labelled
-    documents of its length class (doubling lengths) that are not held out. A class with fewer than CLASS_ROWS of
-    them has the bound of the class below it, or none. If nothing could be learned, all documents stay.
+    A document goes if it has no letter, or if its cosine is below SLACK times the LOW_QUANTILE quantile of about
+    CALIBRATION_ROWS labelled documents of its length class (doubling lengths) that are not held out. A class with fewer
+    than CLASS_ROWS of them has the bound of the class below it, or none. If nothing could be learned, all documents
+    stay. Each row is judged by its own text, also where rows share a doc_id, and filtered in the task that reads it.
     """
     fold = F.pmod(F.crc32(common.utf8_bytes(F.col("doc_id").cast("string"))), F.lit(4))
-    prototypes = learn(docs.where(fold != 2))
+    labelled = docs.where((fold != 2) & F.col("lang").isNotNull())
+    prototypes = learn(labelled)
     if not prototypes:
         return docs
     size = F.floor(F.log2(F.greatest(F.lit(1), F.length(F.coalesce("text", F.lit("")))).cast("double"))).cast("int")
-    known = F.coalesce(fold != 2, F.lit(False)) & F.col("lang").isNotNull()
-    scored = common.stored(predict(docs, prototypes, {"known": known, "size_class": size}), "language-scores")
-    found = scored.where(F.col("known") & (F.col("lang_pred") != UNDETERMINED)).groupBy("size_class").agg(F.count(F.lit(1)).alias("n"), F.percentile_approx("score", LOW_QUANTILE, 10_000).alias("low"))
+    share = min(1.0, CALIBRATION_ROWS / max(1, labelled.count()))
+    dealt = labelled.where(F.pmod(F.xxhash64(F.lit("calibration"), "doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
+    scored = predict(dealt, prototypes, {"size_class": size})
+    found = scored.where(F.col("lang_pred") != UNDETERMINED).groupBy("size_class").agg(F.count(F.lit(1)).alias("n"), F.percentile_approx("score", LOW_QUANTILE, 10_000).alias("low"))
     lows = {r.size_class: SLACK * r.low for r in found.collect() if r.n >= CLASS_ROWS}  # at most 32 classes
-    bound = F.lit(0.0)
-    for c in sorted(lows):
-        bound = F.when(F.col("size_class") >= c, F.lit(lows[c])).otherwise(bound)
-    rejected = scored.where(((F.col("lang_pred") == UNDETERMINED) | (F.col("score") < bound)) & F.col("doc_id").isNotNull()).select("doc_id")
-    return docs.join(rejected, "doc_id", "left_anti").select(*docs.columns)
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.col("doc_id").isNotNull().alias("has_id"), size.alias("size_class"), F.make_valid_utf8("text").alias("text"))
+    return rows.mapInArrow(_clear(prototypes, lows), rows.select("row").schema).select(*[F.col("row")[c].alias(c) for c in docs.columns])
