@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plotlink.llm import common, textkernel
+from plotlink.llm import textkernel
 
 #: Edits allowed, as a share of an item's words, and the fewest words of an item that is met by walks.
 EDIT_SHARE, MIN_WORDS = 0.2, 8
@@ -284,6 +284,32 @@ def _match(index: ItemIndex, share: float):
     return run
 
 
+def _clean(index: ItemIndex, share: float):
+    """Rows (row, has id, text) that hold no item; rows without an id stay."""
+    match = _match(index, share)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = np.ones(batch.num_rows, bool)
+            numbered = pa.RecordBatch.from_arrays([pa.array(np.arange(batch.num_rows)), batch.columns[-1]], names=["row", "text"])
+            for hit in match(iter([numbered])):
+                keep[hit.column(0).to_numpy()] = False
+            keep |= ~batch.columns[-2].to_numpy(zero_copy_only=False)
+            yield batch.filter(pa.array(keep))
+
+    return run
+
+
+def _blocks(benchmark: DataFrame, share: float, repeats: int) -> Iterator[ItemIndex]:
+    """The items, a stated query set, in blocks of bounded size."""
+    items = benchmark.where("item_id is not null and text is not null").select("item_id", "text")
+    n, size = items.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    blocks = max(1, -(-n // BLOCK_ITEMS), -(-size // BLOCK_BYTES))
+    for k in range(blocks):
+        rows = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k).collect()
+        yield ItemIndex([r.item_id for r in rows], [r.text for r in rows], repeats, share=share)
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, *, share: float = EDIT_SHARE, repeats: int = REPEATS) -> DataFrame:
     """doc_id, item_id, distance, item_words, end_word: the documents that hold a stretch of text within
     share * words edits (of words) of an item, with the best stretch's distance and the word where it ends.
@@ -293,19 +319,21 @@ def leaks(docs: DataFrame, benchmark: DataFrame, *, share: float = EDIT_SHARE, r
     their own. A row of the result stands for one document row and item; an empty table gives an empty result.
     """
     schema = "doc_id long, item_id long, distance long, item_words long, end_word long"
-    items = benchmark.where("item_id is not null and text is not null").select("item_id", "text")
-    n, size = items.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
-    blocks = max(1, -(-n // BLOCK_ITEMS), -(-size // BLOCK_BYTES))
     out = None
-    for k in range(blocks):
-        rows = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k).collect()  # a block of the query set
-        index = ItemIndex([r.item_id for r in rows], [r.text for r in rows], repeats, share=share)
+    for index in _blocks(benchmark, share, repeats):
         found = docs.select("doc_id", "text").mapInArrow(_match(index, share), schema)
         out = found if out is None else out.unionByName(found)
     return out
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The documents that hold no benchmark item, with all their columns; rows without an id stay."""
-    bad = common.stored(leaks(docs, benchmark, **options).where("doc_id is not null").select("doc_id").distinct(), "leaks")
-    return docs.join(bad, "doc_id", "left_anti").select(*docs.columns)
+    """The documents that hold no benchmark item, with all their columns; rows without an id stay.
+
+    Each row is judged by its own text, also where rows share a doc_id. Documents are read once: they pass the blocks of
+    items one after another, and what a block finds goes at once.
+    """
+    share, repeats = options.get("share", EDIT_SHARE), options.get("repeats", REPEATS)
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.col("doc_id").isNotNull().alias("has_id"), "text")
+    for index in _blocks(benchmark, share, repeats):
+        rows = rows.mapInArrow(_clean(index, share), rows.schema)
+    return rows.select(*[F.col("row")[c].alias(c) for c in docs.columns])
