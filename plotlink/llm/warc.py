@@ -31,12 +31,32 @@ def record_bytes(page_id: Column, url: Column, html: Column) -> Column:
 def records(pages: DataFrame, archive_records: int = ARCHIVE_RECORDS) -> DataFrame:
     """archive, offset, length, page_id, url, html: pages dealt evenly to archive files by a hash of page_id, and
     placed by page_id, url and html inside. An empty table has no archives."""
-    archives = max(1, -(-pages.count() // archive_records))
-    archive = F.pmod(F.conv(F.substring(common.seeded_hex("warc", F.col("page_id")), 1, 8), 16, 10).cast("long"), F.lit(archives))
     length = F.octet_length(record_bytes(F.col("page_id"), F.col("url"), F.col("html"))).cast("long")
-    sized = pages.select(archive.alias("archive"), length.alias("length"), "page_id", "url", "html")
-    before = Window.partitionBy("archive").orderBy("page_id", "url", "html").rowsBetween(Window.unboundedPreceding, -1)
-    return sized.withColumn("offset", F.coalesce(F.sum("length").over(before), F.lit(0)))
+    sized = pages.select(_archive(pages, archive_records).alias("archive"), length.alias("length"), "page_id", "url", "html")
+    return sized.withColumn("offset", _offset("page_id", "url", "html"))
+
+
+def _archive(pages: DataFrame, archive_records: int) -> Column:
+    archives = max(1, -(-pages.count() // archive_records))
+    return F.pmod(F.conv(F.substring(common.seeded_hex("warc", F.col("page_id")), 1, 8), 16, 10).cast("long"), F.lit(archives))
+
+
+def _offset(*order: str) -> Column:
+    before = Window.partitionBy("archive").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    return F.coalesce(F.sum("length").over(before), F.lit(0))
+
+
+def digests(pages: DataFrame, replica_html: Column, archive_records: int = ARCHIVE_RECORDS) -> DataFrame:
+    """archive, offset, page_id, digest and replica (the digest of the replica's record) of pages as `records` places them.
+
+    Contents are hashed where they are read: what is sorted by archive is a few dozen bytes a record. Pages that agree in
+    page_id and url go by their digest.
+    """
+    record = lambda html: record_bytes(F.col("page_id"), F.col("url"), html)
+    sha = lambda content: F.sha2(common.utf8_bytes(content), 256)
+    length = F.octet_length(record(F.col("html"))).cast("long")
+    sized = pages.select(_archive(pages, archive_records).alias("archive"), length.alias("length"), "page_id", F.xxhash64("url").alias("place"), sha(record(F.col("html"))).alias("digest"), sha(record(replica_html)).alias("replica"))
+    return sized.withColumn("offset", _offset("page_id", "place", "digest")).drop("length", "place")
 
 
 def leaves(placed: DataFrame, content: Column, record_id: str = "page_id") -> DataFrame:
@@ -91,9 +111,8 @@ def audit_pages(pages: DataFrame) -> DataFrame:
     Of the pages whose seeded hash mod 50 is 0 the replica's html has its first printable character overwritten;
     where it is 1 the record is lost. The audit must find those records and no others.
     """
-    placed = common.stored(records(pages), "records")
     fate = F.pmod(F.conv(F.substring(common.seeded_hex("damage", F.col("page_id")), 1, 8), 16, 10).cast("long"), F.lit(50))
     html = F.when(fate == 0, F.regexp_replace("html", r"^[\x21-\x7E]", "~")).otherwise(F.col("html"))
-    good = leaves(placed, record_bytes(F.col("page_id"), F.col("url"), F.col("html")))
-    bad = leaves(placed.where(fate != 1), record_bytes(F.col("page_id"), F.col("url"), html))
-    return audit(good, bad).withColumnRenamed("record_id", "page_id")
+    placed = common.stored(digests(pages, html), "records")
+    leaf = lambda rows, digest: rows.select("archive", F.col("offset").cast("long"), F.col("page_id").alias("record_id"), F.col(digest).alias("digest"))
+    return audit(leaf(placed, "digest"), leaf(placed.where(fate != 1), "replica")).withColumnRenamed("record_id", "page_id")
