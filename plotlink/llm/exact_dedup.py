@@ -83,16 +83,16 @@ def build_index(docs: DataFrame, prints: DataFrame, capacity: int = BUCKET_BYTES
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-sum(loads.values()) // TASK_BYTES))
     chained = [F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")]
     # An owner task holds whole buckets, so grouping them needs no other shuffle.
-    owned = lambda r: r.repartition(tasks, "bucket", "owner").groupBy("bucket", "owner", "key", "bytes").agg(*chained)
-    entry = lambda c: c.select("bucket", "owner", "key", F.sha2(common.utf8_bytes(F.col("bytes")), 256).alias("text_sha256"), "keep_id", "group_size")
+    owned = lambda r, *owner: r.repartition(tasks, *owner).groupBy(*owner, "key", "bytes").agg(*chained)
+    entry = lambda c: c.select("bucket", "key", F.sha2(common.utf8_bytes(F.col("bytes")), 256).alias("text_sha256"), "keep_id", "group_size")
     if hot.isEmpty():
-        entries = entry(owned(rows.withColumn("owner", F.lit(0))))
+        entries = entry(owned(rows, "bucket"))
     else:
-        cold = rows.join(common.small(hot), "key", "left_anti").withColumn("owner", F.lit(0))
+        cold = rows.join(common.small(hot), "key", "left_anti")
         dealt = rows.join(common.small(hot), "key").withColumn("owner", F.pmod(F.xxhash64("doc_id") + F.spark_partition_id(), F.col("owners")).cast("int"))
-        merged = owned(dealt).groupBy("bucket", "key", "bytes").agg(F.max("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"))
-        entries = entry(owned(cold)).unionByName(entry(merged.withColumn("owner", F.lit(0))))
-    place = Window.partitionBy("bucket", "owner", "key").orderBy("text_sha256")
+        merged = owned(dealt, "bucket", "owner").groupBy("bucket", "key", "bytes").agg(F.max("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"))
+        entries = entry(owned(cold, "bucket")).unionByName(entry(merged))
+    place = Window.partitionBy("bucket", "key").orderBy("text_sha256")
     return common.stored(entries.withColumn("chain", F.row_number().over(place)).select("bucket", "key", "chain", "text_sha256", "keep_id", "group_size"), "extendible-index")
 
 
