@@ -54,6 +54,98 @@ def oriented(ring: Column) -> Column:
     return let(ring, lambda r: F.when(signed_area(r) < 0, back(r)).otherwise(r))
 
 
+def clockwise(ring: Column) -> Column:
+    """The ring clockwise."""
+    return let(oriented(ring), turned)
+
+
+def turned(ring: Column) -> Column:
+    """The ring run the other way."""
+    return F.flatten(F.transform(F.reverse(points(ring)), lambda p: F.array(p["x"], p["y"])))
+
+
+def shape_edges(shape: Column, kind: str) -> Column:
+    """All edges of a footprint, outer rings counter-clockwise and holes clockwise. kind, its type: `array<double>` is one
+    ring, `array<array<double>>` rings of which those whose centroid lies in an odd number of larger ones are holes,
+    anything else polygons (array<struct<outer, holes>>)."""
+    if kind == "array<double>":
+        return edges(oriented(shape))
+    if kind == "array<array<double>>":
+
+        def of(rings: Column) -> Column:
+            def one(r: Column) -> Column:
+                around = let(centroid(r), lambda c: F.size(F.filter(rings, lambda o: (area(o) > area(r)) & contains_point(o, c["x"], c["y"]))))
+                return edges(F.when(around % 2 == 1, clockwise(r)).otherwise(oriented(r)))
+
+            return F.flatten(F.transform(rings, one))
+
+        return let(shape, of)
+    return F.flatten(F.transform(shape, lambda p: F.concat(edges(oriented(p["outer"])), F.flatten(F.transform(p["holes"], lambda h: edges(clockwise(h)))))))
+
+
+def edges_area(items: Column) -> Column:
+    """Area inside directed edges such as shape_edges gives."""
+    return F.aggregate(items, F.lit(0.0), lambda s, e: s + (e["ax"] * e["by"] - e["bx"] * e["ay"]) / 2)
+
+
+def shape_area(shape: Column, kind: str) -> Column:
+    return area(shape) if kind == "array<double>" else edges_area(shape_edges(shape, kind))
+
+
+def polygons_envelope(polygons: Column) -> Column:
+    """struct<x0, y0, x1, y1> over the outer rings."""
+    return envelope(F.flatten(F.transform(polygons, lambda p: p["outer"])))
+
+
+def is_simple(polygons: Column) -> Column:
+    """One polygon without holes."""
+    return (F.size(polygons) == 1) & F.forall(polygons, lambda p: F.size(p["holes"]) == 0)
+
+
+def inside_edges(items: Column, x: Column, y: Column) -> Column:
+    """Even-odd rule over all rings of a footprint."""
+    crosses = lambda e: ((e["ay"] > y) != (e["by"] > y)) & (x < (e["bx"] - e["ax"]) * (y - e["ay"]) / (e["by"] - e["ay"]) + e["ax"])
+    return F.size(F.filter(items, crosses)) % 2 == 1
+
+
+def boundary_distance(ring: Column, x: Column, y: Column) -> Column:
+    """Distance of a point from a ring."""
+    return F.array_min(F.transform(edges(ring), lambda e: segment_distance(x, y, e["ax"], e["ay"], e["bx"], e["by"])))
+
+
+def ring_distance(a: Column, b: Column) -> Column:
+    """Distance of two rings' areas: 0 where they meet, else the least distance of a corner of one from an edge of the other."""
+
+    def of(p: Column, q: Column) -> Column:
+        cross = lambda ox, oy, e: (e["bx"] - e["ax"]) * (oy - e["ay"]) - (e["by"] - e["ay"]) * (ox - e["ax"])
+        meet = lambda s, t: (cross(s["ax"], s["ay"], t) * cross(s["bx"], s["by"], t) < 0) & (cross(t["ax"], t["ay"], s) * cross(t["bx"], t["by"], s) < 0)
+        cut = F.exists(edges(p), lambda s: F.exists(edges(q), lambda t: meet(s, t)))
+        within = contains_point(p, F.get(q, 0), F.get(q, 1)) | contains_point(q, F.get(p, 0), F.get(p, 1))
+        apart = F.least(*[F.array_min(F.transform(points(r), lambda c, o=o: boundary_distance(o, c["x"], c["y"]))) for r, o in ((p, q), (q, p))])
+        return F.when(cut | within, 0.0).otherwise(apart)
+
+    return let(a, lambda p: let(b, lambda q: of(p, q)))
+
+
+def nearest_point(corners: Column, x: Column, y: Column, most: float) -> Column:
+    """The point of array<struct<x, y>> nearest to (x, y) within `most`, the last one of equally near ones; else null."""
+    ranked = F.transform(corners, lambda p, i: F.struct(F.hypot(p["x"] - x, p["y"] - y).alias("d"), (-i).alias("k"), p["x"].alias("x"), p["y"].alias("y")))
+    return let(F.array_min(F.filter(ranked, lambda r: r["d"] <= most)), lambda m: F.when(m.isNotNull(), F.struct(m["x"].alias("x"), m["y"].alias("y"), m["d"].alias("d"))))
+
+
+def at_outline(ring: Column, nodes: Column, eps: float = 0.01) -> Column:
+    """Whether a map way lies on an official outline: every node within eps of it, and a node within eps of every corner.
+    nodes: array<struct<x, y>>; an unknown place says no."""
+    known = F.forall(nodes, lambda n: n["x"].isNotNull() & n["y"].isNotNull())
+    on = F.forall(nodes, lambda n: boundary_distance(ring, n["x"], n["y"]) <= eps)
+    return F.coalesce(known & on & F.forall(points(ring), lambda c: F.exists(nodes, lambda n: F.hypot(n["x"] - c["x"], n["y"] - c["y"]) <= eps)), F.lit(False))
+
+
+def area_guard(box: Column, most_km2: float = 1.0) -> Column:
+    """Whether a box in metres is small enough to be fetched."""
+    return (box["x1"] - box["x0"]) * (box["y1"] - box["y0"]) <= most_km2 * 1e6
+
+
 def centroid(ring: Column) -> Column:
     """Area centroid; the middle of the envelope where the area is 0."""
     cross = lambda s: s["ax"] * s["by"] - s["bx"] * s["ay"]

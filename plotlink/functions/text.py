@@ -8,9 +8,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: One house number after spaces were collapsed: 12, 12a, 12-14, 12a/b is not one.
-_NUMBER = r"\d+(?: ?[a-zA-Z])?(?: ?[-/] ?\d+(?: ?[a-zA-Z])?)?"
-_ADDRESS = rf"^(.+?) ({_NUMBER}(?: ?, ?{_NUMBER})*)$"
+#: The accepted house numbers, blanks taken out: digits and at most one letter, or a span of two of these.
+_HOUSE = r"[0-9]+[A-Za-z]?([-/][0-9]+[A-Za-z]?)?"
 #: Marks a table value that stands for "not a building of its own" (fixed value).
 EXCLUDE = "-"
 
@@ -19,12 +18,35 @@ def not_blank(c: Column) -> Column:
     return c.isNotNull() & (F.trim(c) != "")
 
 
+def _street_and_numbers(part: Column) -> Column:
+    """struct<street, numbers> of "street n, n, ...": the street is null if there is none or no number.
+
+    The first of the comma tokens holds the street and the first number: its words are taken as number from the earliest one
+    after the first from which all that follows is a house number. Every other token must be a number as a whole.
+    """
+
+    def of(tokens: Column) -> Column:
+        words = F.split(F.trim(tokens[0]), " ")
+        rest = F.transform(F.slice(tokens, 2, F.greatest(F.lit(1), F.size(tokens))), lambda t: F.replace(t, F.lit(" "), F.lit("")))
+
+        def cut(w: Column) -> Column:
+            tail = lambda k: F.array_join(F.slice(w, k, F.size(w)), "")
+            at = F.array_min(F.filter(F.sequence(F.lit(2), F.greatest(F.size(w), F.lit(2))), lambda k: (k <= F.size(w)) & tail(k).rlike(f"^{_HOUSE}$")))
+            good = at.isNotNull() & F.forall(rest, lambda n: n.rlike(f"^{_HOUSE}$"))
+            return F.when(good, F.struct(F.array_join(F.slice(w, F.lit(1), at - 1), " ").alias("street"), F.concat(F.array(tail(at)), rest).alias("numbers"))).otherwise(F.struct(F.lit(None).cast("string").alias("street"), F.array().cast("array<string>").alias("numbers")))
+
+        return F.get(F.transform(F.array(words), cut), F.lit(0))
+
+    return F.get(F.transform(F.array(F.split(part, ",")), of), F.lit(0))
+
+
 def parse_address(text: Column) -> Column:
     """struct<street, housenumber, problem>; problem is null, 'number' (a part without one) or 'streets' (several)."""
     parts = F.filter(F.transform(F.split(text, ";"), lambda g: F.trim(F.regexp_replace(g, r"\s+", " "))), lambda t: t != "")
-    streets = F.array_distinct(F.transform(parts, lambda t: F.trim(F.regexp_extract(t, _ADDRESS, 1))))
-    numbers = F.flatten(F.transform(parts, lambda t: F.transform(F.split(F.regexp_extract(t, _ADDRESS, 2), ","), lambda n: F.regexp_replace(n, r"\s+", ""))))
-    fails = F.exists(parts, lambda t: ~t.rlike(_ADDRESS))
+    read = F.transform(parts, _street_and_numbers)
+    streets = F.array_distinct(F.transform(read, lambda r: r["street"]))
+    numbers = F.flatten(F.transform(read, lambda r: r["numbers"]))
+    fails = F.exists(read, lambda r: r["street"].isNull())
     problem = F.when(fails, "number").when(F.size(streets) > 1, "streets")
     good = problem.isNull() & (F.size(parts) > 0)
     return F.struct(F.when(good, streets[0]).alias("street"), F.when(good, F.array_join(numbers, ";")).alias("housenumber"), F.when(F.size(parts) > 0, problem).alias("problem"))

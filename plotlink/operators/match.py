@@ -17,34 +17,30 @@ APPLICABLE = ("UEBERNAHME_EMPFOHLEN", "ANGLEICHEN", "DISKREPANZ", "UNGEPRUEFT")
 DEFAULT_ACCEPT = ("UEBERNAHME_EMPFOHLEN", "ANGLEICHEN")
 
 
-def _is_box(ring: str, prefix: str = "") -> Column:
-    """Axis-parallel boxes in the order that geometry.rectangle writes them; any other ring takes the general way."""
-    return F.col(ring) == G.rectangle(*[F.col(prefix + c) for c in gridjoin.BOX])
-
-
-def with_shared_area(pairs: DataFrame, ids: list[str], ring: str = "ring", other: str = "o_ring") -> DataFrame:
-    """Adds shared: closed form where both footprints are axis-parallel boxes, edge overlay for all others."""
-    boxes = _is_box(ring) & _is_box(other, "o_")
-    width = F.greatest(F.lit(0.0), F.least("x1", "o_x1") - F.greatest("x0", "o_x0"))
-    height = F.greatest(F.lit(0.0), F.least("y1", "o_y1") - F.greatest("y0", "o_y0"))
-    # Stored once: both branches and the callers read the joined pairs again.
-    marked = cut_lineage(pairs.withColumn("both_boxes", boxes))
-    general = marked.where(~F.col("both_boxes")).drop("both_boxes")
-    closed = marked.where("both_boxes").drop("both_boxes").withColumn("shared", width * height)
-    if general.isEmpty():
-        return closed
-    areas = overlay.shared_area(general.select(*ids, F.array(ring).alias("rings_a"), F.array(other).alias("rings_b")), ids, "rings_a", "rings_b")
-    general = general.join(areas, ids, "left").withColumn("shared", F.coalesce("shared", F.lit(0.0)))
-    return closed.unionByName(general)
+def _shape(df: DataFrame, prefix: str = "") -> str:
+    """Footprints are polygons (array<struct<outer, holes>>) where a table has that column, else a single ring."""
+    return prefix + ("polygons" if prefix + "polygons" in df.columns else "ring")
+
+
+def _area(df: DataFrame, prefix: str = "") -> Column:
+    name = _shape(df, prefix)
+    return G.shape_area(F.col(name), df.schema[name].dataType.simpleString())
+
+
+def with_shared_area(pairs: DataFrame, ids: list[str]) -> DataFrame:
+    """Adds shared, 0 for pairs that share nothing."""
+    areas = overlay.shared_area(pairs.select(*ids, F.col(_shape(pairs)).alias("shape_a"), F.col(_shape(pairs, "o_")).alias("shape_b")), ids, "shape_a", "shape_b")
+    return pairs.join(areas, ids, "left").withColumn("shared", F.coalesce("shared", F.lit(0.0)))
 
 
 def partners(official: DataFrame, mapped: DataFrame, params: Params = DEFAULTS) -> DataFrame:
     """Pairs of official and mapped buildings that share at least partner_overlap of the smaller footprint.
 
-    official: id, ring, x0..y1; mapped: osm_id, is_way, ring, x0..y1. Adds area, o_area, shared, iou, overlap.
+    official: id, ring or polygons, x0..y1; mapped: osm_id, is_way, ring or polygons, x0..y1. Adds area, o_area, shared, iou, overlap.
     """
-    sized = lambda df: df.withColumn("area", G.area(F.col("ring")))  # noqa: E731  once a building, not once a pair
-    pairs = with_shared_area(gridjoin.envelope_join(sized(official), sized(mapped), size=params.cell), ["id", "o_osm_id"])
+    sized = lambda df: df.withColumn("area", _area(df))  # noqa: E731  once a building, not once a pair
+    # Stored once: the overlay and the callers read the joined pairs again.
+    pairs = with_shared_area(cut_lineage(gridjoin.envelope_join(sized(official), sized(mapped), size=params.cell)), ["id", "o_osm_id"])
     union, smaller = F.col("area") + F.col("o_area") - F.col("shared"), F.least("area", "o_area")
     pairs = pairs.withColumn("iou", F.when(union > 0, F.col("shared") / union).otherwise(0.0)).withColumn("overlap", F.when(smaller > 0, F.col("shared") / smaller).otherwise(0.0))
     return pairs.where(F.col("overlap") >= params.partner_overlap)
@@ -58,12 +54,12 @@ def classify(official: DataFrame, mapped: DataFrame, params: Params = DEFAULTS)
     pairs = partners(official, mapped, params).withColumn("sharers", F.count(F.lit(1)).over(Window.partitionBy("o_osm_id")))
     grouped = pairs.groupBy("id").agg(
         F.count(F.lit(1)).alias("n_partners"), F.sort_array(F.collect_list("o_osm_id")).alias("partners"), F.first("iou").alias("iou"), F.first("o_is_way").alias("partner_is_way"), F.max("sharers").alias("sharers"),
-        F.first("ring").alias("ring"), F.first("o_ring").alias("o_ring"),
+        F.first(_shape(pairs)).alias("shape"), F.first(_shape(pairs, "o_")).alias("o_shape"),
     )
     grouped = cut_lineage(grouped)
     single = grouped.where("n_partners = 1")
-    near = overlay.discrete_hausdorff(single, ["id"], "ring", "o_ring")
-    out = official.select("id").join(grouped.drop("ring", "o_ring"), "id", "left").join(near, "id", "left")
+    near = overlay.discrete_hausdorff(single, ["id"], "shape", "o_shape")
+    out = official.select("id").join(grouped.drop("shape", "o_shape"), "id", "left").join(near, "id", "left")
     n = F.coalesce("n_partners", F.lit(0))
     same = (F.col("iou") >= params.identical_iou) & (F.col("hausdorff") <= params.identical_hausdorff)
     label = (
@@ -78,7 +74,7 @@ def map_only(official: DataFrame, mapped: DataFrame, area: tuple[float, float, f
     """Mapped buildings inside the area that no official geometry (excluded ones too) covers by map_only_overlap."""
     inside = mapped if area is None else mapped.where((F.col("x0") >= area[0]) & (F.col("y0") >= area[1]) & (F.col("x1") <= area[2]) & (F.col("y1") <= area[3]))
     pairs = with_shared_area(gridjoin.envelope_join(official, inside, size=params.cell), ["id", "o_osm_id"])
-    smaller = F.least(G.area(F.col("ring")), G.area(F.col("o_ring")))
+    smaller = F.least(_area(pairs), _area(pairs, "o_"))
     covered = pairs.where((smaller > 0) & (F.col("shared") / smaller >= params.map_only_overlap)).select(F.col("o_osm_id").alias("osm_id"))
     return inside.join(covered, "osm_id", "left_anti")
 
@@ -115,7 +111,7 @@ def mask_pairs(official: DataFrame, params: Params = DEFAULTS) -> DataFrame:
     may belong to the neighbour and are not counted."""
     near = gridjoin.self_envelope_join(official, "id", grow=params.mask_distance, size=params.cell)
     near = with_shared_area(near, ["id", "o_id"])
-    smaller = F.least(G.area(F.col("ring")), G.area(F.col("o_ring")))
+    smaller = F.least(_area(near), _area(near, "o_"))
     apart = near.where((smaller > 0) & (F.col("shared") / smaller <= 0.9))
     return apart.select("id", "o_id")
 
@@ -141,3 +137,54 @@ def loaded_split(official: DataFrame, areas: DataFrame, params: Params = DEFAULT
     full = F.forall(mid("xs"), lambda x: F.forall(mid("ys"), lambda y: F.exists("parts", lambda p: (p["x0"] < x) & (x < p["x1"]) & (p["y0"] < y) & (y < p["y1"]))))
     done = g.select("id", full.alias("covered"))
     return official.join(done, "id", "left").withColumn("covered", F.coalesce("covered", F.lit(False)))
+
+
+def sound(official: DataFrame) -> DataFrame:
+    """Rows whose footprint has an area; null, empty and collapsed ones go."""
+    return official.where(F.coalesce(_area(official) > 0, F.lit(False)))
+
+
+def smallest_hit(buildings: DataFrame, points: DataFrame, params: Params = DEFAULTS) -> DataFrame:
+    """point_id, id: of the buildings that hold a point the one with the least envelope (then the least id)."""
+    p = points.select("point_id", "x", "y", F.col("x").alias("x0"), F.col("y").alias("y0"), F.col("x").alias("x1"), F.col("y").alias("y1"))
+    near = gridjoin.envelope_join(p, buildings, size=params.cell)
+    name = _shape(near, "o_")
+    hit = near.where(G.inside_edges(G.shape_edges(F.col(name), near.schema[name].dataType.simpleString()), F.col("x"), F.col("y")))
+    size = (F.col("o_x1") - F.col("o_x0")) * (F.col("o_y1") - F.col("o_y0"))
+    return hit.groupBy("point_id").agg(F.min(F.struct(size.alias("size"), F.col("o_id").alias("id"))).alias("m")).select("point_id", "m.id")
+
+
+def neighbour_mask(official: DataFrame, params: Params = DEFAULTS) -> DataFrame:
+    """id, mask (array of rings): the outlines, grown by mask_distance, of the neighbours of mask_pairs. Their union is
+    what lies in any of them, which is how raster.outline_samples reads a mask."""
+    grown = official.select(F.col("id").alias("o_id"), G.mitred(F.col("ring"), F.lit(params.mask_distance)).alias("grown"))
+    return mask_pairs(official, params).join(grown, "o_id").groupBy("id").agg(F.transform(F.sort_array(F.collect_list(F.struct("o_id", "grown"))), lambda g: g["grown"]).alias("mask"))
+
+
+def replaceable(match_class: Column, polygons: Column, is_way: Column, closed: Column) -> Column:
+    """Whether a partner's outline can be replaced by the official one."""
+    return F.coalesce(match_class.isin(DEVIATING, SAME) & G.is_simple(polygons) & is_way & closed, F.lit(False))
+
+
+def is_replacement(match_class: Column, align_required: Column) -> Column:
+    return (match_class == DEVIATING) | ((match_class == SAME) & F.coalesce(align_required, F.lit(False)))
+
+
+def awaits_alignment(status: Column, can_replace: Column, recommended: Column, on_outline: Column) -> Column:
+    """Open or skipped entries that can be replaced, are recommended for it and do not lie on their outline yet."""
+    return F.coalesce(status.isin("open", "skipped") & can_replace & recommended.isin(*APPLICABLE) & ~on_outline, F.lit(False))
+
+
+def review_filters(status: Column, match_class: Column, recommended: Column) -> dict[str, Column]:
+    """The named filters of the review list."""
+    is_open = status == "open"
+    return {
+        "open": is_open & (recommended != "NICHTS_ZU_TUN"), "recommended": is_open & (recommended == "UEBERNAHME_EMPFOHLEN"), "discrepancy": is_open & recommended.isin("DISKREPANZ", "UNGEPRUEFT"),
+        "new": match_class == NEW, "deviating": match_class == DEVIATING, "complex": match_class == COMPLEX, "map_only": match_class == MAP_ONLY, "done": ~is_open, "all": F.lit(True),
+    }
+
+
+def all_candidates(classified: DataFrame, only_mapped: DataFrame) -> DataFrame:
+    """Official candidates followed by map-only ones, which have no official columns."""
+    extra = only_mapped.select(F.concat(F.lit("map-"), F.col("osm_id").cast("string")).alias("id"), F.lit(MAP_ONLY).alias("match_class"), F.array("osm_id").alias("partners"), F.lit(1).cast("long").alias("n_partners"))
+    return classified.withColumn("id", F.col("id").cast("string")).unionByName(extra, allowMissingColumns=True)

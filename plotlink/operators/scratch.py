@@ -16,7 +16,11 @@ def _local_folder() -> str:
 
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Written to and read back from the shared folder in spark.checkpoint.dir; a temporary one where it is unset (tests)."""
-    folder = df.sparkSession.conf.get("spark.checkpoint.dir", None) or _local_folder()
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir is not set: intermediate tables need a folder that all executors share")
+    folder = folder or _local_folder()
     path = f"{folder.rstrip('/')}/plotlink/round-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
