@@ -121,7 +121,8 @@ def ring_distance(a: Column, b: Column) -> Column:
         meet = lambda s, t: (cross(s["ax"], s["ay"], t) * cross(s["bx"], s["by"], t) < 0) & (cross(t["ax"], t["ay"], s) * cross(t["bx"], t["by"], s) < 0)
         cut = F.exists(edges(p), lambda s: F.exists(edges(q), lambda t: meet(s, t)))
         within = contains_point(p, F.get(q, 0), F.get(q, 1)) | contains_point(q, F.get(p, 0), F.get(p, 1))
-        apart = F.least(*[F.array_min(F.transform(points(r), lambda c, o=o: boundary_distance(o, c["x"], c["y"]))) for r, o in ((p, q), (q, p))])
+        from_corners = lambda r, o: F.array_min(F.transform(points(r), lambda c: boundary_distance(o, c["x"], c["y"])))
+        apart = F.least(from_corners(p, q), from_corners(q, p))
         return F.when(cut | within, 0.0).otherwise(apart)
 
     return let(a, lambda p: let(b, lambda q: of(p, q)))

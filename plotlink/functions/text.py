@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: The accepted house numbers, blanks taken out: digits and at most one letter, or a span of two of these.
@@ -194,3 +194,41 @@ def tag_changes(proposals: Column, existing: Column) -> Column:
 def title(function: Column, street: Column, housenumber: Column) -> Column:
     """What a review list shows: function, then the address."""
     return F.concat_ws(", ", F.when(not_blank(function), function), F.when(not_blank(street), F.concat_ws(" ", street, housenumber)))
+
+
+def map_label(tags: Column) -> Column:
+    """What a review list shows for a map-only building: its name, else its kind, then the address."""
+    of = lambda k: F.try_element_at(tags, F.lit(k))
+    return title(F.coalesce(of("name"), of("building")), of("addr:street"), of("addr:housenumber"))
+
+
+def title_list(titles: Column) -> Column:
+    """Up to four titles joined, of more the first three and how many others there are."""
+    n = F.size(titles)
+    quoted = F.transform(titles, lambda t: F.concat(F.lit("'"), t, F.lit("'")))
+    last = F.concat(F.array_join(F.slice(quoted, F.lit(1), F.greatest(n - 1, F.lit(0))), ", "), F.lit(" and "), F.element_at(quoted, -1))
+    few = F.when(n == 0, F.lit("")).when(n == 1, quoted[0]).otherwise(last)
+    return F.when(n <= 4, few).otherwise(F.concat(F.array_join(F.slice(quoted, 1, 3), ", "), F.lit(" and "), (n - 3).cast("string"), F.lit(" more")))
+
+
+def changeset_source(existing: Column, source: str) -> Column:
+    """The change set's source, appended once."""
+    return F.when(~F.coalesce(not_blank(existing), F.lit(False)), source).when(F.array_contains(F.split(existing, ";"), source), existing).otherwise(F.concat_ws(";", existing, F.lit(source)))
+
+
+def has_feature_type(capabilities: Column, type_name: Column) -> Column:
+    """Whether a service's capabilities text names a feature type, with its own prefix, another one or none."""
+    local = F.substring_index(type_name, ":", -1)
+    named = lambda before, name: F.contains(capabilities, F.concat(F.lit(before), name, F.lit("<")))
+    return named(">", type_name) | named(":", local) | named(">", local)
+
+
+def joined_lookup(df: DataFrame, attributes: list[str], table: DataFrame, default: str = "yes") -> DataFrame:
+    """df plus building and matched by a lookup table (key in lower case, value) of any size: the first of the attributes that is in
+    the table decides. A join for each attribute; Spark broadcasts a table that is small enough."""
+    out = df
+    for k, a in enumerate(attributes):
+        keyed = table.select(F.col("key").alias(f"k_key{k}"), F.col("value").alias(f"k_value{k}"))
+        out = out.join(keyed, F.lower(F.trim(df[a])) == F.col(f"k_key{k}"), "left")
+    found = F.coalesce(*[F.col(f"k_value{k}") for k in range(len(attributes))])
+    return out.select(*[df[c] for c in df.columns], F.coalesce(found, F.lit(default)).alias("building"), found.isNotNull().alias("matched"))

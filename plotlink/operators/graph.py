@@ -57,14 +57,17 @@ def line_directions(way_nodes: DataFrame, buildings: DataFrame, blocked: DataFra
     return g.where(~F.col("building_there") & (F.col("directions") == 1)).select("way_id", "node_id", "from_node")
 
 
-def keep_nodes(way_nodes: DataFrame, buildings: DataFrame, tagged: DataFrame, directions: DataFrame) -> DataFrame:
+def keep_nodes(way_nodes: DataFrame, buildings: DataFrame, tagged: DataFrame, directions: DataFrame, members: DataFrame | None = None) -> DataFrame:
     """way_id, node_id, mode of building nodes that must stay connected: sliding (a single line ends there),
-    on_outline (tagged, used by this building alone) or fixed."""
+    on_outline (tagged, used by this building alone) or fixed. members: node_id of nodes that relations hold, which keeps them too."""
     n_refs = way_nodes.groupBy("node_id").agg(F.count_distinct("way_id").alias("n_ways"))
     own = way_nodes.select("way_id", "node_id").join(buildings.select("way_id").distinct(), "way_id", "left_semi").distinct()
     d = directions.select("way_id", "node_id", F.lit(True).alias("slides"))
     k = own.join(n_refs, "node_id").join(tagged.select("node_id").distinct().withColumn("tagged", F.lit(True)), "node_id", "left").join(d, ["way_id", "node_id"], "left")
-    k = k.where((F.col("n_ways") > 1) | F.col("tagged"))
+    if members is None:
+        k = k.where((F.col("n_ways") > 1) | F.col("tagged"))
+    else:
+        k = k.join(members.select("node_id").distinct().withColumn("member", F.lit(True)), "node_id", "left").where((F.col("n_ways") > 1) | F.col("tagged") | F.col("member"))
     mode = F.when(F.col("slides"), "sliding").when(F.col("tagged") & (F.col("n_ways") == 1), "on_outline").otherwise("fixed")
     return k.select("way_id", "node_id", mode.alias("mode"))
 
@@ -118,13 +121,26 @@ def reachable(edges: DataFrame, starts: DataFrame, rounds: int = 10_000) -> Data
     raise RuntimeError("reachability did not settle")
 
 
+def greedy_pairs(pairs: DataFrame, a: str, b: str, distance: str, group: list[str]) -> DataFrame:
+    """Greedy one-to-one assignment by ascending distance (ties: least a, then b) inside each group of a few dozen pairs:
+    one fold over the group's sorted pairs, no rounds."""
+    row = F.struct(distance, a, b, *[c for c in pairs.columns if c not in (*group, a, b, distance)])
+    g = pairs.groupBy(*group).agg(F.sort_array(F.collect_list(row)).alias("rows"))
+    kind = g.schema["rows"].dataType.simpleString()
+    free = lambda kept, r: ~F.exists(kept, lambda k: (k[a] == r[a]) | (k[b] == r[b]))
+    taken = F.aggregate("rows", F.array().cast(kind), lambda kept, r: F.when(free(kept, r), F.concat(kept, F.array(r))).otherwise(kept))
+    return g.select(*group, F.explode(taken).alias("row")).select(*group, "row.*")
+
+
 def mutual_nearest(pairs: DataFrame, a: str, b: str, distance: str, group: list[str] | None = None, rounds: int = 1000) -> DataFrame:
     """Greedy one-to-one assignment by ascending distance (ties: least a, then b).
 
     Pairs that are each other's nearest are taken together, their ends leave, and the rest goes on; this gives what
     taking one pair after another in order of distance would, in few rounds.
     """
-    group = group or []
+    if group:
+        return greedy_pairs(pairs, a, b, distance, group).select(*pairs.columns)
+    group = []
     done, open_ = None, pairs
     for _ in range(rounds):
         order = lambda: F.struct(distance, a, b)

@@ -11,10 +11,11 @@ midpoints (even-odd over all rings). Pieces on a common boundary count once, if
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plotlink.functions import geometry as G
+from plotlink.operators.scratch import cut_lineage
 
 EPS = 1e-9
 
@@ -24,58 +25,53 @@ def _kind(df: DataFrame, name: str) -> str:
 
 
 def _edges(pairs: DataFrame, ids: list[str], rings: str, side: str) -> DataFrame:
-    """One row an edge, in the direction that geometry.shape_edges gives."""
-    e = pairs.select(*ids, F.explode(G.shape_edges(F.col(rings), _kind(pairs, rings))).alias("e"))
-    return e.select(*ids, F.lit(side).alias("side"), "e.*").where("ax <> bx or ay <> by")
-
-
-def _cuts(a: Column, b: Column) -> Column:
-    """Parameters on edge a at which edge b crosses it or one of b's ends lies on it."""
-    dx, dy, ex, ey = a["bx"] - a["ax"], a["by"] - a["ay"], b["bx"] - b["ax"], b["by"] - b["ay"]
-    det, size = dx * ey - dy * ex, dx * dx + dy * dy
-    t = ((b["ax"] - a["ax"]) * ey - (b["ay"] - a["ay"]) * ex) / det
-    u = ((b["ax"] - a["ax"]) * dy - (b["ay"] - a["ay"]) * dx) / det
-    crossing = F.when((F.abs(det) > EPS) & (u >= -EPS) & (u <= 1 + EPS), F.array(t)).otherwise(F.array().cast("array<double>"))
-    along = lambda x, y: ((x - a["ax"]) * dx + (y - a["ay"]) * dy) / size
-    off = F.abs((b["ax"] - a["ax"]) * dy - (b["ay"] - a["ay"]) * dx) / F.sqrt(size)
-    parallel = F.when((F.abs(det) <= EPS) & (off <= 1e-7), F.array(along(b["ax"], b["ay"]), along(b["bx"], b["by"]))).otherwise(F.array().cast("array<double>"))
-    return F.filter(F.concat(crossing, parallel), lambda v: (v > EPS) & (v < 1 - EPS))
+    """One row an edge, numbered, in the direction that geometry.shape_edges gives."""
+    e = pairs.select(*ids, F.posexplode(G.shape_edges(F.col(rings), _kind(pairs, rings))).alias("no", "e"))
+    return e.select(*ids, F.lit(side).alias("side"), "no", "e.*").where("ax <> bx or ay <> by")
 
 
 def kept_pieces(pairs: DataFrame, ids: list[str], rings_a: str, rings_b: str) -> DataFrame:
     """Boundary pieces of both polygons of each pair: ids, side (a, b), px, py, qx, qy, inside, along (on the
-    partner's boundary: 1 same way, -1 opposite, else 0)."""
-    both = _edges(pairs, ids, rings_a, "a").unionByName(_edges(pairs, ids, rings_b, "b"))
-    other = both.groupBy(*ids, "side").agg(F.collect_list(F.struct("ax", "ay", "bx", "by")).alias("others")).withColumn("side", F.when(F.col("side") == "a", "b").otherwise("a"))
-    e = both.join(other, [*ids, "side"], "left").withColumn("others", F.coalesce("others", F.array().cast(G.EDGE)))
-    me = F.struct("ax", "ay", "bx", "by")
-    at = F.array_sort(F.array_distinct(F.concat(F.array(F.lit(0.0), F.lit(1.0)), F.flatten(F.transform("others", lambda o: _cuts(me, o))))))
-    e = e.withColumn("at", at).withColumn("k", F.explode(F.sequence(F.lit(1), F.size("at") - 1)))
-    t0, t1 = F.element_at("at", F.col("k")), F.element_at("at", F.col("k") + 1)
-    point = lambda t, c: F.col(f"a{c}") + t * (F.col(f"b{c}") - F.col(f"a{c}"))
-    e = e.where(t1 - t0 > EPS).select(*ids, "side", "others", point(t0, "x").alias("px"), point(t0, "y").alias("py"), point(t1, "x").alias("qx"), point(t1, "y").alias("qy"))
-    mx, my = (F.col("px") + F.col("qx")) / 2, (F.col("py") + F.col("qy")) / 2
-    crosses = lambda o: ((o["ay"] > my) != (o["by"] > my)) & (mx < (o["bx"] - o["ax"]) * (my - o["ay"]) / (o["by"] - o["ay"]) + o["ax"])
-    on = lambda o: G.segment_distance(mx, my, o["ax"], o["ay"], o["bx"], o["by"]) <= 1e-7
-    way = lambda o: F.signum((F.col("qx") - F.col("px")) * (o["bx"] - o["ax"]) + (F.col("qy") - F.col("py")) * (o["by"] - o["ay"]))
-    along = F.coalesce(F.get(F.transform(F.filter("others", on), way), F.lit(0)), F.lit(0.0))
-    return e.select(*ids, "side", "px", "py", "qx", "qy", (F.size(F.filter("others", crosses)) % 2 == 1).alias("inside"), along.cast("int").alias("along"))
+    partner's boundary: 1 same way, -1 opposite, else 0). Edges meet edges as rows of compiled arithmetic."""
+    both = cut_lineage(_edges(pairs, ids, rings_a, "a").unionByName(_edges(pairs, ids, rings_b, "b")))
+    other = both.select(*ids, F.when(F.col("side") == "a", "b").otherwise("a").alias("side"), *[F.col(c).alias(f"o{c}") for c in ("ax", "ay", "bx", "by")])
+    c = F.col
+    dx, dy, ex, ey, wx, wy = c("bx") - c("ax"), c("by") - c("ay"), c("obx") - c("oax"), c("oby") - c("oay"), c("oax") - c("ax"), c("oay") - c("ay")
+    met = both.join(other, [*ids, "side"]).withColumn("det", dx * ey - dy * ex).withColumn("size", dx * dx + dy * dy)
+    crossing = F.abs("det") > EPS
+    det = F.when(crossing, c("det"))
+    met = met.withColumn("t", (wx * ey - wy * ex) / det).withColumn("u", (wx * dy - wy * dx) / det).withColumn("off", F.abs(wx * dy - wy * dx) / F.sqrt("size"))
+    along = lambda x, y: F.when(~crossing & (c("off") <= 1e-7), ((c(x) - c("ax")) * dx + (c(y) - c("ay")) * dy) / c("size"))
+    stops = F.array(F.when(c("u").between(-EPS, 1 + EPS), c("t")), along("oax", "oay"), along("obx", "oby"))
+    cuts = met.select(*ids, "side", "no", F.explode(stops).alias("t0")).where((c("t0") > EPS) & (c("t0") < 1 - EPS)).distinct()
+    ends = both.select(*ids, "side", "no", F.explode(F.array(F.lit(0.0), F.lit(1.0))).alias("t0"))
+    pieces = ends.unionByName(cuts).withColumn("t1", F.lead("t0").over(Window.partitionBy(*ids, "side", "no").orderBy("t0"))).where(c("t1") - c("t0") > EPS).join(both, [*ids, "side", "no"])
+    point = lambda t, x: c(f"a{x}") + c(t) * (c(f"b{x}") - c(f"a{x}"))
+    here = ["px", "py", "qx", "qy"]
+    pieces = pieces.select(*ids, "side", "no", point("t0", "x").alias("px"), point("t0", "y").alias("py"), point("t1", "x").alias("qx"), point("t1", "y").alias("qy"))
+    seen = pieces.withColumn("mx", (c("px") + c("qx")) / 2).withColumn("my", (c("py") + c("qy")) / 2).join(other, [*ids, "side"], "left")
+    upward = (c("oay") > c("my")) != (c("oby") > c("my"))
+    left = c("mx") < ex * (c("my") - c("oay")) / F.nullif(ey, F.lit(0.0)) + c("oax")
+    on = G.segment_distance(c("mx"), c("my"), c("oax"), c("oay"), c("obx"), c("oby")) <= 1e-7
+    way = F.signum((c("qx") - c("px")) * ex + (c("qy") - c("py")) * ey)
+    return seen.groupBy(*ids, "side", "no", *here).agg((F.count_if(upward & left) % 2 == 1).alias("inside"), F.coalesce(F.max(F.when(on, way)), F.lit(0.0)).cast("int").alias("along")).drop("no")
 
 
 def shared_area(pairs: DataFrame, ids: list[str], rings_a: str, rings_b: str) -> DataFrame:
     """ids, shared: area common to the two footprints (a ring, rings or polygons, see geometry.shape_edges) of each pair."""
-    sides = pairs.select(*ids, G.shape_edges(F.col(rings_a), _kind(pairs, rings_a)).alias("ea"), G.shape_edges(F.col(rings_b), _kind(pairs, rings_b)).alias("eb"))
+    upright = lambda name: F.filter(G.shape_edges(F.col(name), _kind(pairs, name)), lambda e: e["ax"] != e["bx"])  # noqa: E731  others have nothing below them
+    sides = pairs.select(*ids, upright(rings_a).alias("ea"), upright(rings_b).alias("eb"))
     # Places count from a corner of the pair's own, so that large coordinates cost no digits.
     sides = sides.withColumn("ox", F.col("ea")[0]["ax"]).withColumn("oy", F.col("ea")[0]["ay"])
     met = sides.withColumn("a", F.explode("ea")).withColumn("b", F.explode("eb"))
     met = met.select(*ids, *[(F.col(f"{e}.{end}{c}") - F.col(f"o{c}")).alias(f"{e}{end}{c}") for e in "ab" for end in "ab" for c in "xy"])
     low = F.greatest(F.least("aax", "abx"), F.least("bax", "bbx"))
     high = F.least(F.greatest("aax", "abx"), F.greatest("bax", "bbx"))
-    met = met.withColumn("low", low).withColumn("high", high).where("low < high")
+    met = met.withColumn("low", low).withColumn("high", F.greatest(low, high))
     at = lambda e, x: F.col(f"{e}ay") + (F.col(x) - F.col(f"{e}ax")) * (F.col(f"{e}by") - F.col(f"{e}ay")) / (F.col(f"{e}bx") - F.col(f"{e}ax"))
     met = met.select(*ids, (F.col("high") - F.col("low")).alias("width"), *[at(e, x).alias(f"{e}_{x}") for e in "ab" for x in ("low", "high")], (F.signum(F.col("aax") - F.col("abx")) * F.signum(F.col("bax") - F.col("bbx"))).alias("sign"))
     d0, d1 = F.col("a_low") - F.col("b_low"), F.col("a_high") - F.col("b_high")
-    t = d0 / (d0 - d1)
+    t = d0 / F.nullif(d0 - d1, F.lit(0.0))
     y = F.col("a_low") + t * (F.col("a_high") - F.col("a_low"))
     crossed = (t * (F.least("a_low", "b_low") + y) + (1 - t) * (y + F.least("a_high", "b_high"))) / 2
     below = F.when(d0 * d1 < 0, crossed).otherwise(F.least(F.col("a_low") + F.col("a_high"), F.col("b_low") + F.col("b_high")) / 2)

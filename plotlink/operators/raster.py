@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plotlink.functions import geometry as G
+from plotlink.operators.scratch import cut_lineage
 from plotlink.params import DEFAULTS, Params
 
 
@@ -131,3 +132,37 @@ def derived(result: DataFrame) -> DataFrame:
     """Adds offset, masked_share and valid."""
     total = F.col("samples") + F.col("masked")
     return result.withColumn("offset", F.hypot("offset_x", "offset_y")).withColumn("masked_share", F.when(total > 0, F.col("masked") / total).otherwise(0.0)).withColumn("valid", F.col("score").isNotNull() & ~F.isnan("score"))
+
+
+def score_at(images: DataFrame, keys: list[str], reach_m: float = 0.3, params: Params = DEFAULTS) -> DataFrame:
+    """keys, score, samples, masked at a given offset_x, offset_y and overhang: how well another outline (ring) does where the official
+    one was found. Columns as in best_offset."""
+    mask = F.col("mask") if "mask" in images.columns else None
+    base = images.withColumn("grown", G.mitred(F.col("ring"), F.col("overhang"))).withColumn("points", outline_samples(F.col("grown"), params, mask))
+    base = base.withColumn("masked", F.size(F.filter("points", lambda p: p["masked"]))).withColumn("points", F.filter("points", lambda p: ~p["masked"]))
+    reach = F.greatest(F.lit(1), F.round(F.lit(reach_m) / F.col("res")).cast("int"))
+    return base.select(*keys, support(F.col("points"), F.col("offset_x"), F.col("offset_y"), reach, params).alias("score"), F.size("points").cast("long").alias("samples"), F.col("masked").cast("long").alias("masked"))
+
+
+def image_box(ring: Column, partner_ring: Column, params: Params = DEFAULTS) -> Column:
+    """struct<x0..y1>: what an image check needs to see: both outlines, and room for offset, overhang, snapping and edges."""
+    room = params.offset_range + params.max_overhang + params.snap + 2
+    both = G.envelope(F.concat(ring, F.coalesce(partner_ring, F.slice(ring, 1, 2))))
+    return F.struct((both["x0"] - room).alias("x0"), (both["y0"] - room).alias("y0"), (both["x1"] + room).alias("x1"), (both["y1"] + room).alias("y1"))
+
+
+def checked(candidates: DataFrame, images: DataFrame, params: Params = DEFAULTS) -> DataFrame:
+    """id, score, map_score, offset_x, offset_y, overhang, samples, masked, error, hint of candidates of the classes that need a check.
+
+    candidates: id, match_class, ring, partner_ring (null without partner), mask; images: id, w..gray, error. The map outline is
+    scored where the official one was found. A candidate without a picture has its error, or "no image", and no score.
+    """
+    c = candidates.where(F.col("match_class").isin("NEU", "ABWEICHEND"))
+    j = c.join(images, "id", "left").withColumn("error", F.when(F.col("gray").isNull(), F.coalesce("error", F.lit("no image"))))
+    good = with_edges(j.where("error is null").drop("error"), params)
+    found = cut_lineage(derived(best_offset(good, ["id"], params=params)))
+    other = good.where("partner_ring is not null").drop("ring").withColumnRenamed("partner_ring", "ring").join(found.select("id", "offset_x", "offset_y", "overhang"), "id")
+    scored = score_at(other, ["id"], params=params).select("id", F.col("score").alias("map_score"))
+    hint = F.when(F.col("masked_share") >= 0.25, F.concat(F.format_string("%.0f", 100 * F.col("masked_share")), F.lit(" % of the outline runs along neighbours")))
+    out = j.select("id", "error").join(found, "id", "left").join(scored, "id", "left")
+    return out.select("id", "score", "map_score", "offset_x", "offset_y", "overhang", "samples", "masked", F.when(F.col("error").isNull() & F.col("score").isNull(), "no samples").otherwise(F.col("error")).alias("error"), hint.alias("hint"))

@@ -6,7 +6,7 @@ import functools
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
 @functools.cache
@@ -14,13 +14,17 @@ def _local_folder() -> str:
     return f"file://{tempfile.mkdtemp(prefix='plotlink-')}"
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Written to and read back from the shared folder in spark.checkpoint.dir; a temporary one where it is unset (tests)."""
-    spark = df.sparkSession
+def shared_path(spark: SparkSession, label: str) -> str:
+    """A new path in the shared folder in spark.checkpoint.dir; in a temporary one where that is unset, in local mode only."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder and not spark.sparkContext.master.startswith("local"):
         raise ValueError("spark.checkpoint.dir is not set: intermediate tables need a folder that all executors share")
     folder = folder or _local_folder()
-    path = f"{folder.rstrip('/')}/plotlink/round-{uuid.uuid4().hex}"
+    return f"{folder.rstrip('/')}/plotlink/{label}-{uuid.uuid4().hex}"
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Written to and read back from the shared folder."""
+    path = shared_path(df.sparkSession, "round")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

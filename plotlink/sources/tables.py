@@ -83,6 +83,22 @@ def write_changes(changes: dict[str, DataFrame], path: str) -> None:
         df.write.mode("overwrite").parquet(f"{path}/{name}")
 
 
+def active_profile(profiles: list[Profile], name: str | None = None) -> Profile | None:
+    """The newest profile of that name, else the first one; none if there is none."""
+    return next((p for p in reversed(profiles) if p.name == name), profiles[0] if profiles else None)
+
+
+def write_rates(rates: DataFrame, path: str) -> None:
+    """Rates by threshold (evaluate.rates) as CSV, empty area for all areas together."""
+    rates.select("threshold", "area", "tpr", "fpr", "n").write.mode("overwrite").option("header", "true").csv(path)
+
+
+def rate_lines(rates: DataFrame) -> DataFrame:
+    """threshold, area, line: the rates as rows of a text table, in percent."""
+    percent = lambda c: F.format_string("%5.1f", 100 * F.col(c))
+    return rates.select("threshold", "area", F.concat_ws(" | ", F.format_string("%.2f", "threshold"), F.coalesce("area", F.lit("all")), percent("tpr"), percent("fpr"), F.col("n").cast("string")).alias("line"))
+
+
 def source_tag(existing: str | None, source: str) -> str:
     """The change set's source, appended once."""
     return source if not existing else existing if source in existing.split(";") else f"{existing};{source}"

@@ -106,3 +106,8 @@ class WfsDataSource(DataSource):
 
     def reader(self, schema: StructType) -> WfsReader:
         return WfsReader(self.options)
+
+
+def capabilities(base: str) -> str:
+    """The capabilities text of a service; see functions.text.has_feature_type."""
+    return fetch(append_query(base, {"SERVICE": "WFS", "REQUEST": "GetCapabilities"})).decode(errors="replace")
