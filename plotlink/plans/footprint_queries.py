@@ -238,15 +238,15 @@ def at_outlines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _scene(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pictures of 24 by 24 pixels of half a metre: a bright block of 12 by 10 pixels on dark ground, moved by whole pixels."""
-    c = _cells(spark, sf_dir).where("id < 64").withColumn("mx", (F.col("q") % 3 - 1).cast("int")).withColumn("my", (F.col("d") % 3 - 1).cast("int"))
-    px, py = lambda i: i % 24, lambda i: F.floor(i / 24).cast("int")
-    inside = lambda i: (px(i) >= 6 + F.col("mx")) & (px(i) < 18 + F.col("mx")) & (py(i) >= 7 - F.col("my")) & (py(i) < 17 - F.col("my"))
-    gray = F.transform(F.sequence(F.lit(0), F.lit(24 * 24 - 1)), lambda i: F.when(inside(i), 200.0).otherwise(30.0))
-    return c.select("id", "mx", "my", gray.alias("gray"), F.lit(24).alias("w"), F.lit(24).alias("h"), F.lit(0.0).alias("min_x"), F.lit(12.0).alias("max_y"), F.lit(0.5).alias("res"), G.rectangle(*[F.lit(v) for v in (3.0, 3.5, 9.0, 8.5)]).alias("ring"))
+    """Pictures of 16 by 16 pixels of half a metre: a bright block of 8 by 6 pixels on dark ground, moved by whole pixels."""
+    c = _cells(spark, sf_dir).withColumn("mx", (F.col("q") % 3 - 1).cast("int")).withColumn("my", (F.col("d") % 3 - 1).cast("int"))
+    px, py = lambda i: i % 16, lambda i: F.floor(i / 16).cast("int")
+    inside = lambda i: (px(i) >= 4 + F.col("mx")) & (px(i) < 12 + F.col("mx")) & (py(i) >= 5 - F.col("my")) & (py(i) < 11 - F.col("my"))
+    gray = F.transform(F.sequence(F.lit(0), F.lit(16 * 16 - 1)), lambda i: F.when(inside(i), 200.0).otherwise(30.0))
+    return c.select("id", "mx", "my", gray.alias("gray"), F.lit(16).alias("w"), F.lit(16).alias("h"), F.lit(0.0).alias("min_x"), F.lit(8.0).alias("max_y"), F.lit(0.5).alias("res"), G.rectangle(*[F.lit(v) for v in (2.0, 2.5, 6.0, 5.5)]).alias("ring"))
 
 
-_SEARCH = replace(DEFAULTS, offset_range=0.6, max_overhang=0.3, sample_step=0.5)
+_SEARCH = replace(DEFAULTS, offset_range=0.5, max_overhang=0.3, sample_step=1.0)
 
 
 def offset_best(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -258,10 +258,10 @@ def offset_best(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def score_fixed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Support at the drawn place, and two metres off on ground without edges."""
+    """Support at the drawn place, and in a picture without edges."""
     s = raster.with_edges(_scene(spark, sf_dir)).withColumn("overhang", F.lit(0.0)).withColumn("offset_y", F.col("my") * 0.5)
     good = raster.score_at(s.withColumn("offset_x", F.col("mx") * 0.5), ["id"], params=_SEARCH)
-    bare = raster.score_at(s.withColumn("ring", G.rectangle(*[F.lit(v) for v in (5.75, 5.9, 6.25, 6.1)])).withColumn("offset_x", F.lit(0.0)).withColumn("offset_y", F.lit(0.0)), ["id"], params=_SEARCH)
+    bare = raster.score_at(s.withColumn("mag", F.transform("mag", lambda m: F.lit(0.0))).withColumn("offset_x", F.lit(0.0)), ["id"], params=_SEARCH)
     return good.select("id", F.round("score", 6).alias("score"), "samples").join(bare.select("id", F.round("score", 6).alias("bare")), "id")
 
 
@@ -323,9 +323,9 @@ ORACLES = {
     "clean_rings": f"WITH {_C} SELECT id, (CASE q WHEN 0 THEN 4 WHEN 1 THEN 0 WHEN 2 THEN 4 ELSE 5 END)::BIGINT AS n_points, CASE q WHEN 0 THEN 6e0 WHEN 2 THEN 6e0 WHEN 3 THEN 12e0 END AS area FROM c",
     "smallest_hits": f"WITH {_C}, k AS (SELECT id, d * 2 + 0.5e0 AS x, s + 0.5e0 AS y FROM c) SELECT id AS point_id, CASE WHEN x BETWEEN 2 AND 5 AND y BETWEEN 2 AND 5 THEN id * 2 + 1 ELSE id * 2 END AS id FROM k WHERE x < 12",
     "at_outlines": f"WITH {_C} SELECT id, q = 0 AS on_outline FROM c",
-    "offset_best": f"WITH {_C} SELECT id, 1e0 AS score, true AS found, 0e0 AS overhang, 44::BIGINT AS samples, 0::BIGINT AS masked, true AS valid, 0e0 AS masked_share FROM c WHERE id < 64",
-    "score_fixed": f"WITH {_C} SELECT id, 1e0 AS score, 44::BIGINT AS samples, 0e0 AS bare FROM c WHERE id < 64",
-    "image_check": f"WITH {_C} SELECT id, CASE WHEN id % 8 NOT IN (0, 1) THEN 1e0 END AS score, CASE WHEN id % 4 = 2 THEN 1e0 END AS map_score, CASE id % 8 WHEN 0 THEN 'no image' WHEN 1 THEN 'no picture' END AS error, NULL::VARCHAR AS hint FROM c WHERE id < 64 AND id % 4 <> 3",
+    "offset_best": f"WITH {_C} SELECT id, 1e0 AS score, true AS found, 0e0 AS overhang, 14::BIGINT AS samples, 0::BIGINT AS masked, true AS valid, 0e0 AS masked_share FROM c",
+    "score_fixed": f"WITH {_C} SELECT id, 1e0 AS score, 14::BIGINT AS samples, 0e0 AS bare FROM c",
+    "image_check": f"WITH {_C} SELECT id, CASE WHEN id % 8 NOT IN (0, 1) THEN 1e0 END AS score, CASE WHEN id % 4 = 2 THEN 1e0 END AS map_score, CASE id % 8 WHEN 0 THEN 'no image' WHEN 1 THEN 'no picture' END AS error, NULL::VARCHAR AS hint FROM c WHERE id % 4 <> 3",
     "luma": f"WITH {_C} SELECT id, round(0.299e0 * s * 50 + 0.587e0 * d * 36 + 0.114e0 * q * 63, 6) AS gray FROM c",
     "preview_arrows": f"WITH {_C} SELECT id, k::BIGINT AS corner, round(q * 0.125e0, 6) AS dx, 0.125e0 AS dy FROM c, (SELECT unnest([1, 2]) AS k)",
 }
