@@ -134,14 +134,7 @@ def dependency_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def alignment_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Directed reachability from some buildings over 'must move along' edges."""
-    e = layers.layer(spark, sf_dir, "SELECT DISTINCT l_suppkey AS src, l_partkey % 211 AS dst FROM {lineitem} WHERE l_linenumber = 1 AND l_quantity < 2", "lineitem")
-    starts = layers.layer(spark, sf_dir, "SELECT s_suppkey AS start FROM {supplier} WHERE s_suppkey % 10 = 3", "supplier")
-    return graph.reachable(e, starts)
-
-
-def alignment_groups_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same reachability from all suppliers over all edges; without an oracle, for which it is too large."""
+    """Directed reachability from every supplier over all 'must move along' edges."""
     e = layers.layer(spark, sf_dir, "SELECT DISTINCT l_suppkey AS src, l_partkey AS dst FROM {lineitem}", "lineitem")
     return graph.reachable(e, layers.layer(spark, sf_dir, "SELECT s_suppkey AS start FROM {supplier}", "supplier"))
 
@@ -175,7 +168,7 @@ def geometry_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (edge_sobel, edge_threshold, edge_support, tpr_fpr_by_threshold, confusion_matrix, calibration_bins, decision_time, decision_state, review_filters, shared_nodes, line_end_direction, keep_nodes, way_rings, prerequisites, dependency_order, alignment_groups, alignment_groups_whole, preview_diff, corner_owner, session_merge, geometry_functions)
+    for f in (edge_sobel, edge_threshold, edge_support, tpr_fpr_by_threshold, confusion_matrix, calibration_bins, decision_time, decision_state, review_filters, shared_nodes, line_end_direction, keep_nodes, way_rings, prerequisites, dependency_order, alignment_groups, preview_diff, corner_owner, session_merge, geometry_functions)
 }
 
 _SOBEL = f"""
@@ -226,8 +219,8 @@ ORACLES = {
     "dependency_order": f"""WITH {_PRE}, pos AS (SELECT p_partkey AS id, p_partkey * 7919 % 1000003 AS position FROM part),
         f AS (SELECT prerequisite AS id, min((position, prerequisite)) AS f FROM pre JOIN pos ON pos.id = candidate GROUP BY 1), k AS (SELECT pos.*, coalesce(f.f[1] < position, false) AS early, f.f[1] AS fp FROM pos LEFT JOIN f USING (id))
         SELECT id, row_number() OVER (ORDER BY CASE WHEN early THEN fp ELSE position END, CASE WHEN early THEN 0 ELSE 1 END, id) AS place FROM k""",
-    "alignment_groups": """WITH RECURSIVE e AS (SELECT DISTINCT l_suppkey AS src, l_partkey % 211 AS dst FROM lineitem WHERE l_linenumber = 1 AND l_quantity < 2),
-        r AS (SELECT s_suppkey AS start, s_suppkey AS node FROM supplier WHERE s_suppkey % 10 = 3 UNION SELECT r.start, e.dst FROM r JOIN e ON e.src = r.node) SELECT start, node FROM r""",
+    "alignment_groups": """WITH RECURSIVE e AS (SELECT DISTINCT l_suppkey AS src, l_partkey AS dst FROM lineitem),
+        r AS (SELECT s_suppkey AS start, s_suppkey AS node FROM supplier UNION SELECT r.start, e.dst FROM r JOIN e ON e.src = r.node) SELECT start, node FROM r""",
     "preview_diff": """WITH a AS (SELECT p_partkey AS node_id, (p_partkey % 48) * 1e0 AS x FROM part WHERE p_partkey % 7 <> 0), b AS (SELECT p_partkey AS node_id, (p_partkey % 48) * 1e0 + CASE WHEN p_partkey % 5 = 0 THEN 0.25e0 ELSE 0e0 END AS x FROM part WHERE p_partkey % 11 <> 0)
         SELECT * FROM (SELECT coalesce(a.node_id, b.node_id) AS node_id, CASE WHEN a.node_id IS NULL THEN 'created' WHEN b.node_id IS NULL THEN 'deleted' WHEN abs(a.x - b.x) > 0.001 THEN 'moved' END AS change, abs(a.x - b.x) AS dist FROM a FULL JOIN b USING (node_id)) WHERE change IS NOT NULL""",
     "corner_owner": f"""WITH o AS ({layers.oracle(layers.OFFICIAL)}), n AS (SELECT p_partkey AS node_id, (p_partkey % 48) * 20e0 + (p_size % 4) / 8e0 AS x, floor(p_partkey / 48e0) * 20e0 AS y FROM part),

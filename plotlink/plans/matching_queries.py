@@ -50,11 +50,6 @@ def overlay_area(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def hausdorff_discrete(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = _classified(spark, sf_dir).where("hausdorff is not null")
-    return c.join(layers.official(spark, sf_dir).where("id % 16 in (1, 2, 3, 5, 9, 10, 13)").select("id"), "id").select("id", F.round("hausdorff", 6).alias("hausdorff"))
-
-
-def hausdorff_all_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every building with a single partner, also where the two do not differ by a shift alone."""
     return _classified(spark, sf_dir).where("hausdorff is not null").select("id", F.round("hausdorff", 6).alias("hausdorff"))
 
@@ -116,16 +111,15 @@ def point_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return match.selected_at(layers.official(spark, sf_dir), 22.5, 21.5).select("id", "function")
 
 
-QUERIES = {f.__name__: f for f in (match_classify, match_class_counts, partner_pairs, overlay_area, hausdorff_discrete, hausdorff_all_pairs, osm_only, recommend, recommend_effective, recommendation_counts, session_summary, spatial_order, neighbour_mask_pairs, loaded_area_split, point_selection)}
+QUERIES = {f.__name__: f for f in (match_classify, match_class_counts, partner_pairs, overlay_area, hausdorff_discrete, osm_only, recommend, recommend_effective, recommendation_counts, session_summary, spatial_order, neighbour_mask_pairs, loaded_area_split, point_selection)}
 
 ORACLES = {
     "match_classify": f"WITH {_CLASSIFIED} SELECT id, match_class, n_partners, CASE WHEN n_partners = 1 THEN round(iou, 6) END AS iou FROM c",
     "match_class_counts": f"WITH {_CLASSIFIED} SELECT match_class, count(*) AS buildings FROM c GROUP BY 1",
     "partner_pairs": f"WITH {_CLASSIFIED} SELECT id, osm_id, round(iou, 6) AS iou, round(shared / least(a, b), 6) AS overlap, round(shared, 6) AS shared FROM p",
     "overlay_area": f"WITH {_CLASSIFIED} SELECT id, osm_id, round(shared, 6) AS shared FROM s",
-    "hausdorff_discrete": f"WITH {_CLASSIFIED} SELECT id, round(hd, 6) AS hausdorff FROM c WHERE n_partners = 1 AND id % 16 IN (1, 2, 3, 5, 9, 10, 13)",
     #: Samples (ten pieces an edge, both ways) x segments of the other box.
-    "hausdorff_all_pairs": f"""WITH {_CLASSIFIED}, q AS (SELECT * FROM p WHERE n = 1),
+    "hausdorff_discrete": f"""WITH {_CLASSIFIED}, q AS (SELECT * FROM p WHERE n = 1),
         b AS (SELECT id, 1 AS way, ox0 AS x0, oy0 AS y0, ox1 AS x1, oy1 AS y1, mx0 AS tx0, my0 AS ty0, mx1 AS tx1, my1 AS ty1 FROM q UNION ALL SELECT id, 2, mx0, my0, mx1, my1, ox0, oy0, ox1, oy1 FROM q),
         k AS (SELECT range / 10e0 AS t FROM range(11)), u AS (SELECT t AS u, 0e0 AS v FROM k UNION SELECT t, 1e0 FROM k UNION SELECT 0e0, t FROM k UNION SELECT 1e0, t FROM k),
         sm AS (SELECT b.*, x0 + (x1 - x0) * u AS x, y0 + (y1 - y0) * v AS y FROM b, u), seg AS (SELECT * FROM (VALUES (0e0, 0e0, 1e0, 0e0), (0e0, 1e0, 1e0, 1e0), (0e0, 0e0, 0e0, 1e0), (1e0, 0e0, 1e0, 1e0)) w(ga, gb, gc, gd)),

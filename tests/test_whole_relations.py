@@ -5,7 +5,7 @@ import random
 from plotlink.plans import catalogue
 
 
-def test_alignment_groups_whole(spark, tmp_path):
+def test_alignment_groups(spark, tmp_path):
     rng = random.Random(1)
     lines = [(rng.randint(1, 12), rng.randint(1, 40), rng.randint(1, 7), float(rng.randint(1, 50))) for _ in range(60)]
     spark.createDataFrame(lines, "l_suppkey long, l_partkey long, l_linenumber int, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
@@ -19,5 +19,5 @@ def test_alignment_groups_whole(spark, tmp_path):
             seen |= new
             todo += new
         want |= {(start, node) for node in seen}
-    got = [(r.start, r.node) for r in catalogue.QUERIES["alignment_groups_whole"](spark, str(tmp_path)).collect()]
+    got = [(r.start, r.node) for r in catalogue.QUERIES["alignment_groups"](spark, str(tmp_path)).collect()]
     assert len(got) == len(set(got)) and set(got) == want
