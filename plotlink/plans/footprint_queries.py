@@ -130,6 +130,17 @@ def snapped_corners(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v.where(F.col("place") == F.floor("place")).select("id", F.col("place").cast("long").alias("corner"), "node", "glue_way", F.round("glue_t", 6).alias("glue_t"))
 
 
+def safe_joints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two tips of neighbours become T-joints, the outer one only where no wall is in its way."""
+    c = _candidate_boxes(spark, sf_dir)
+    cells = _cells(spark, sf_dir)
+    tips = _way(cells, 4, [(10.25, 4), (13, 3), (13, 5)], [1, 2, 3]).unionByName(_way(cells, 5, [(9.9375, 6), (13, 5.5), (13, 6.5)], [4, 5, 6]))
+    wall = _way(cells.where("odd = 1"), 6, [(10.125, -5), (12, -5), (12, 13), (10.125, 13)], [7, 8, 9, 10])
+    v = fit.vertices(c.select("id", F.col("ring").alias("fitted")), fit.near_pairs(c, tips.unionByName(wall)))
+    n = v.groupBy("id").agg(F.count(F.lit(1)).alias("n_vertices"), F.count("node").alias("n_joints"))
+    return n.join(fit.outline(v), "id").select("id", "n_vertices", "n_joints", F.round(G.area(F.col("outline")), 6).alias("area"))
+
+
 def _plain_vertices(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = _candidate_boxes(spark, sf_dir)
     return fit.vertices(c.select("id", F.col("ring").alias("fitted")), fit.near_pairs(c, _way(_cells(spark, sf_dir), 9, [(0, 500), (1, 500), (1, 501)], [1, 2, 3])))
@@ -290,7 +301,7 @@ def preview_arrows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (overlay_multipolygon, match_multipolygon, footprint_measures, difference_clip, near_neighbours, fit_outlines, snapped_corners, kept_nodes, kept_inserted, shared_edge_densified, fit_conflicts, mitre_buffer, ring_distances, nearest_corners, great_circles, moved_and_scaled, clean_rings, smallest_hits, at_outlines, offset_best, score_fixed, image_check, luma, preview_arrows)
+    for f in (overlay_multipolygon, match_multipolygon, footprint_measures, difference_clip, near_neighbours, fit_outlines, snapped_corners, safe_joints, kept_nodes, kept_inserted, shared_edge_densified, fit_conflicts, mitre_buffer, ring_distances, nearest_corners, great_circles, moved_and_scaled, clean_rings, smallest_hits, at_outlines, offset_best, score_fixed, image_check, luma, preview_arrows)
 }
 
 _C = f"c AS ({_CELLS.format(part='part')})"
@@ -308,6 +319,7 @@ ORACLES = {
     "fit_outlines": f"""WITH {_C}, p AS (SELECT id, [0, 2, 5, 10 + q * 0.125e0, 10 + q * 0.125e0, 0] AS x, [0, -0.25e0, -0.25e0, 0.125e0, 8.125e0, 8] AS y FROM c)
         SELECT id, 6::BIGINT AS n_vertices, 4::BIGINT AS n_nodes, round(list_sum(list_transform(range(1, 7), lambda i: x[i] * y[i % 6 + 1] - x[i % 6 + 1] * y[i])) / 2, 6) AS area, 0::DOUBLE AS clipped, 0::DOUBLE AS overlap, false AS conflict FROM p""",
     "snapped_corners": f"""WITH {_C} SELECT id, k::BIGINT AS corner, CASE k WHEN 1 THEN id * 100 + 1 WHEN 2 THEN id * 100 + 4 END AS node, CASE WHEN k IN (0, 3) THEN id * 10 + 3 END AS glue_way, CASE k WHEN 0 THEN round(9 / 28e0, 6) WHEN 3 THEN round(17 / 28e0, 6) END AS glue_t FROM c, (SELECT unnest([0, 1, 2, 3]) AS k)""",
+    "safe_joints": f"WITH {_C} SELECT id, (6 - odd)::BIGINT AS n_vertices, (2 - odd)::BIGINT AS n_joints, CASE WHEN odd = 1 THEN 80.25e0 ELSE 80.625e0 END AS area FROM c",
     "kept_nodes": f"WITH {_C} SELECT id, k::BIGINT AS k, shift, kept FROM c, (SELECT * FROM (VALUES (1, 0.5e0, true), (2, 0.25e0, true), (3, 0e0, true), (4, 0e0, false), (5, 0e0, false), (6, 0e0, false)) v(k, shift, kept))",
     "kept_inserted": f"WITH {_C} SELECT id, 7::BIGINT AS n_vertices, 3::BIGINT AS n_nodes, 81.25e0 AS area FROM c",
     "shared_edge_densified": f"WITH {_C} SELECT id, (CASE WHEN q < 3 THEN 5 ELSE 4 END)::BIGINT AS n_vertices, CASE WHEN q < 3 THEN 81e0 ELSE 80e0 END AS area FROM c",

@@ -110,6 +110,18 @@ def test_fit(spark):
     assert not k[3].kept and not k[4].kept
 
 
+def test_joints_that_lead_into_a_neighbour_are_left_out(spark):
+    c = rings(spark, [(k, box(100 * k, 0, 10, 10)) for k in (1, 2, 3, 4, 5)] + [(6, [600, 0, 600, 10, 610, 10, 610, 0, 600, 0])])
+    spike = lambda x, y, tip: [x + tip, y, x + 13, y - 1, x + 13, y + 1, x + tip, y]
+    wall = lambda x: box(x + 10.1, -5, 2, 20)  # noqa: E731  reaches past the edge, so it has no node along it
+    step = lambda x: box(x + 10.1, 1, 2, 2)  # noqa: E731  in the way of the spike alone, not of a path over its own nodes
+    n = [(11, spike(100, 5, 10.3)), (21, spike(200, 5, 10.3)), (22, wall(200)), (31, spike(300, 5, 10.3)), (32, spike(300, 8, 9.95)), (33, wall(300)), (41, spike(400, 5, 10.3)), (42, step(400)), (51, spike(500, 5, 10.05)), (52, spike(500, 7, 10.3)), (53, box(510.15, 6, 3, 9)), (61, spike(600, 5, 10.3)), (62, wall(600))]
+    near = rings(spark, n, "way_id").withColumn("nodes", F.transform(F.sequence(F.lit(1), (F.size("ring") / 2).cast("int") - 1), lambda k: (F.col("way_id") * 10 + k).cast("long")))
+    pairs = fit.near_pairs(c, near)
+    got = fit.vertices(c.select("id", F.col("ring").alias("fitted")), pairs).where("place <> floor(place)").collect()
+    assert {(r.id, r.node) for r in got} == {(1, 111), (3, 321), (4, 411), (4, 421), (4, 424), (5, 511), (5, 531)}
+
+
 def test_node_assignment_and_edits(spark):
     free = spark.createDataFrame([(1, 0, 0.0, 0.0), (1, 1, 10.0, 0.0), (1, 2, 20.0, 0.0)], "way_id long, corner int, x double, y double")
     pool = spark.createDataFrame([(1, 7, 9.0, 0.0), (1, 8, 11.0, 0.0)], "way_id long, node_id long, nx double, ny double")
