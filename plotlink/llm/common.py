@@ -6,7 +6,7 @@ import functools
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: ASCII white space as the contracts define it (fixed value).
@@ -70,6 +70,20 @@ def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= limit else df
 
 
+def indexed(rows: DataFrame, group: str, order: list[str], ranges: list[Column] | None = None) -> DataFrame:
+    """rows with idx, the place in their group from 0, and n, the group's size; no group is null. No group lies in one task: rows
+    are sorted in ranges, and a range's count moves the places of those behind it. ranges: what ranges are cut by, if less than
+    the whole order (a sample of it goes to the driver)."""
+    placed = rows.repartitionByRange(group, *(ranges or order)).sortWithinPartitions(group, *order)
+    row = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    placed = stored(placed.select("*", F.spark_partition_id().alias("_part"), row.alias("_row")), "ordered")
+    parts = placed.groupBy(group, "_part").agg(F.min("_row").alias("_first"), F.count(F.lit(1)).alias("_count"))
+    of = Window.partitionBy(group)
+    before = F.coalesce(F.sum("_count").over(of.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = stored(parts.select(group, "_part", (before - F.col("_first")).alias("_shift"), F.sum("_count").over(of).alias("n")), "order-parts")
+    return placed.join(small(parts), [group, "_part"]).withColumn("idx", F.col("_row") + F.col("_shift")).drop("_part", "_row", "_shift")
+
+
 def lower_ascii(text: Column) -> Column:
     """Lower-case A-Z only."""
     return F.translate(text, UPPER, UPPER.lower())

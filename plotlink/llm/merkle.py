@@ -16,7 +16,7 @@ import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plotlink.llm import common
@@ -48,19 +48,6 @@ def _power(exponent: Column) -> Column:
     return F.element_at(F.array(*[F.lit(ARITY**k) for k in range(40)]), (exponent + 1).cast("int"))
 
 
-def indexed(rows: DataFrame, group: str, order: list[str]) -> DataFrame:
-    """rows (stored) with idx, the place in their group from 0, and n, the group's size. No group lies in one task: rows are
-    sorted in ranges, and a range's count moves the places of those behind it."""
-    placed = rows.repartitionByRange(group, *order).sortWithinPartitions(group, *order)
-    row = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
-    placed = common.stored(placed.select("*", F.spark_partition_id().alias("_part"), row.alias("_row")), "ordered")
-    parts = placed.groupBy(group, "_part").agg(F.min("_row").alias("_first"), F.count(F.lit(1)).alias("_count"))
-    of = Window.partitionBy(group)
-    before = F.coalesce(F.sum("_count").over(of.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    parts = common.stored(parts.select(group, "_part", (before - F.col("_first")).alias("_shift"), F.sum("_count").over(of).alias("n")), "order-parts")
-    return placed.join(common.small(parts), [group, "_part"]).withColumn("idx", F.col("_row") + F.col("_shift")).drop("_part", "_row", "_shift")
-
-
 def _width(n: int, level: int) -> int:
     return -(-n // ARITY**level)
 
@@ -211,12 +198,12 @@ def manifest(docs: DataFrame) -> DataFrame:
     fixed = [docs[c] for c in ("doc_id", "source", "lang", "n_chars")]
     grp = F.when(docs["source"].isNull(), F.lit("0")).otherwise(F.concat(F.lit("1"), docs["source"].cast("string")))
     hashed = docs.select(grp.alias("grp"), docs["doc_id"].cast("long").alias("doc_id"), digest(*fixed, docs["text"]).alias("leaf"), digest(*fixed, changed).alias("tampered"))
-    leaves = common.stored(indexed(common.stored(hashed, "hashed"), "grp", ["doc_id", "leaf"]), "leaves")
+    leaves = common.stored(common.indexed(common.stored(hashed, "hashed"), "grp", ["doc_id", "leaf"]), "leaves")
     tree = nodes(leaves.withColumnRenamed("leaf", "digest"))
 
     lone = leaves.where("n = 1").select("grp", F.lit(0).alias("level"), F.col("leaf").alias("digest"))
     subroots = common.stored(tree.where(F.col("level") == _top_level(F.col("n"))).select("grp", "level", "digest").unionByName(lone), "subroots")
-    groups = common.stored(indexed(subroots.select(F.lit("").alias("all"), "grp", "level", "digest"), "all", ["grp"]), "groups")
+    groups = common.stored(common.indexed(subroots.select(F.lit("").alias("all"), "grp", "level", "digest"), "all", ["grp"]), "groups")
     forest = nodes(groups.select(F.lit("").alias("grp"), "n", "idx", "digest"))
     crown = forest.where(F.col("level") == _top_level(F.col("n"))).select("digest").unionByName(groups.where("n = 1").select("digest"))
     above = crown.select(F.lit("").alias("grp"), F.lit(None).cast("string").alias("subroot"), F.col("digest").alias("root"), F.lit("").alias("proof"), F.lit(0).cast("long").alias("idx"))

@@ -90,6 +90,42 @@ SELECT n.doc_id, n.n_shingles, m.component_id, n.doc_id = m.component_id AS kept
 FROM n JOIN (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a) m USING (doc_id)
 """
 
+#: Forward dynamic programming over structs (cost, edits, repaired text) for the four states of the pattern; structs compare by
+#: cost, then edits.
+OP11_CONVERSATION_REPAIR = r"""
+WITH RECURSIVE tab AS (SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)), lambda c, i: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END)) AS tab),
+b AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, 'null') AS k,
+             xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(regexp_extract_all(hex(encode(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '))), '..'), lambda x: ('0x' || x)::BIGINT)),
+                             lambda c, x: xor(c // 256, tab[(xor(c, x) & 255) + 1])), 4294967295::BIGINT) % 20 AS fate FROM conversations, tab),
+d AS (SELECT k, turn, CASE WHEN fate = 4 THEN 'user' ELSE role END AS role, CASE fate WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+      FROM b, unnest(range(CASE fate WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END))),
+o AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY turn NULLS FIRST, role, text) AS pos FROM d),
+f AS (SELECT *, left(role, 1) AS i, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 1 WHEN row_number() OVER (PARTITION BY k, role, text ORDER BY pos) > 1 THEN 2
+             WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') THEN 3 ELSE 0 END AS fault, lag(left(role, 1)) OVER (PARTITION BY k ORDER BY pos) AS before FROM o),
+far AS (SELECT {'c': 1000000000, 'e': '', 't': ''} AS far),
+z AS (SELECT DISTINCT k, 0 AS pos, {'c': 0, 'e': '', 't': ''} AS n, far AS s, {'c': 5, 'e': 'I', 't': chr(10) || 'user:'} AS u, {'c': 10, 'e': 'II', 't': chr(10) || 'user:' || chr(10) || 'assistant:'} AS a FROM b, far
+      UNION ALL
+      SELECT k, pos, n, s, u, least(a0, {'c': u.c + 5, 'e': u.e || 'I', 't': u.t || chr(10) || 'assistant:'}) FROM (
+        SELECT k, pos, n, s, a0, least(u0, {'c': n.c + 5, 'e': n.e || 'I', 't': n.t || chr(10) || 'user:'}, {'c': s.c + 5, 'e': s.e || 'I', 't': s.t || chr(10) || 'user:'}, {'c': a0.c + 5, 'e': a0.e || 'I', 't': a0.t || chr(10) || 'user:'}) AS u
+        FROM (
+          SELECT z.k, f.pos, {'c': z.n.c + 2, 'e': z.n.e || 'D', 't': z.n.t} AS n,
+                 least({'c': z.s.c + 2, 'e': z.s.e || 'D', 't': z.s.t}, CASE WHEN i = 's' THEN {'c': z.n.c + y, 'e': z.n.e || 'K', 't': z.n.t || line} ELSE far END) AS s,
+                 least({'c': z.u.c + 2, 'e': z.u.e || 'D', 't': z.u.t},
+                       CASE WHEN i = 'u' THEN {'c': z.n.c + y, 'e': z.n.e || 'K', 't': z.n.t || line} ELSE far END, CASE WHEN i = 'u' THEN {'c': z.s.c + y, 'e': z.s.e || 'K', 't': z.s.t || line} ELSE far END,
+                       CASE WHEN i = 'u' THEN {'c': z.a.c + y, 'e': z.a.e || 'K', 't': z.a.t || line} ELSE far END,
+                       {'c': z.n.c + y + 1, 'e': z.n.e || 'R', 't': z.n.t || chr(10) || 'user:' || text}, {'c': z.s.c + y + 1, 'e': z.s.e || 'R', 't': z.s.t || chr(10) || 'user:' || text},
+                       {'c': z.a.c + y + 1, 'e': z.a.e || 'R', 't': z.a.t || chr(10) || 'user:' || text}) AS u0,
+                 least({'c': z.a.c + 2, 'e': z.a.e || 'D', 't': z.a.t}, CASE WHEN i = 'a' THEN {'c': z.u.c + y, 'e': z.u.e || 'K', 't': z.u.t || line} ELSE far END,
+                       {'c': z.u.c + y + 1, 'e': z.u.e || 'R', 't': z.u.t || chr(10) || 'assistant:' || text}) AS a0
+          FROM z JOIN (SELECT *, CASE fault WHEN 0 THEN 0 WHEN 3 THEN 5 ELSE 1000000000 END AS y, chr(10) || role || ':' || text AS line FROM f) f ON f.k = z.k AND f.pos = z.pos + 1, far))),
+r AS (SELECT z.k, least(n, a) AS best FROM z JOIN (SELECT k, max(pos) AS pos FROM z GROUP BY k) USING (k, pos)),
+g AS (SELECT k, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 1) AS blank, count(*) FILTER (fault = 2) AS duplicate, count(*) FILTER (fault = 3) AS truncated,
+             count(*) FILTER (before || i NOT IN ('su', 'ua', 'au')) AS illegal FROM f GROUP BY k)
+SELECT conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal,
+       best.c::BIGINT AS cost, best.e AS audit, sha256(best.t[2:]) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id, k FROM b) JOIN r USING (k) LEFT JOIN g USING (k)
+"""
+
 #: The tree level by level as lists; a proof is a list of `left,right` strings, folded from below.
 OP12_MERKLE_MANIFEST = r"""
 WITH RECURSIVE tab AS (SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)), lambda c, i: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END)) AS tab),
@@ -115,4 +151,4 @@ f AS (SELECT o.doc_id, o.leaf, s.subroot, (SELECT nodes[1] FROM u WHERE len(node
 SELECT *, folded_root = root AS verified FROM f
 """
 
-ORACLES = {"op2_mixing": OP2_MIXING, "op3_exact_dedup": OP3_EXACT_DEDUP, "op4_chat_formatting": OP4_CHAT_FORMATTING, "op6_warc": OP6_WARC, "op7_near_dedup": OP7_NEAR_DEDUP, "op9_sharding": OP9_SHARDING, "op12_merkle_manifest": OP12_MERKLE_MANIFEST}
+ORACLES = {"op2_mixing": OP2_MIXING, "op3_exact_dedup": OP3_EXACT_DEDUP, "op4_chat_formatting": OP4_CHAT_FORMATTING, "op6_warc": OP6_WARC, "op7_near_dedup": OP7_NEAR_DEDUP, "op9_sharding": OP9_SHARDING, "op11_conversation_repair": OP11_CONVERSATION_REPAIR, "op12_merkle_manifest": OP12_MERKLE_MANIFEST}
