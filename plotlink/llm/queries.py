@@ -5,7 +5,7 @@ from __future__ import annotations
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from plotlink.llm import chat, decontaminate, exact_dedup, langid, line_dedup, merkle, mixing, near_dedup, pii, repair, sharding, warc
+from plotlink.llm import ann, chat, decontaminate, exact_dedup, langid, line_dedup, merkle, mixing, near_dedup, pii, repair, sharding, warc
 from plotlink.llm.common import read_table
 
 
@@ -57,5 +57,9 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.audit(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_mixing, op3_exact_dedup, op4_chat_formatting, op5_line_dedup, op6_warc, op7_near_dedup, op8_language_id, op9_sharding, op10_pii, op11_conversation_repair, op12_merkle_manifest)}
+def op13_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(read_table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_mixing, op3_exact_dedup, op4_chat_formatting, op5_line_dedup, op6_warc, op7_near_dedup, op8_language_id, op9_sharding, op10_pii, op11_conversation_repair, op12_merkle_manifest, op13_nearest_neighbours)}
 QUERIES["pipeline"] = corpus_pipeline.run
