@@ -394,14 +394,6 @@ def undo_redo(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edits.effective_log(_events(spark, sf_dir)).select("seq", "id", "decision")
 
 
-def decision_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Status after gating by default acceptance, undo and open prerequisites, with where to go first."""
-    e = _events(spark, sf_dir)
-    ids = e.select("id").distinct()
-    edges = ids.where("id % 3 = 0").select(F.col("id").alias("candidate"), (F.col("id") + 1).alias("prerequisite")).unionByName(ids.where("id % 6 = 0").select(F.col("id").alias("candidate"), (F.col("id") + 2).alias("prerequisite")))
-    return edits.decided(e, edges, ids.where("id % 2 = 0"))
-
-
 def next_open(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per list of 48 entries: the next open one behind a decided place, else from the front."""
     s = layers.layer(spark, sf_dir, _ROW.replace("//", "div"), "part")
@@ -466,7 +458,7 @@ QUERIES = {
     f.__name__: f
     for f in (gml_features, gml_first, osm_buildings, osm_addresses, sources_to_classes, page_truncation, wfs_requests, service_answers, image_requests, utm_places, area_guards, lookup_file, bundled_lookup, profile_json, log_file, rates_file, change_files, source_tags,
               same_corners, touching_pairs, alignment_edges, alignment_members, group_corner_moves, alignment_sets, keep_relaxed, apply_replace,
-              node_pool, assign_pool, uncross, glue_inserts, free_positions, open_prerequisites, undo_redo, decision_machine, next_open, tag_edits, review_filters_all, session_counts, candidate_union, title_lists, keep_members, decision_rates)
+              node_pool, assign_pool, uncross, glue_inserts, free_positions, open_prerequisites, undo_redo, next_open, tag_edits, review_filters_all, session_counts, candidate_union, title_lists, keep_members, decision_rates)
 }
 
 _S = f"s AS ({_SPOT.format(part='part')})"
@@ -535,11 +527,6 @@ ORACLES = {
     "free_positions": f"WITH {_S} SELECT id, (CASE WHEN s % 2 = 0 THEN 3 ELSE 4 END)::BIGINT AS n FROM s",
     "open_prerequisites": f"WITH {_S} SELECT c.id FROM s c JOIN s p ON c.k > 0 AND p.id = c.id - c.k WHERE p.m < 2",
     "undo_redo": f"WITH {_EV} SELECT seq, id, decision FROM ok",
-    "decision_machine": f"""WITH {_EV}, i AS (SELECT DISTINCT id FROM v), d AS (SELECT id, arg_max(decision, seq) AS d FROM ok GROUP BY 1),
-        w AS (SELECT id, CASE WHEN d = 'force' OR (d = 'accept' AND id % 2 = 0) THEN 'applied' WHEN d = 'reject' THEN 'rejected' WHEN d = 'skip' THEN 'skipped' ELSE 'open' END AS wanted FROM d),
-        e AS (SELECT id AS c, id + 1 AS p FROM i WHERE id % 3 = 0 UNION ALL SELECT id, id + 2 FROM i WHERE id % 6 = 0),
-        h AS (SELECT c AS id, min(p) AS first FROM e LEFT JOIN w ON w.id = e.p WHERE coalesce(w.wanted, 'open') IN ('open', 'skipped') GROUP BY 1)
-        SELECT w.id, CASE WHEN wanted = 'applied' AND first IS NOT NULL THEN 'open' ELSE wanted END AS status, CASE WHEN wanted = 'applied' THEN first END AS redirect FROM w LEFT JOIN h USING (id)""",
     "next_open": f"""WITH {_B}, o AS (SELECT r, c, id FROM b WHERE c % 11 = 3), l AS (SELECT DISTINCT r, r * 17 % 48 AS at FROM b)
         SELECT l.r AS list_id, arg_min(o.id, (o.c < l.at, o.c)) AS next FROM l LEFT JOIN o ON o.r = l.r AND o.c <> l.at GROUP BY 1""",
     "tag_edits": f"""WITH {_S}, p AS (SELECT * FROM (VALUES ('building', 'yes', true), ('name', 'a', false), ('ref', 'b', false)) v(key, value, selected))
