@@ -34,6 +34,9 @@ PER_CENTROID = 16
 REPLICAS, BOUNDARY = 4, 0.05
 #: Members of a block of a list, and queries that are held against it at once.
 BLOCK, BATCH = 4096, 512
+#: Lists that a query reads in the first round, and how many times as many it has read after each later one. A round passes on only what
+#: beats the k best of those before, so what is passed on follows the rounds and not the lists.
+FIRST, GROWTH = 4, 8
 #: Queries answered exactly to set the ratio, and the share of their answers that the lists must hold.
 PROBED, TARGET = 200, 0.97
 #: Neighbours of a centroid in the graph, and centroids that a search keeps open at least.
@@ -195,18 +198,18 @@ def _exact(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.add.reduce(x * y, axis=1)
 
 
-def _best(queries: np.ndarray, members: np.ndarray, low: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For each query its k best members, ties by least id, and their scores."""
+def _best(queries: np.ndarray, members: np.ndarray, low: np.ndarray, k: int, bars: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each query its k best members that reach its bar, ties by least id, and their scores."""
     rough = queries @ members.T
     for q in range(len(queries)):
+        bar = -np.inf if bars is None else bars[q]
         if len(members) > k:
-            bar = np.partition(rough[q], len(members) - k)[len(members) - k]
-            near = np.nonzero(rough[q] >= bar - 1e-9 * (1 + abs(bar)))[0]
-        else:
-            near = np.arange(len(members))
-        score = _exact(np.broadcast_to(queries[q], (len(near), queries.shape[1])), members[near])
-        order = np.lexsort((low[near], -score))[:k]
-        yield q, near[order], score[order]
+            bar = max(bar, np.partition(rough[q], len(members) - k)[len(members) - k])
+        near = np.nonzero(rough[q] >= bar - 1e-9 * (1 + abs(bar)))[0] if np.isfinite(bar) else np.arange(len(members))
+        if len(near):
+            score = _exact(np.broadcast_to(queries[q], (len(near), queries.shape[1])), members[near])
+            order = np.lexsort((low[near], -score))[:k]
+            yield q, near[order], score[order]
 
 
 _FOUND = "q1 long, q2 long, h1 long, h2 long, low long, score double"
@@ -245,8 +248,12 @@ def _read_lists(batches: Iterator[pa.RecordBatch], dim: int, k: int) -> Iterator
                 if not parts:
                     continue
                 members, low, h1, h2 = (np.concatenate(c) for c in zip(*parts, strict=True))
+            bars = here.column("bar").to_numpy(zero_copy_only=False)
+            bars = np.where(np.isnan(bars), -np.inf, bars)
             for at in range(0, len(x), BATCH):
-                yield _pack_found([(a[at + q], b[at + q], h1[near], h2[near], low[near], score) for q, near, score in _best(x[at : at + BATCH], members, low, k)])
+                found = [(a[at + q], b[at + q], h1[near], h2[near], low[near], score) for q, near, score in _best(x[at : at + BATCH], members, low, k, bars[at : at + BATCH])]
+                if found:
+                    yield _pack_found(found)
 
 
 def _first(found: DataFrame, k: int) -> DataFrame:
@@ -302,23 +309,48 @@ class Index:
 
         return self.entries.select("h1", "h2", "low", "packed").mapInArrow(run, "list int, h1 long, h2 long, low long, packed binary")
 
-    def _probes(self, queries: DataFrame, ratio: float) -> DataFrame:
-        """list, block, h1, h2, packed of queries for each block of the lists that they read."""
-        dim, longest, blocks, graph = self.dim, self.longest, self.blocks, self.entries.sparkSession.sparkContext.broadcast(self.graph)
+    def _lists_of(self, ratio: float):
+        """For a batch of queries: rows, lists within the ratio and the place of a list among its query's, nearest first."""
+        dim, longest, graph = self.dim, self.longest, self.entries.sparkSession.sparkContext.broadcast(self.graph)
+
+        def of(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            met = graph.value.search(_asked(_vectors(b.column("packed"), dim), longest), ratio)
+            rows, lists = np.nonzero(met <= (ratio * (1 + 1e-12)) ** 2 * met.min(axis=1)[:, None] + 1e-12)
+            order = np.lexsort((lists, met[rows, lists], rows))
+            rows, lists = rows[order], lists[order]
+            return rows, lists, np.arange(len(rows)) - np.searchsorted(rows, rows)
+
+        return of
+
+    def _widest(self) -> int:
+        """Lists that a query reads at most."""
+        of = self._lists_of(self.ratio)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for big in batches:
+                most = max((int(of(big.slice(at, BATCH))[2].max(initial=-1)) + 1 for at in range(0, big.num_rows, BATCH)), default=0)
+                yield pa.RecordBatch.from_arrays([pa.array([most], pa.int64())], ["most"])
+
+        return self.entries.where("asked").select("packed").mapInArrow(run, "most long").agg(F.max("most")).first()[0] or 0
+
+    def _probes(self, queries: DataFrame, begin: int, end: int) -> DataFrame:
+        """list, block, h1, h2, bar, packed of queries for each block of the lists that they read from place begin to end."""
+        of, blocks = self._lists_of(self.ratio), self.blocks
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for big in batches:
                 for at in range(0, big.num_rows, BATCH):
                     b = big.slice(at, BATCH)
-                    met = graph.value.search(_asked(_vectors(b.column("packed"), dim), longest), ratio)
-                    rows, lists = np.nonzero(met <= (ratio * (1 + 1e-12)) ** 2 * met.min(axis=1)[:, None] + 1e-12)
+                    rows, lists, places = of(b)
+                    here = (places >= begin) & (places < end)
+                    rows, lists = rows[here], lists[here]
                     times = np.array([blocks.get(int(c), 0) for c in lists], dtype=int)
                     rows, lists = np.repeat(rows, times), np.repeat(lists, times)
                     part = np.concatenate([np.arange(t) for t in times]) if len(times) else np.zeros(0, dtype=int)
-                    kept = b.take(pa.array(rows))
-                    yield pa.RecordBatch.from_arrays([pa.array(lists, pa.int32()), pa.array(part, pa.int32()), *[kept.column(c) for c in ("h1", "h2", "packed")]], ["list", "block", "h1", "h2", "packed"])
+                    kept = b.take(pa.array(rows, pa.int64()))
+                    yield pa.RecordBatch.from_arrays([pa.array(lists, pa.int32()), pa.array(part, pa.int32()), *[kept.column(c) for c in ("h1", "h2", "bar", "packed")]], ["list", "block", "h1", "h2", "bar", "packed"])
 
-        return queries.select("h1", "h2", "packed").mapInArrow(run, "list int, block int, h1 long, h2 long, packed binary")
+        return queries.select("h1", "h2", "bar", "packed").mapInArrow(run, "list int, block int, h1 long, h2 long, bar double, packed binary")
 
     def exact(self, queries: DataFrame, k: int) -> DataFrame:
         """The k best entries of a bounded set of queries, from all entries in blocks."""
@@ -353,16 +385,29 @@ class Index:
         needed = np.array([np.sqrt(d[i, lists].min()) for i, lists in enumerate(asked.column("lists").to_pylist())]) / nearest
         return float(max(1.0, np.sort(needed)[min(len(needed) - 1, int(np.ceil(self.target * len(needed))))]))
 
+    def _round(self, best: DataFrame | None, begin: int, end: int) -> DataFrame:
+        """The best entries of all queries after their lists from place begin to end."""
+        k, dim, asked = self.k, self.dim, self.entries.where("asked").select("h1", "h2", "packed")
+        if best is None:
+            asked = asked.withColumn("bar", F.lit(None).cast("double"))
+        else:
+            bars = best.groupBy(F.col("q1").alias("h1"), F.col("q2").alias("h2")).agg(F.when(F.count(F.lit(1)) > k, F.min("score")).alias("bar"))
+            asked = asked.join(bars, ["h1", "h2"], "left")
+        parts = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for p in sorted(self.blocks.items()) for x in p]), F.col("list")), F.lit(1))
+        members = self.postings.select("list", F.pmod(F.col("h1"), parts).cast("int").alias("block"), F.lit(0).alias("side"), "h1", "h2", "low", F.lit(None).cast("double").alias("bar"), "packed")
+        probes = self._probes(asked, begin, end).select("list", "block", F.lit(1).alias("side"), "h1", "h2", F.lit(None).cast("long").alias("low"), "bar", "packed")
+        met = members.unionByName(probes).repartition("list", "block").sortWithinPartitions("list", "block", "side")
+        found = met.mapInArrow(lambda b: _read_lists(b, dim, k + 1), _FOUND)
+        return common.stored(_first(found if best is None else found.unionByName(best), k + 1).select("q1", "q2", "h1", "h2", "low", "score"), "best")
+
     def search(self) -> DataFrame:
         """query_id, rank, vec_id, score: the k nearest found for each row that is asked for."""
-        k, dim, blocks = self.k, getattr(self, "dim", 0), getattr(self, "blocks", {})
+        k = self.k
         if not self.size:
             return self.rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-        parts = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for p in sorted(blocks.items()) for x in p]), F.col("list")), F.lit(1))
-        members = self.postings.select("list", F.pmod(F.col("h1"), parts).cast("int").alias("block"), F.lit(0).alias("side"), "h1", "h2", "low", "packed")
-        probes = self._probes(self.entries.where("asked"), self.ratio).select("list", "block", F.lit(1).alias("side"), "h1", "h2", F.lit(None).cast("long").alias("low"), "packed")
-        met = members.unionByName(probes).repartition("list", "block").sortWithinPartitions("list", "block", "side")
-        best = _first(met.mapInArrow(lambda b: _read_lists(b, dim, k + 1), _FOUND), k + 1)
+        best, begin, end, widest = self._round(None, 0, FIRST), FIRST, FIRST * GROWTH, self._widest()
+        while begin < widest:
+            best, begin, end = self._round(best, begin, end), end, end * GROWTH
         # Of a query's rows the first k + 1 are enough: its own is one of them at most.
         rows = best.join(self.entries.select("h1", "h2", "ids"), ["h1", "h2"]).select("q1", "q2", "score", F.explode("ids").alias("vec_id"))
         nearest = Window.orderBy(F.desc("score"), F.col("vec_id").asc_nulls_last())
