@@ -5,58 +5,21 @@ pairs of their edges, of the area below the lower of the two where their x range
 signs. Holes, several parts, common edges and slanted ones need no special case, and every pair of edges is one row of
 compiled arithmetic.
 
-Pieces. For outlines, edges are cut where edges of the partner cross or touch them, and pieces are kept or not by their
-midpoints (even-odd over all rings). Pieces on a common boundary count once, if both run the same way.
+Outlines of what two or more footprints leave or cover are in arrange.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plotlink.functions import geometry as G
-from plotlink.operators.scratch import cut_lineage
-
-EPS = 1e-9
 
 
 def _kind(df: DataFrame, name: str) -> str:
     return df.schema[name].dataType.simpleString()
 
 
-def _edges(pairs: DataFrame, ids: list[str], rings: str, side: str) -> DataFrame:
-    """One row an edge, numbered, in the direction that geometry.shape_edges gives."""
-    e = pairs.select(*ids, F.posexplode(G.shape_edges(F.col(rings), _kind(pairs, rings))).alias("no", "e"))
-    return e.select(*ids, F.lit(side).alias("side"), "no", "e.*").where("ax <> bx or ay <> by")
-
-
-def kept_pieces(pairs: DataFrame, ids: list[str], rings_a: str, rings_b: str) -> DataFrame:
-    """Boundary pieces of both polygons of each pair: ids, side (a, b), px, py, qx, qy, inside, along (on the
-    partner's boundary: 1 same way, -1 opposite, else 0). Edges meet edges as rows of compiled arithmetic."""
-    both = cut_lineage(_edges(pairs, ids, rings_a, "a").unionByName(_edges(pairs, ids, rings_b, "b")))
-    other = both.select(*ids, F.when(F.col("side") == "a", "b").otherwise("a").alias("side"), *[F.col(c).alias(f"o{c}") for c in ("ax", "ay", "bx", "by")])
-    c = F.col
-    dx, dy, ex, ey, wx, wy = c("bx") - c("ax"), c("by") - c("ay"), c("obx") - c("oax"), c("oby") - c("oay"), c("oax") - c("ax"), c("oay") - c("ay")
-    met = both.join(other, [*ids, "side"]).withColumn("det", dx * ey - dy * ex).withColumn("size", dx * dx + dy * dy)
-    crossing = F.abs("det") > EPS
-    det = F.when(crossing, c("det"))
-    met = met.withColumn("t", (wx * ey - wy * ex) / det).withColumn("u", (wx * dy - wy * dx) / det).withColumn("off", F.abs(wx * dy - wy * dx) / F.sqrt("size"))
-    along = lambda x, y: F.when(~crossing & (c("off") <= 1e-7), ((c(x) - c("ax")) * dx + (c(y) - c("ay")) * dy) / c("size"))
-    stops = F.array(F.when(c("u").between(-EPS, 1 + EPS), c("t")), along("oax", "oay"), along("obx", "oby"))
-    cuts = met.select(*ids, "side", "no", F.explode(stops).alias("t0")).where((c("t0") > EPS) & (c("t0") < 1 - EPS)).distinct()
-    ends = both.select(*ids, "side", "no", F.explode(F.array(F.lit(0.0), F.lit(1.0))).alias("t0"))
-    pieces = ends.unionByName(cuts).withColumn("t1", F.lead("t0").over(Window.partitionBy(*ids, "side", "no").orderBy("t0"))).where(c("t1") - c("t0") > EPS).join(both, [*ids, "side", "no"])
-    point = lambda t, x: c(f"a{x}") + c(t) * (c(f"b{x}") - c(f"a{x}"))
-    here = ["px", "py", "qx", "qy"]
-    pieces = pieces.select(*ids, "side", "no", point("t0", "x").alias("px"), point("t0", "y").alias("py"), point("t1", "x").alias("qx"), point("t1", "y").alias("qy"))
-    seen = pieces.withColumn("mx", (c("px") + c("qx")) / 2).withColumn("my", (c("py") + c("qy")) / 2).join(other, [*ids, "side"], "left")
-    upward = (c("oay") > c("my")) != (c("oby") > c("my"))
-    left = c("mx") < ex * (c("my") - c("oay")) / F.nullif(ey, F.lit(0.0)) + c("oax")
-    on = G.segment_distance(c("mx"), c("my"), c("oax"), c("oay"), c("obx"), c("oby")) <= 1e-7
-    way = F.signum((c("qx") - c("px")) * ex + (c("qy") - c("py")) * ey)
-    return seen.groupBy(*ids, "side", "no", *here).agg((F.count_if(upward & left) % 2 == 1).alias("inside"), F.coalesce(F.max(F.when(on, way)), F.lit(0.0)).cast("int").alias("along")).drop("no")
-
-
 def shared_area(pairs: DataFrame, ids: list[str], rings_a: str, rings_b: str) -> DataFrame:
     """ids, shared: area common to the two footprints (a ring, rings or polygons, see geometry.shape_edges) of each pair."""
     upright = lambda name: F.filter(G.shape_edges(F.col(name), _kind(pairs, name)), lambda e: e["ax"] != e["bx"])  # noqa: E731  others have nothing below them
@@ -78,15 +41,6 @@ def shared_area(pairs: DataFrame, ids: list[str], rings_a: str, rings_b: str) ->
     return met.groupBy(*ids).agg(F.sum(F.col("sign") * F.col("width") * below).alias("shared"))
 
 
-def remainder_pieces(pairs: DataFrame, ids: list[str], rings_a: str, rings_b: str) -> DataFrame:
-    """Directed boundary pieces of a minus b: a's pieces outside b and b's pieces inside a, turned round."""
-    p = kept_pieces(pairs, ids, rings_a, rings_b)
-    mine = (F.col("side") == "a") & F.when(F.col("along") != 0, F.col("along") == -1).otherwise(~F.col("inside"))
-    theirs = (F.col("side") == "b") & (F.col("along") == 0) & F.col("inside")
-    turned = p.where(theirs).select(*ids, F.col("qx").alias("px"), F.col("qy").alias("py"), F.col("px").alias("qx"), F.col("py").alias("qy"))
-    return p.where(mine).select(*ids, "px", "py", "qx", "qy").unionByName(turned)
-
-
 def discrete_hausdorff(pairs: DataFrame, ids: list[str], ring_a: str, ring_b: str, parts: int = 10) -> DataFrame:
     """ids, hausdorff: the largest distance of a boundary sample (parts samples an edge) of either ring from the other."""
 
