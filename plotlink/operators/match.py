@@ -107,13 +107,15 @@ def spatial_order(df: DataFrame, x: str = "cx", y: str = "cy", params: Params =
 
 
 def mask_pairs(official: DataFrame, params: Params = DEFAULTS) -> DataFrame:
-    """id, o_id: other footprints within mask_distance whose area is not (almost) inside this one: edges near them
-    may belong to the neighbour and are not counted."""
+    """id, o_id: other footprints whose outline is within mask_distance and whose area is not (almost) inside this one: edges near
+    them may belong to the neighbour and are not counted."""
     near = gridjoin.self_envelope_join(official, "id", grow=params.mask_distance, size=params.cell)
-    near = with_shared_area(near, ["id", "o_id"])
+    near = with_shared_area(cut_lineage(near), ["id", "o_id"])
     smaller = F.least(_area(near), _area(near, "o_"))
     apart = near.where((smaller > 0) & (F.col("shared") / smaller <= 0.9))
-    return apart.select("id", "o_id")
+    rings = [F.array(F.col(_shape(near, p))) if _shape(near, p) == p + "ring" else F.transform(p + "polygons", lambda x: x["outer"]) for p in ("", "o_")]
+    within = F.exists(rings[0], lambda a: F.exists(rings[1], lambda b: G.ring_distance(a, b) <= params.mask_distance))
+    return apart.where((F.col("shared") > 0) | within).select("id", "o_id")
 
 
 def selected_at(official: DataFrame, x: float, y: float) -> DataFrame:
