@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from plotlink.functions import crs
 from plotlink.functions import geometry as G
 from plotlink.functions import text as X
-from plotlink.operators import align, edits, evaluate, graph, match
+from plotlink.operators import align, edits, evaluate, graph, match, replace
 from plotlink.operators.scratch import cut_lineage, shared_path
 from plotlink.plans import graph_queries, layers
 from plotlink.sources import gml, images, lookups, osm, tables, wfs
@@ -318,14 +318,14 @@ def keep_relaxed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def apply_replace(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What replacing each group would move, add and delete."""
+    """What replacing each group would move, add and delete, and how many nodes its outlines then have."""
     members, candidates, way_nodes, nodes = _grouped(spark, sf_dir)
-    changes = align.replace_group(members, candidates, way_nodes, nodes)
+    changes = replace.replace_groups(members, candidates, way_nodes, nodes)
     count = lambda name: changes[name].groupBy("start").agg(F.count(F.lit(1)).alias(name))
     out = candidates.select(F.col("id").alias("start"))
-    for name in ("node_move", "node_add", "node_delete", "way_nodes"):
+    for name in ("node_move", "node_add", "node_delete", "way_nodes", "lost", "failed"):
         out = out.join(count(name), "start", "left")
-    return out.fillna(0)
+    return out.join(changes["way_nodes"].groupBy("start").agg(F.sum(F.size("nodes")).alias("ring_nodes")), "start", "left").fillna(0)
 
 
 # ---------------------------------------------------------------- edits and review
@@ -513,9 +513,12 @@ ORACLES = {
     "alignment_sets": f"WITH {_B} SELECT id + 1000000 AS way_id, status = 'open' AND c % 5 IN (0, 1, 2) AND id % 7 <> 0 AS pending, id % 7 = 0 OR status = 'applied' OR c % 5 NOT IN (0, 1, 2) AS aligned FROM b",
     "keep_relaxed": f"""WITH {_B} SELECT m.id, ((m.r * 49 + m.c + k) * 2 + t)::BIGINT AS node_id FROM b m LEFT JOIN b o ON o.r = m.r AND o.c = m.c + 1, (SELECT unnest([0, 1]) AS k), (SELECT unnest([0, 1]) AS t)
         WHERE NOT (k = 1 AND (m.c + 1) % 5 IN (1, 2) AND (o.id IS NULL OR o.status = 'open'))""",
+    # Off walls: shared ones move with both houses in the group, own ones by reuse. Towards a neighbour that stays (it is applied
+    # already), a right wall gets corners of its own beside the shared nodes, which stay in the outline; a left one is clipped to it.
     "apply_replace": f"""WITH {_GROUPS}, h AS (SELECT g.start, b.r, b.c, b.id FROM g JOIN b ON b.id = g.node), k AS (SELECT h.*, col, EXISTS (SELECT 1 FROM b o WHERE o.r = h.r AND o.c = CASE WHEN col = h.c THEN h.c - 1 ELSE h.c + 1 END) AS shared,
-          EXISTS (SELECT 1 FROM h o WHERE o.start = h.start AND o.r = h.r AND o.c = CASE WHEN col = h.c THEN h.c - 1 ELSE h.c + 1 END) AS both_in FROM h, LATERAL (SELECT unnest([h.c, h.c + 1]) AS col))
-        SELECT start, (2 * count(DISTINCT CASE WHEN col % 5 IN (1, 2) AND (both_in OR NOT shared) THEN col END))::BIGINT AS node_move, (2 * count(*) FILTER (col % 5 IN (1, 2) AND shared AND NOT both_in))::BIGINT AS node_add, 0::BIGINT AS node_delete, count(DISTINCT id) AS way_nodes FROM k GROUP BY start""",
+          EXISTS (SELECT 1 FROM h o WHERE o.start = h.start AND o.r = h.r AND o.c = CASE WHEN col = h.c THEN h.c - 1 ELSE h.c + 1 END) AS both_in FROM h, LATERAL (SELECT unnest([h.c, h.c + 1]) AS col)),
+        n AS (SELECT start, (2 * count(DISTINCT CASE WHEN col % 5 IN (1, 2) AND (both_in OR NOT shared) THEN col END))::BIGINT AS node_move, (2 * count(*) FILTER (col % 5 IN (1, 2) AND col > c AND shared AND NOT both_in))::BIGINT AS node_add, count(DISTINCT id) AS way_nodes FROM k GROUP BY start)
+        SELECT *, 0::BIGINT AS node_delete, 0::BIGINT AS lost, 0::BIGINT AS failed, (5 * way_nodes + node_add)::BIGINT AS ring_nodes FROM n""",
     "node_pool": f"WITH {_WAYS}, n AS (SELECT node_id FROM w GROUP BY 1 HAVING count(DISTINCT way_id) = 1) SELECT DISTINCT way_id, node_id FROM w JOIN n USING (node_id) WHERE way_id % 3 = 0 AND node_id % 5 <> 0",
     "assign_pool": f"""WITH {_S}, p AS (SELECT id, c, n, sqrt((c * 10 - n * 9 - s % 7 - 0.25e0) ** 2 + 1) AS d FROM s, range(3) a(c), range(2) b(n)), f AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d, c, n) AS k FROM p),
         one AS (SELECT * FROM f WHERE k = 1), two AS (SELECT f.id, f.c, f.n, f.d, row_number() OVER (PARTITION BY f.id ORDER BY f.k) AS j FROM f JOIN one USING (id) WHERE f.c <> one.c AND f.n <> one.n)
