@@ -153,6 +153,8 @@ def mutual_nearest(pairs: DataFrame, a: str, b: str, distance: str, group: list[
             break
         done = taken if done is None else done.unionByName(taken)
         open_ = cut_lineage(open_.join(taken.select(*group, a), [*group, a], "left_anti").join(taken.select(*group, b), [*group, b], "left_anti"))
+    else:
+        raise RuntimeError(f"pairs are left after {rounds} rounds")
     return done if done is not None else pairs.limit(0)
 
 

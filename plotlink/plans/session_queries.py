@@ -5,6 +5,7 @@ File sources are tested on files that the query writes from a table first, into
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -125,21 +126,27 @@ def sources_to_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def page_truncation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A scan of pages of ten features with a cap of 25 ids, and one that ends with a short page."""
-    pages = spark.createDataFrame([(0, 10, 10), (1, 10, 9), (2, 10, 10), (3, 10, 10)], "page_no int, raw_features int, new_ids int")
-    short = spark.createDataFrame([(0, 10, 10), (1, 4, 4), (2, 10, 10)], "page_no int, raw_features int, new_ids int")
-    state = lambda p, name, cap: gml.page_state(p, 10, cap).select(F.lit(name).alias("scan"), "pages_read", "features", "truncated")
-    return state(pages, "capped", 25).unionByName(state(short, "short", 25))
+    """A scan a supplier: pages of ten of its order lines, whose feature ids are parts and repeat; capped at 40 ids."""
+    line = layers.layer(spark, sf_dir, "SELECT l_suppkey AS scan, l_partkey % 60 AS feature, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber) - 1 AS n FROM {lineitem}", "lineitem")
+    seen = line.withColumn("page_no", F.floor(F.col("n") / 10)).withColumn("new", F.col("n") == F.min("n").over(Window.partitionBy("scan", "feature")))
+    pages = seen.groupBy("scan", "page_no").agg(F.count(F.lit(1)).alias("raw_features"), F.count_if("new").alias("new_ids"))
+    return gml.page_state(pages, 10, 40, ["scan"])
 
 
 def wfs_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """GetFeature requests of both versions, with parameters that the URL already has."""
-    box = (1.0, 2.5, 3.0, 4.25)
-    urls = [
-        ("v2", wfs.feature_url("https://example.org/wfs?service=WFS", "b:house", "EPSG:25832", box, start=1000)), ("v2 first", wfs.feature_url("https://example.org/wfs?", "b:house", "EPSG:25832", box, count=10)),
-        ("v1 swapped", wfs.feature_url("https://example.org/wfs?map=a&", "t", "EPSG:25833", box, version="1.1.0", swap_axes=True)),
-    ]
-    return spark.createDataFrame(urls, "request string, url string")
+    """GetFeature requests of both versions for a box around each supplier's place, with parameters that the URL already has."""
+    kinds = [("https://example.org/wfs?service=WFS", "2.0.0", False, 1000), ("https://example.org/wfs?", "2.0.0", False, 0), ("https://example.org/wfs?map=a&", "1.1.0", True, 0), (" https://example.org/wfs ", "1.1.0", False, 0)]
+
+    @F.pandas_udf("string")
+    def url(k: pd.Series, x: pd.Series, y: pd.Series) -> pd.Series:
+        def one(k: int, x: float, y: float) -> str:
+            base, version, swap, start = kinds[k]
+            return wfs.feature_url(base, "b:house", "EPSG:25832", (x, y, x + 2, y + 1.5), version=version, count=10, start=start, swap_axes=swap)
+
+        return pd.Series([one(*r) for r in zip(k, x, y, strict=True)])
+
+    s = layers.layer(spark, sf_dir, "SELECT s_suppkey AS id, s_suppkey % 4 AS k, s_suppkey % 50 + 0.25e0 AS x, s_suppkey % 7 + 0.5e0 AS y FROM {supplier}", "supplier")
+    return s.select("id", url("k", "x", "y").alias("url"))
 
 
 _BODIES = "CASE c_custkey % 4 WHEN 0 THEN '<a><ows:Name>b:house</ows:Name></a>' WHEN 1 THEN '<a><Name>x:house</Name> and  <b>more</b></a>' WHEN 2 THEN '<a><Name>house</Name></a>' ELSE '<p>Internal   Server</p> <i>Error ' || c_custkey || '</i>' END"
@@ -197,12 +204,21 @@ def bundled_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def profile_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Profiles written as JSON and read again, missing ones added, the active one picked."""
-    made = tables.load_profiles('[{"name": "a", "page_size": 5, "unknown": 1}, {"name": "b", "url": "u", "rules": null}]')
-    again = tables.add_missing(tables.load_profiles(tables.dump_profiles(made)), [tables.Profile(name="a"), tables.Profile(name="c")])
-    one = tables.load_profiles('{"name": "d"}')
-    rows = [(p.name, p.page_size, p.url, len(p.rules), p is tables.active_profile(again, "c")) for p in again] + [(p.name, p.page_size, p.url, len(p.rules), p is tables.active_profile(one, "zz")) for p in one]
-    return spark.createDataFrame(rows, "name string, page_size long, url string, n_rules long, active boolean")
+    """A file of profiles a supplier, as an array or one object: read, written and read again, missing ones added, one picked."""
+    text = F.when(F.col("k") == 0, F.concat(F.lit('{"name": "p'), "id", F.lit('"}'))).otherwise(
+        F.concat(F.lit('[{"name": "p'), "id", F.lit('", "page_size": '), "k", F.lit(', "unknown": 1}, {"name": "b", "url": "u'), "id", F.lit('", "rules": null}]'))
+    )
+
+    @F.pandas_udf("array<struct<name:string,page_size:long,url:string,n_rules:long,active:boolean>>")
+    def settled(texts: pd.Series, names: pd.Series) -> pd.Series:
+        def one(text: str, name: str) -> list[dict]:
+            ps = tables.add_missing(tables.load_profiles(tables.dump_profiles(tables.load_profiles(text))), [tables.Profile(name="b"), tables.Profile(name="c")])
+            return [{"name": p.name, "page_size": p.page_size, "url": p.url, "n_rules": len(p.rules), "active": p is tables.active_profile(ps, name)} for p in ps]
+
+        return pd.Series([one(*r) for r in zip(texts, names, strict=True)])
+
+    s = layers.layer(spark, sf_dir, "SELECT s_suppkey AS id, s_suppkey % 5 AS k, CASE s_suppkey % 3 WHEN 0 THEN 'c' WHEN 1 THEN 'b' ELSE 'none' END AS wanted FROM {supplier}", "supplier")
+    return s.select("id", F.explode(settled(text, F.col("wanted"))).alias("p")).select("id", "p.*")
 
 
 def _decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -482,10 +498,16 @@ ORACLES = {
     "sources_to_classes": f"""WITH {_S}, t AS (SELECT *, CASE k WHEN 0 THEN 76 WHEN 4 THEN 84 ELSE 80 END AS a, CASE m WHEN 0 THEN 80 WHEN 1 THEN 76 END AS b, CASE WHEN k = 0 OR m = 1 THEN 76 ELSE 80 END AS n FROM s WHERE k < 5)
         SELECT CASE k WHEN 4 THEN 'g' || id ELSE 'o' || id END AS id, CASE WHEN m > 1 THEN 'NEU' WHEN m = 0 THEN CASE WHEN k IN (1, 2, 3) THEN 'IDENTISCH' ELSE 'ABWEICHEND' END WHEN k = 0 THEN 'IDENTISCH' ELSE 'KOMPLEX' END AS match_class,
                (CASE WHEN m > 1 THEN 0 ELSE 1 END)::BIGINT AS n_partners, CASE WHEN m < 2 THEN round(n / (a + b - n), 6) END AS iou FROM t""",
-    "page_truncation": "SELECT * FROM (VALUES ('capped', 3::BIGINT, 29::BIGINT, true), ('short', 2::BIGINT, 14::BIGINT, false)) v(scan, pages_read, features, truncated)",
-    "wfs_requests": """SELECT * FROM (VALUES ('v2', 'https://example.org/wfs?service=WFS&REQUEST=GetFeature&VERSION=2.0.0&TYPENAMES=b%3Ahouse&SRSNAME=urn%3Aogc%3Adef%3Acrs%3AEPSG%3A%3A25832&BBOX=1.000%2C2.500%2C3.000%2C4.250%2Curn%3Aogc%3Adef%3Acrs%3AEPSG%3A%3A25832&COUNT=1000&STARTINDEX=1000'),
-        ('v2 first', 'https://example.org/wfs?SERVICE=WFS&REQUEST=GetFeature&VERSION=2.0.0&TYPENAMES=b%3Ahouse&SRSNAME=urn%3Aogc%3Adef%3Acrs%3AEPSG%3A%3A25832&BBOX=1.000%2C2.500%2C3.000%2C4.250%2Curn%3Aogc%3Adef%3Acrs%3AEPSG%3A%3A25832&COUNT=10'),
-        ('v1 swapped', 'https://example.org/wfs?map=a&SERVICE=WFS&REQUEST=GetFeature&VERSION=1.1.0&TYPENAME=t&SRSNAME=EPSG%3A25833&BBOX=2.500%2C1.000%2C4.250%2C3.000%2CEPSG%3A25833&MAXFEATURES=1000')) v(request, url)""",
+    "page_truncation": """WITH l AS (SELECT l_suppkey AS scan, l_partkey % 60 AS f, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber) - 1 AS n FROM lineitem),
+        p AS (SELECT a.scan, a.n // 10 AS page, count(*) AS raw, count(*) FILTER (NOT EXISTS (SELECT 1 FROM l b WHERE b.scan = a.scan AND b.f = a.f AND b.n < a.n)) AS fresh FROM l a GROUP BY 1, 2),
+        t AS (SELECT p.*, (SELECT sum(q.fresh) FROM p q WHERE q.scan = p.scan AND q.page <= p.page) AS total FROM p),
+        e AS (SELECT scan, coalesce(min(page) FILTER (raw < 10 OR fresh = 0 OR total >= 40), max(page)) AS last FROM t GROUP BY 1)
+        SELECT scan, (last + 1)::BIGINT AS pages_read, total::BIGINT AS features, raw >= 10 AND total >= 40 AS truncated FROM t JOIN e USING (scan) WHERE page = last""",
+    "wfs_requests": """WITH s AS (SELECT s_suppkey AS id, s_suppkey % 4 AS k, s_suppkey % 50 + 0.25e0 AS x, s_suppkey % 7 + 0.5e0 AS y FROM supplier), b AS (SELECT *, printf('%.3f', x) AS x0, printf('%.3f', y) AS y0, printf('%.3f', x + 2) AS x1, printf('%.3f', y + 1.5) AS y1 FROM s)
+        SELECT id, CASE k WHEN 0 THEN 'https://example.org/wfs?service=WFS&REQUEST=GetFeature&VERSION=2.0.0&TYPENAMES=b%3Ahouse&SRSNAME=urn%3Aogc%3Adef%3Acrs%3AEPSG%3A%3A25832&BBOX=' || x0 || '%2C' || y0 || '%2C' || x1 || '%2C' || y1 || '%2Curn%3Aogc%3Adef%3Acrs%3AEPSG%3A%3A25832&COUNT=10&STARTINDEX=1000'
+          WHEN 1 THEN 'https://example.org/wfs?SERVICE=WFS&REQUEST=GetFeature&VERSION=2.0.0&TYPENAMES=b%3Ahouse&SRSNAME=urn%3Aogc%3Adef%3Acrs%3AEPSG%3A%3A25832&BBOX=' || x0 || '%2C' || y0 || '%2C' || x1 || '%2C' || y1 || '%2Curn%3Aogc%3Adef%3Acrs%3AEPSG%3A%3A25832&COUNT=10'
+          WHEN 2 THEN 'https://example.org/wfs?map=a&SERVICE=WFS&REQUEST=GetFeature&VERSION=1.1.0&TYPENAME=b%3Ahouse&SRSNAME=EPSG%3A25832&BBOX=' || y0 || '%2C' || x0 || '%2C' || y1 || '%2C' || x1 || '%2CEPSG%3A25832&MAXFEATURES=10'
+          ELSE 'https://example.org/wfs?SERVICE=WFS&REQUEST=GetFeature&VERSION=1.1.0&TYPENAME=b%3Ahouse&SRSNAME=EPSG%3A25832&BBOX=' || x0 || '%2C' || y0 || '%2C' || x1 || '%2C' || y1 || '%2CEPSG%3A25832&MAXFEATURES=10' END AS url FROM b""",
     "service_answers": f"SELECT id, id % 4 < 3 AS found, left(trim(regexp_replace(regexp_replace(body, '<[^>]*>', ' ', 'g'), '\\s+', ' ', 'g')), 20) AS snippet FROM (SELECT c_custkey AS id, {_BODIES} AS body FROM customer)",
     "image_requests": f"""WITH {_S}, r AS (SELECT *, CASE WHEN greatest(x + s * 10.05e0 - x, 20) / 0.1e0 > 3000 THEN greatest(x + s * 10.05e0 - x, 20) / 3000 ELSE 0.1e0 END AS res FROM s),
         n AS (SELECT *, greatest(1, ceil((x + s * 10.05e0 - x) / res))::BIGINT AS width, greatest(1, ceil(20 / res))::BIGINT AS height FROM r)
@@ -497,7 +519,10 @@ ORACLES = {
     "area_guards": f"WITH {_S} SELECT id, (x - 5)::DOUBLE AS x0, (y + 900)::DOUBLE AS y1, (s * 40 + 5) * 900 <= 1000000 AS fits FROM s",
     "lookup_file": "SELECT p_partkey AS id, length(p_type)::VARCHAR AS building, true AS matched FROM part",
     "bundled_lookup": "SELECT p_partkey AS id, CASE p_partkey % 5 WHEN 0 THEN 'garage' WHEN 1 THEN 'house' WHEN 2 THEN '-' ELSE 'yes' END AS building, p_partkey % 5 < 3 AS matched, p_partkey % 5 = 2 AS excluded FROM part",
-    "profile_json": "SELECT * FROM (VALUES ('a', 5::BIGINT, '', 1::BIGINT, false), ('b', 1000, 'u', 1, false), ('c', 1000, '', 1, true), ('d', 1000, '', 1, true)) v(name, page_size, url, n_rules, active)",
+    # The active one is the newest of the wanted name, else the first.
+    "profile_json": """WITH s AS (SELECT s_suppkey AS id, s_suppkey % 5 AS k, CASE s_suppkey % 3 WHEN 0 THEN 'c' WHEN 1 THEN 'b' ELSE 'none' END AS wanted FROM supplier)
+        SELECT id, name, (CASE WHEN name LIKE 'p%' AND k > 0 THEN k ELSE 1000 END)::BIGINT AS page_size, CASE WHEN name = 'b' AND k > 0 THEN 'u' || id ELSE '' END AS url, 1::BIGINT AS n_rules, name = CASE wanted WHEN 'none' THEN 'p' || id ELSE wanted END AS active
+        FROM s, LATERAL (SELECT unnest(['p' || id, 'b', 'c']) AS name)""",
     "log_file": f"""WITH {_L} SELECT strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS time, 'p' || profile AS profile, id::VARCHAR AS id, 'a;b' AS function, 'NEU' AS match_class, CASE WHEN seq % 3 > 0 THEN round(score, 4) END AS iou, NULL::DOUBLE AS hausdorff, round(score, 4) AS score,
         CASE WHEN seq % 2 > 0 THEN printf('%.4f', score / 3)::DOUBLE END AS map_score, NULL::DOUBLE AS "offset", 'DISKREPANZ' AS recommendation, decision, (CASE WHEN seq % 5 > 0 THEN duration_ms ELSE -1 END)::BIGINT AS duration_ms, CASE seq % 4 WHEN 0 THEN 'a;"b" | c d' WHEN 1 THEN 'plain' END AS hints FROM l""",
     "rates_file": f"SELECT threshold, area::VARCHAR AS area, tpr, fpr, n, coalesce(area::VARCHAR, 'all') AS shown_area FROM ({graph_queries.ORACLES['tpr_fpr_by_threshold']})",
