@@ -68,7 +68,12 @@ def interleave(rows: DataFrame, n_shards: int = N_SHARDS, *, row_id: str = "doc_
 
 
 def shard_documents(docs: DataFrame, n_shards: int = N_SHARDS) -> DataFrame:
-    """The contract's columns for a table of documents; null text counts as no bytes."""
+    """The contract's columns for a table of documents; null text counts as no bytes.
+
+    Every row has its own place, repeated rows and equal texts too; rows that share an id, or have none, are ordered by their text's
+    checksum and size, and wholly equal ones in any way, which does not show. A null source is a source of its own. An empty table
+    gives no rows.
+    """
     text = F.coalesce(F.col("text"), F.lit(""))
     size = F.octet_length(text).cast("long") + 1
     crc = F.crc32(common.utf8_bytes(text))
