@@ -73,7 +73,8 @@ def classify(official: DataFrame, mapped: DataFrame, params: Params = DEFAULTS)
 def map_only(official: DataFrame, mapped: DataFrame, area: tuple[float, float, float, float] | None = None, params: Params = DEFAULTS) -> DataFrame:
     """Mapped buildings inside the area that no official geometry (excluded ones too) covers by map_only_overlap."""
     inside = mapped if area is None else mapped.where((F.col("x0") >= area[0]) & (F.col("y0") >= area[1]) & (F.col("x1") <= area[2]) & (F.col("y1") <= area[3]))
-    pairs = with_shared_area(gridjoin.envelope_join(official, inside, size=params.cell), ["id", "o_osm_id"])
+    # Stored once: the overlay reads the joined pairs and is joined to them again.
+    pairs = with_shared_area(cut_lineage(gridjoin.envelope_join(official, inside, size=params.cell)), ["id", "o_osm_id"])
     smaller = F.least(_area(pairs), _area(pairs, "o_"))
     covered = pairs.where((smaller > 0) & (F.col("shared") / smaller >= params.map_only_overlap)).select(F.col("o_osm_id").alias("osm_id"))
     return inside.join(covered, "osm_id", "left_anti")
