@@ -83,6 +83,12 @@ def shape_edges(shape: Column, kind: str) -> Column:
     return F.flatten(F.transform(shape, lambda p: F.concat(edges(oriented(p["outer"])), F.flatten(F.transform(p["holes"], lambda h: edges(clockwise(h)))))))
 
 
+def shape_corners(shape: Column, kind: str) -> Column:
+    """How many corners a footprint has, closing ones included; kind as in shape_edges."""
+    flat = shape if kind == "array<double>" else F.flatten(shape) if kind == "array<array<double>>" else F.flatten(F.transform(shape, lambda p: F.concat(p["outer"], F.flatten(p["holes"]))))
+    return F.floor(F.size(flat) / 2).cast("int")
+
+
 def edges_area(items: Column) -> Column:
     """Area inside directed edges such as shape_edges gives."""
     return F.aggregate(items, F.lit(0.0), lambda s, e: s + (e["ax"] * e["by"] - e["bx"] * e["ay"]) / 2)

@@ -28,7 +28,9 @@ def _area(df: DataFrame, prefix: str = "") -> Column:
 
 
 def with_shared_area(pairs: DataFrame, ids: list[str]) -> DataFrame:
-    """Adds shared, 0 for pairs that share nothing."""
+    """Adds shared, 0 for pairs that share nothing. pairs is stored once: the overlay reads it for short and for long outlines, and
+    its areas are joined to it again."""
+    pairs = cut_lineage(pairs)
     areas = overlay.shared_area(pairs.select(*ids, F.col(_shape(pairs)).alias("shape_a"), F.col(_shape(pairs, "o_")).alias("shape_b")), ids, "shape_a", "shape_b")
     return pairs.join(areas, ids, "left").withColumn("shared", F.coalesce("shared", F.lit(0.0)))
 
@@ -39,8 +41,7 @@ def partners(official: DataFrame, mapped: DataFrame, params: Params = DEFAULTS)
     official: id, ring or polygons, x0..y1; mapped: osm_id, is_way, ring or polygons, x0..y1. Adds area, o_area, shared, iou, overlap.
     """
     sized = lambda df: df.withColumn("area", _area(df))  # noqa: E731  once a building, not once a pair
-    # Stored once: the overlay and the callers read the joined pairs again.
-    pairs = with_shared_area(cut_lineage(gridjoin.envelope_join(sized(official), sized(mapped), size=params.cell)), ["id", "o_osm_id"])
+    pairs = with_shared_area(gridjoin.envelope_join(sized(official), sized(mapped), size=params.cell), ["id", "o_osm_id"])
     union, smaller = F.col("area") + F.col("o_area") - F.col("shared"), F.least("area", "o_area")
     pairs = pairs.withColumn("iou", F.when(union > 0, F.col("shared") / union).otherwise(0.0)).withColumn("overlap", F.when(smaller > 0, F.col("shared") / smaller).otherwise(0.0))
     return pairs.where(F.col("overlap") >= params.partner_overlap)
@@ -73,8 +74,7 @@ def classify(official: DataFrame, mapped: DataFrame, params: Params = DEFAULTS)
 def map_only(official: DataFrame, mapped: DataFrame, area: tuple[float, float, float, float] | None = None, params: Params = DEFAULTS) -> DataFrame:
     """Mapped buildings inside the area that no official geometry (excluded ones too) covers by map_only_overlap."""
     inside = mapped if area is None else mapped.where((F.col("x0") >= area[0]) & (F.col("y0") >= area[1]) & (F.col("x1") <= area[2]) & (F.col("y1") <= area[3]))
-    # Stored once: the overlay reads the joined pairs and is joined to them again.
-    pairs = with_shared_area(cut_lineage(gridjoin.envelope_join(official, inside, size=params.cell)), ["id", "o_osm_id"])
+    pairs = with_shared_area(gridjoin.envelope_join(official, inside, size=params.cell), ["id", "o_osm_id"])
     smaller = F.least(_area(pairs), _area(pairs, "o_"))
     covered = pairs.where((smaller > 0) & (F.col("shared") / smaller >= params.map_only_overlap)).select(F.col("o_osm_id").alias("osm_id"))
     return inside.join(covered, "osm_id", "left_anti")
@@ -111,7 +111,7 @@ def mask_pairs(official: DataFrame, params: Params = DEFAULTS) -> DataFrame:
     """id, o_id: other footprints whose outline is within mask_distance and whose area is not (almost) inside this one: edges near
     them may belong to the neighbour and are not counted."""
     near = gridjoin.self_envelope_join(official, "id", grow=params.mask_distance, size=params.cell)
-    near = with_shared_area(cut_lineage(near), ["id", "o_id"])
+    near = with_shared_area(near, ["id", "o_id"])
     smaller = F.least(_area(near), _area(near, "o_"))
     apart = near.where((smaller > 0) & (F.col("shared") / smaller <= 0.9))
     rings = [F.array(F.col(_shape(near, p))) if _shape(near, p) == p + "ring" else F.transform(p + "polygons", lambda x: x["outer"]) for p in ("", "o_")]

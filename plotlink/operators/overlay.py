@@ -15,21 +15,49 @@ from pyspark.sql import functions as F
 
 from plotlink.functions import geometry as G
 
+#: Pairs with more combinations of edges than this meet by slabs.
+LONG = 4096
+
 
 def _kind(df: DataFrame, name: str) -> str:
     return df.schema[name].dataType.simpleString()
 
 
+def _long_met(long: DataFrame, ids: list[str]) -> DataFrame:
+    """ids, ox, oy, a, b, left, right: edges of long outlines that share a slab of x, with the slab's bounds. Slabs are as many as an
+    eighth of the pair's edges, but so wide that an edge falls into few of them."""
+    run = lambda name: F.aggregate(name, F.lit(0.0), lambda s, e: s + F.abs(e["bx"] - e["ax"]))
+    xs = F.transform(F.concat("ea", "eb"), lambda e: e["ax"])  # every corner but those of upright edges starts one
+    n = F.size("ea") + F.size("eb")
+    slabs = long.withColumn("start", F.array_min(xs)).withColumn("width", F.greatest((F.array_max(xs) - F.col("start")) * 8 / n, (run("ea") + run("eb")) / (4 * n)))
+    slab = lambda x: F.floor((x - F.col("start")) / F.col("width")).cast("long")
+
+    def side(name: str, *more: str) -> DataFrame:
+        e = slabs.select(*ids, *more, "start", "width", F.explode(f"e{name}").alias(name))
+        return e.withColumn("slab", F.explode(F.sequence(slab(F.least(f"{name}.ax", f"{name}.bx")), slab(F.greatest(f"{name}.ax", f"{name}.bx")))))
+
+    met = side("a", "ox", "oy").join(side("b").drop("start", "width"), [*ids, "slab"])
+    return met.select(*ids, "ox", "oy", "a", "b", (F.col("start") + F.col("slab") * F.col("width")).alias("left"), (F.col("start") + (F.col("slab") + 1) * F.col("width")).alias("right"))
+
+
 def shared_area(pairs: DataFrame, ids: list[str], rings_a: str, rings_b: str) -> DataFrame:
-    """ids, shared: area common to the two footprints (a ring, rings or polygons, see geometry.shape_edges) of each pair."""
+    """ids, shared: area common to the two footprints (a ring, rings or polygons, see geometry.shape_edges) of each pair.
+
+    The edges of short outlines meet within their row; those of pairs with more than `LONG` combinations meet by an equi-join on
+    slabs of x, each slab counting what lies inside it. pairs is read for both, so it should be a stored table.
+    """
     upright = lambda name: F.filter(G.shape_edges(F.col(name), _kind(pairs, name)), lambda e: e["ax"] != e["bx"])  # noqa: E731  others have nothing below them
-    sides = pairs.select(*ids, upright(rings_a).alias("ea"), upright(rings_b).alias("eb"))
-    # Places count from a corner of the pair's own, so that large coordinates cost no digits.
-    sides = sides.withColumn("ox", F.col("ea")[0]["ax"]).withColumn("oy", F.col("ea")[0]["ay"])
-    met = sides.withColumn("a", F.explode("ea")).withColumn("b", F.explode("eb"))
-    met = met.select(*ids, *[(F.col(f"{e}.{end}{c}") - F.col(f"o{c}")).alias(f"{e}{end}{c}") for e in "ab" for end in "ab" for c in "xy"])
-    low = F.greatest(F.least("aax", "abx"), F.least("bax", "bbx"))
-    high = F.least(F.greatest("aax", "abx"), F.greatest("bax", "bbx"))
+
+    def sides(of: DataFrame) -> DataFrame:
+        # Places count from a corner of the pair's own, so that large coordinates cost no digits.
+        return of.select(*ids, upright(rings_a).alias("ea"), upright(rings_b).alias("eb")).withColumn("ox", F.col("ea")[0]["ax"]).withColumn("oy", F.col("ea")[0]["ay"])
+
+    combinations = G.shape_corners(F.col(rings_a), _kind(pairs, rings_a)).cast("long") * G.shape_corners(F.col(rings_b), _kind(pairs, rings_b))
+    short = sides(pairs.where(combinations <= LONG)).withColumn("a", F.explode("ea")).withColumn("b", F.explode("eb"))
+    met = short.select(*ids, "ox", "oy", "a", "b", F.lit(float("-inf")).alias("left"), F.lit(float("inf")).alias("right")).unionByName(_long_met(sides(pairs.where(combinations > LONG)), ids))
+    met = met.select(*ids, *[(F.col(f"{e}.{end}{c}") - F.col(f"o{c}")).alias(f"{e}{end}{c}") for e in "ab" for end in "ab" for c in "xy"], *[(F.col(c) - F.col("ox")).alias(c) for c in ("left", "right")])
+    low = F.greatest(F.least("aax", "abx"), F.least("bax", "bbx"), "left")
+    high = F.least(F.greatest("aax", "abx"), F.greatest("bax", "bbx"), "right")
     met = met.withColumn("low", low).withColumn("high", F.greatest(low, high))
     at = lambda e, x: F.col(f"{e}ay") + (F.col(x) - F.col(f"{e}ax")) * (F.col(f"{e}by") - F.col(f"{e}ay")) / (F.col(f"{e}bx") - F.col(f"{e}ax"))
     met = met.select(*ids, (F.col("high") - F.col("low")).alias("width"), *[at(e, x).alias(f"{e}_{x}") for e in "ab" for x in ("low", "high")], (F.signum(F.col("aax") - F.col("abx")) * F.signum(F.col("bax") - F.col("bbx"))).alias("sign"))

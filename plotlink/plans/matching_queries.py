@@ -44,9 +44,10 @@ def partner_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def overlay_area(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same pairs by the general edge overlay, which knows nothing of boxes."""
     from plotlink.operators import gridjoin, overlay
+    from plotlink.operators.scratch import cut_lineage
 
     pairs = gridjoin.envelope_join(layers.official(spark, sf_dir), layers.mapped(spark, sf_dir)).select("id", F.col("o_osm_id").alias("osm_id"), F.array("ring").alias("a"), F.array("o_ring").alias("b"))
-    return overlay.shared_area(pairs, ["id", "osm_id"], "a", "b").select("id", "osm_id", F.round(F.abs("shared"), 6).alias("shared"))
+    return overlay.shared_area(cut_lineage(pairs), ["id", "osm_id"], "a", "b").select("id", "osm_id", F.round(F.abs("shared"), 6).alias("shared"))
 
 
 def hausdorff_discrete(spark: SparkSession, sf_dir: str) -> DataFrame:
