@@ -124,24 +124,6 @@ def selected_at(official: DataFrame, x: float, y: float) -> DataFrame:
     return official.where((F.col("x0") <= x) & (F.col("x1") >= x) & (F.col("y0") <= y) & (F.col("y1") >= y)).where(G.contains_point(F.col("ring"), F.lit(x), F.lit(y)))
 
 
-def loaded_split(official: DataFrame, areas: DataFrame, params: Params = DEFAULTS) -> DataFrame:
-    """Adds covered: whether the footprint's envelope lies in the union of the loaded rectangles (x0..y1).
-
-    The envelope is cut at the rectangles' borders; it is covered if the cells of that grid it meets all are.
-    """
-    hit = gridjoin.envelope_join(official.select("id", *gridjoin.BOX), areas.select(*gridjoin.BOX), prefix="a_", size=params.cell)
-    clip = lambda c, lo, hi: F.greatest(F.col(lo), F.least(F.col(hi), F.col(c)))
-    g = hit.groupBy("id", *gridjoin.BOX).agg(
-        F.collect_list(F.struct(clip("a_x0", "x0", "x1").alias("x0"), clip("a_y0", "y0", "y1").alias("y0"), clip("a_x1", "x0", "x1").alias("x1"), clip("a_y1", "y0", "y1").alias("y1"))).alias("parts")
-    )
-    cuts = lambda lo, hi: F.array_sort(F.array_distinct(F.concat(F.array(F.col(lo), F.col(hi)), F.transform("parts", lambda p: p[lo]), F.transform("parts", lambda p: p[hi]))))
-    g = g.withColumn("xs", cuts("x0", "x1")).withColumn("ys", cuts("y0", "y1"))
-    mid = lambda name: F.transform(F.sequence(F.lit(1), F.size(name) - 1), lambda i: (F.element_at(name, i) + F.element_at(name, i + 1)) / 2)
-    full = F.forall(mid("xs"), lambda x: F.forall(mid("ys"), lambda y: F.exists("parts", lambda p: (p["x0"] < x) & (x < p["x1"]) & (p["y0"] < y) & (y < p["y1"]))))
-    done = g.select("id", full.alias("covered"))
-    return official.join(done, "id", "left").withColumn("covered", F.coalesce("covered", F.lit(False)))
-
-
 def sound(official: DataFrame) -> DataFrame:
     """Rows whose footprint has an area; null, empty and collapsed ones go."""
     return official.where(F.coalesce(_area(official) > 0, F.lit(False)))

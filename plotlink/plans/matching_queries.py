@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plotlink.operators import match
+from plotlink.functions import geometry as G
+from plotlink.operators import loaded, match
 from plotlink.plans import layers
 
 _O, _M, _X = layers.oracle(layers.OFFICIAL), layers.oracle(layers.MAPPED), layers.oracle(layers.ORPHANS)
@@ -105,14 +106,26 @@ def neighbour_mask_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def loaded_area_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     areas = spark.createDataFrame([(0.0, 0.0, 305.0, 2000.0), (305.0, 0.0, 610.0, 500.0), (300.0, 490.0, 620.0, 700.0)], "x0 double, y0 double, x1 double, y1 double")
-    return match.loaded_split(layers.official(spark, sf_dir), areas).groupBy("covered").agg(F.count(F.lit(1)).alias("n"))
+    return loaded.split(layers.official(spark, sf_dir), areas).groupBy("covered").agg(F.count(F.lit(1)).alias("n"))
+
+
+#: Boxes along the southern border of loaded bounds, a parallel that rises away from the zone's middle; some lie across the middle.
+_BORDER = """SELECT id, x0, y0, x0 + 10 AS x1, y0 + 8 AS y1 FROM (SELECT id, x0, 5649824e0 + floor((x0 - 500000e0) * (x0 - 500000e0) * 9.67e-8) + id * 7 % 61 - 30 AS y0
+  FROM (SELECT p_partkey AS id, CASE WHEN p_partkey % 40 = 0 THEN 499995e0 ELSE 435000e0 + p_partkey * 137 % 140000 END AS x0 FROM {part}) p) q"""
+
+
+def loaded_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Buildings in two loaded areas that meet at nine degrees east: curved sides decide those at the border."""
+    bounds = spark.createDataFrame([(51.0, 8.0, 51.5, 9.0), (51.0, 9.0, 51.5, 10.5), (52.0, 8.0, 52.0, 9.0)], "min_lat double, min_lon double, max_lat double, max_lon double")
+    near = layers.layer(spark, sf_dir, _BORDER, "part").withColumn("ring", G.rectangle(*[F.col(c) for c in ("x0", "y0", "x1", "y1")]))
+    return loaded.split(near, loaded.projected(bounds, 32)).select("id", "covered")
 
 
 def point_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return match.selected_at(layers.official(spark, sf_dir), 22.5, 21.5).select("id", "function")
 
 
-QUERIES = {f.__name__: f for f in (match_classify, match_class_counts, partner_pairs, overlay_area, hausdorff_discrete, osm_only, recommend, recommend_effective, recommendation_counts, session_summary, spatial_order, neighbour_mask_pairs, loaded_area_split, point_selection)}
+QUERIES = {f.__name__: f for f in (match_classify, match_class_counts, partner_pairs, overlay_area, hausdorff_discrete, osm_only, recommend, recommend_effective, recommendation_counts, session_summary, spatial_order, neighbour_mask_pairs, loaded_area_split, loaded_bounds, point_selection)}
 
 ORACLES = {
     "match_classify": f"WITH {_CLASSIFIED} SELECT id, match_class, n_partners, CASE WHEN n_partners = 1 THEN round(iou, 6) END AS iou FROM c",
@@ -143,5 +156,16 @@ ORACLES = {
         g AS (SELECT id, sum(greatest(0, least(x1, ax1) - greatest(x0, ax0)) * greatest(0, least(y1, ay1) - greatest(y0, ay0))) - max(CASE WHEN true THEN greatest(0, least(x1, 305e0) - greatest(x0, 300e0)) * greatest(0, least(y1, 700e0) - greatest(y0, 490e0)) END)
              - max(greatest(0, least(x1, 610e0) - greatest(x0, 305e0)) * greatest(0, least(y1, 500e0) - greatest(y0, 490e0))) AS inside, max((x1 - x0) * (y1 - y0)) AS area FROM o, a GROUP BY id)
         SELECT abs(inside - area) < 1e-6 AS covered, count(*) AS n FROM g GROUP BY 1""",
+    # The border's points by a power series in the distance from the zone's middle; between them it is straight. It bends up, so a box
+    # is inside if both ends of its lower side are.
+    "loaded_bounds": f"""WITH o AS ({layers.oracle(_BORDER)}), g AS (SELECT 6378137e0 AS a, 1 / 298.257222101e0 * (2 - 1 / 298.257222101e0) AS e2, radians(51e0) AS p),
+        c AS (SELECT *, e2 / (1 - e2) AS ep2, a / sqrt(1 - e2 * sin(p) ** 2) AS n, tan(p) ** 2 AS t, e2 / (1 - e2) * cos(p) ** 2 AS c,
+          a * ((1 - e2 / 4 - 3 * e2 ** 2 / 64 - 5 * e2 ** 3 / 256) * p - (3 * e2 / 8 + 3 * e2 ** 2 / 32 + 45 * e2 ** 3 / 1024) * sin(2 * p) + (15 * e2 ** 2 / 256 + 45 * e2 ** 3 / 1024) * sin(4 * p) - 35 * e2 ** 3 / 3072 * sin(6 * p)) AS m FROM g),
+        k AS (SELECT c.*, radians(CASE WHEN range < 16 THEN range / 16e0 - 1 ELSE (range - 16) * 1.5e0 / 16 END) * cos(p) AS w FROM c, range(33)),
+        v AS (SELECT 500000 + 0.9996e0 * n * (w + (1 - t + c) * w ** 3 / 6 + (5 - 18 * t + t * t + 72 * c - 58 * ep2) * w ** 5 / 120) AS x,
+          0.9996e0 * (m + n * tan(p) * (w ** 2 / 2 + (5 - t + 9 * c + 4 * c * c) * w ** 4 / 24 + (61 - 58 * t + t * t + 600 * c - 330 * ep2) * w ** 6 / 720)) AS y FROM k),
+        s AS (SELECT x AS ax, y AS ay, lead(x) OVER (ORDER BY x) AS bx, lead(y) OVER (ORDER BY x) AS byy FROM v),
+        e AS (SELECT id, y0, x0 AS x FROM o UNION ALL SELECT id, y0, x1 FROM o)
+        SELECT id, bool_and(y0 >= ay + (x - ax) * (byy - ay) / (bx - ax)) AS covered FROM e JOIN s ON ax <= x AND x < bx GROUP BY id""",
     "point_selection": f"WITH o AS ({_O}) SELECT id, function FROM o WHERE x0 <= 22.5 AND x1 >= 22.5 AND y0 <= 21.5 AND y1 >= 21.5",
 }

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from plotlink.functions import crs
 from plotlink.functions import geometry as G
 from plotlink.functions import text as X
-from plotlink.operators import align, edits, evaluate, graph, match, replace
+from plotlink.operators import align, edits, evaluate, graph, loaded, match, replace
 from plotlink.operators.scratch import cut_lineage, shared_path
 from plotlink.plans import graph_queries, layers
 from plotlink.sources import gml, images, lookups, osm, tables, wfs
@@ -439,7 +439,7 @@ def review_filters_all(spark: SparkSession, sf_dir: str) -> DataFrame:
 def session_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a session leaves out: rows excluded by rule, and rows outside the loaded area."""
     areas = spark.createDataFrame([(0.0, 0.0, 500.0, 10_000.0)], "x0 double, y0 double, x1 double, y1 double")
-    o = match.loaded_split(layers.official(spark, sf_dir), areas)
+    o = loaded.split(layers.official(spark, sf_dir), areas)
     excluded = X.matches_filter(F.col("function"), "copper")
     return o.agg(F.count(F.lit(1)).alias("total"), F.count_if(excluded).alias("excluded"), F.count_if(~excluded & ~F.col("covered")).alias("outside"), F.count_if(~excluded & F.col("covered")).alias("kept"))
 
