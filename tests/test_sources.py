@@ -149,3 +149,21 @@ def test_decision_stream(spark, tmp_path):
     batch = {r.id: r.status for r in decisions.current_states(spark.read.parquet(str(src))).collect()}
     assert got == batch == {1: "applied", 2: "rejected"}
     assert decisions.rates_by_window(stream).isStreaming
+
+
+def test_large_gml_in_many_tasks(spark, tmp_path):
+    houses = [HOUSE.format(k, f"o{k}" if k % 5 else "", (SQUARE, SOLID, "")[k % 3]) for k in range(300)]
+    (tmp_path / "big.xml").write_text(PAGE.format("".join(houses)))
+    path = str(tmp_path / "big.xml")
+    want = sorted(map(repr, gml.read_gml(spark, path, "oid").collect()))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        assert spark.read.text(path).rdd.getNumPartitions() > 5
+        got = gml.read_large_gml(spark, path, "oid").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert len(want) == 200 and sorted(map(repr, got)) == want
+    for bad in ("<a><b/></a>", '<!DOCTYPE a [<!ENTITY b "c">]><a/>', "<ExceptionReport>no such type</ExceptionReport>", PAGE.format(HOUSE.format(1, "x", SQUARE))[:-60]):
+        (tmp_path / "bad.xml").write_text(bad)
+        with pytest.raises(Exception):
+            gml.read_large_gml(spark, str(tmp_path / "bad.xml"), "oid").collect()
