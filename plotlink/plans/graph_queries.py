@@ -166,9 +166,19 @@ def geometry_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("id", F.round(foot["x"], 6).alias("foot_x"), F.round(foot["dist"], 6).alias("foot_dist"), F.round(foot["t"], 6).alias("foot_t"), F.round(hit["x"], 6).alias("hit_x"), F.round(hit["s"], 6).alias("hit_s"), G.contains_point(ring, F.col("x") + 0.5, F.col("y") + 0.25).alias("inside"))
 
 
+def neighbour_rings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ways that a new outline may touch: closed, of four nodes or more, a building or part of a building relation. Two of three ways
+    are closed, and some are both."""
+    w = layers.layer(spark, sf_dir, layers.WAY_NODES, "lineitem")
+    ways = w.groupBy("way_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "node_id"))), lambda p: p["node_id"]).alias("nodes"))
+    ways = ways.select("way_id", F.when(F.col("way_id") % 3 > 0, F.concat("nodes", F.slice("nodes", 1, 1))).otherwise(F.col("nodes")).alias("nodes"), (F.col("way_id") % 2 == 0).alias("is_building"))
+    members = w.where("way_id % 5 = 0").select("way_id")
+    return graph.neighbour_rings(ways, members).select("way_id", F.size("nodes").cast("long").alias("n_nodes"), "is_building", F.coalesce("member", F.lit(False)).alias("member"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (edge_sobel, edge_threshold, edge_support, tpr_fpr_by_threshold, confusion_matrix, calibration_bins, decision_time, decision_state, review_filters, shared_nodes, line_end_direction, keep_nodes, way_rings, prerequisites, dependency_order, alignment_groups, preview_diff, corner_owner, session_merge, geometry_functions)
+    for f in (edge_sobel, edge_threshold, edge_support, tpr_fpr_by_threshold, confusion_matrix, calibration_bins, decision_time, decision_state, review_filters, shared_nodes, neighbour_rings, line_end_direction, keep_nodes, way_rings, prerequisites, dependency_order, alignment_groups, preview_diff, corner_owner, session_merge, geometry_functions)
 }
 
 _SOBEL = f"""
@@ -195,6 +205,8 @@ _PRE = f"""c AS ({_CANDS.format(part="part")}), t AS ({_TOUCHED.format(lineitem=
 pre AS (SELECT DISTINCT t.id AS candidate, p.id AS prerequisite, p.match_class = 'IDENTISCH' AS align FROM t JOIN c ON c.id = t.id AND c.match_class = 'NEU' JOIN c p ON p.partner = t.handle AND p.match_class IN ('ABWEICHEND', 'IDENTISCH') WHERE p.match_class = 'ABWEICHEND' OR p.hausdorff > 0.05e0)"""
 
 ORACLES = {
+    "neighbour_rings": f"""WITH n AS ({layers.oracle(layers.WAY_NODES)}), w AS (SELECT way_id, count(*) + (way_id % 3 > 0)::INT AS n_nodes, way_id % 3 > 0 OR arg_min(node_id, pos) = arg_max(node_id, pos) AS closed FROM n GROUP BY way_id)
+        SELECT way_id, n_nodes::BIGINT AS n_nodes, way_id % 2 = 0 AS is_building, way_id % 5 = 0 AS member FROM w WHERE closed AND n_nodes >= 4 AND (way_id % 2 = 0 OR way_id % 5 = 0)""",
     "edge_sobel": f"WITH {_SOBEL} SELECT vec_id, i::BIGINT AS i, gx::DOUBLE AS gx, gy::DOUBLE AS gy, round(mag, 6) AS mag FROM m",
     "edge_threshold": f"WITH {_SOBEL} SELECT vec_id, round(threshold, 6) AS threshold FROM th",
     "edge_support": f"""WITH {_SOBEL},
