@@ -52,12 +52,14 @@ def split(official: DataFrame, areas: DataFrame, params: Params = DEFAULTS) -> D
     over = lambda e: (F.least(e["ax"], e["bx"]) <= F.col("x1")) & (F.greatest(e["ax"], e["bx"]) >= F.col("x0")) & (F.least(e["ay"], e["by"]) <= F.col("y1")) & (F.greatest(e["ay"], e["by"]) >= F.col("y0"))
     bordered = F.exists(G.edges(F.col("a_ring")), over)
     told = hit.withColumn("bordered", bordered).withColumn("within", ~F.col("bordered") & G.contains_point(F.col("a_ring"), F.col("x0"), F.col("y0")))
-    told = cut_lineage(told.where("bordered or within").select("id", "shape", "a_ring", "within"))
+    told = cut_lineage(told.where("bordered or within").select("id", "shape", *gridjoin.BOX, "a_ring", "within"))
     inside = told.where("within").select("id").distinct()
-    none = F.array().cast("array<array<double>>")
-    near = told.join(inside, "id", "left_anti").groupBy("id").agg(F.first("shape").alias("shape"), F.collect_set("a_ring").alias("rings"))
-    near = cut_lineage(near.select("id", "shape", F.transform("rings", lambda r: F.struct(r.alias("outer"), none.alias("holes"))).alias("areas")))
-    left = arrange.difference(near, ["id"], "shape", "areas").select("id")
+    near = told.join(inside, "id", "left_anti").groupBy("id").agg(F.first("shape").alias("shape"), F.collect_set("a_ring").alias("rings"), *[F.first(c).alias(c) for c in gridjoin.BOX])
+    # Rays go to the right, so sides above, below and to the left of a footprint tell nothing about it.
+    seen = lambda e: (F.least(e["ay"], e["by"]) <= F.col("y1") + 1) & (F.greatest(e["ay"], e["by"]) >= F.col("y0") - 1) & (F.greatest(e["ax"], e["bx"]) >= F.col("x0") - 1)
+    sides = F.filter(F.flatten(F.transform("rings", lambda r: arrange.tagged_edges(r, "array<double>", "b"))), seen)
+    near = cut_lineage(near.select("id", F.concat(arrange.tagged_edges(F.col("shape"), near.schema["shape"].dataType.simpleString(), "a"), sides).alias("edges")))
+    left = arrange.polygons(near, ["id"], "edges", lambda x, y: (x != 0) & (y == 0)).select("id")
     covered = inside.unionByName(near.select("id").join(left, "id", "left_anti")).withColumn("covered", F.lit(True))
     # Footprints without an edge leave nothing and lie nowhere.
     sound = F.size(F.col(shape)) > 0
