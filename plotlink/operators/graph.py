@@ -17,9 +17,11 @@ def shared_nodes(way_nodes: DataFrame) -> DataFrame:
 def neighbour_rings(ways: DataFrame, members: DataFrame) -> DataFrame:
     """Closed ways of four nodes or more that are buildings or member outlines of a building relation.
 
-    ways: way_id, nodes (ordered ids), is_building; members: way_id.
+    ways: way_id, nodes (ordered ids), is_building; closed as well where nodes can share a place, as their order does not tell
+    then whether the way's ends meet. members: way_id.
     """
-    closed = ways.where((F.size("nodes") >= 4) & (F.element_at("nodes", 1) == F.element_at("nodes", -1)))
+    meet = F.col("closed") if "closed" in ways.columns else F.element_at("nodes", 1) == F.element_at("nodes", -1)
+    closed = ways.where((F.size("nodes") >= 4) & meet)
     return closed.join(members.select("way_id").distinct().withColumn("member", F.lit(True)), "way_id", "left").where(F.col("is_building") | F.col("member"))
 
 

@@ -168,10 +168,14 @@ def geometry_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def neighbour_rings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ways that a new outline may touch: closed, of four nodes or more, a building or part of a building relation. Two of three ways
-    are closed, and some are both."""
-    w = layers.layer(spark, sf_dir, layers.WAY_NODES, "lineitem")
-    ways = w.groupBy("way_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "node_id"))), lambda p: p["node_id"]).alias("nodes"))
-    ways = ways.select("way_id", F.when(F.col("way_id") % 3 > 0, F.concat("nodes", F.slice("nodes", 1, 1))).otherwise(F.col("nodes")).alias("nodes"), (F.col("way_id") % 2 == 0).alias("is_building"))
+    are closed, and some are both. Where nodes share a way's first or last place, the one that the table has first is its end."""
+    w = layers.placed_layer(spark, sf_dir, layers.WAY_NODES.replace(" FROM", ", at FROM"), "lineitem")
+    p = w.groupBy("way_id").agg(F.sort_array(F.collect_list(F.struct("pos", "at", "node_id"))).alias("p"))
+    known = p.select("way_id", F.transform("p", lambda n: n["node_id"]).alias("nodes"), F.filter("p", lambda n: n["pos"].isNotNull() & n["node_id"].isNotNull()).alias("p"))
+    last = known.select("*", F.filter("p", lambda n: n["pos"] == F.try_element_at("p", F.lit(-1))["pos"]).alias("last"))
+    meet = F.coalesce(F.try_element_at("p", F.lit(1))["node_id"] == F.try_element_at("last", F.lit(1))["node_id"], F.lit(False))
+    made = F.col("way_id") % 3 > 0
+    ways = last.select("way_id", F.when(made, F.concat("nodes", F.slice("nodes", 1, 1))).otherwise(F.col("nodes")).alias("nodes"), (made | meet).alias("closed"), (F.col("way_id") % 2 == 0).alias("is_building"))
     members = w.where("way_id % 5 = 0").select("way_id")
     return graph.neighbour_rings(ways, members).select("way_id", F.size("nodes").cast("long").alias("n_nodes"), "is_building", F.coalesce("member", F.lit(False)).alias("member"))
 

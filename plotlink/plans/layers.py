@@ -44,6 +44,11 @@ def layer(spark: SparkSession, sf_dir: str, sql: str, *tables: str) -> DataFrame
     return spark.sql(sql, **{t: _table(spark, sf_dir, t) for t in tables})
 
 
+def placed_layer(spark: SparkSession, sf_dir: str, sql: str, table: str) -> DataFrame:
+    """A layer whose SELECT may use `at`: the row's place in the stored table, which settles ties as the table has them."""
+    return spark.sql(sql, **{table: _table(spark, sf_dir, table).withColumn("at", F.struct("_metadata.file_path", "_metadata.row_index"))})
+
+
 def with_ring(df: DataFrame) -> DataFrame:
     return df.withColumn("ring", G.rectangle(F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1")))
 
