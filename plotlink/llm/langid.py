@@ -23,8 +23,10 @@ from plotlink.llm import common, textkernel
 DIMENSIONS = 1024
 SEED = 20240229
 CLASS_BITS = 7
-#: Letters whose trigrams are bundled in one step.
+#: Letters whose trigrams are bundled in one step, bytes of text that are cut into trigrams at once, and trigrams whose vectors
+#: are made at once. The peak of a task's memory is set by these (a longer text is cut at once, some 60 bytes a letter).
 STEP_LETTERS, STEP_ROWS = 1 << 20, 512
+CUT_BYTES, VECTORS = 1 << 19, 2048
 UNDETERMINED = "und"
 #: Cosine below which no language is told: this share of this quantile, in length classes with so many labelled documents.
 SLACK, LOW_QUANTILE, CLASS_ROWS = 0.5, 0.01, 50
@@ -47,26 +49,31 @@ def _classes() -> np.ndarray:
 @functools.cache
 def _letters() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Vectors of the letter classes at the first, second and third place of a trigram."""
-    base = np.random.RandomState(SEED).choice(np.array([-1, 1], np.float32), (1 << CLASS_BITS, DIMENSIONS))
+    base = np.random.RandomState(SEED).choice(np.array([-1, 1], np.int8), (1 << CLASS_BITS, DIMENSIONS))
     return np.roll(base, 2, axis=1), np.roll(base, 1, axis=1), base
 
 
 def trigram_vectors(codes: np.ndarray) -> np.ndarray:
     first, second, third = _letters()
     mask = (1 << CLASS_BITS) - 1
-    return first[codes >> 2 * CLASS_BITS] * second[(codes >> CLASS_BITS) & mask] * third[codes & mask]
+    out = first[codes >> 2 * CLASS_BITS]
+    out *= second[(codes >> CLASS_BITS) & mask]
+    out *= third[codes & mask]
+    return out.astype(np.float32)
 
 
 def trigrams(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, last row + 1, trigram codes, their rows): one trigram around each letter of the whole text."""
-    for at, to, raw, offsets in textkernel.pieces(column):
+    for at, to, raw, offsets in textkernel.pieces(column, CUT_BYTES):
         points = np.frombuffer(raw.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
-        begins = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])[offsets]
-        rows = np.repeat(np.arange(to - at), np.diff(begins))
+        begins = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80, dtype=np.int32)])[offsets]
+        rows = np.repeat(np.arange(to - at, dtype=np.int32), np.diff(begins))
         marks = np.zeros(len(points) + (to - at) + 1, np.int32)  # a boundary before every row and after the last
-        marks[np.arange(len(points)) + rows + 1] = _classes()[points]
-        owner = np.full(len(marks), -1)
-        owner[np.arange(len(points)) + rows + 1] = rows
+        places = np.arange(1, len(points) + 1, dtype=np.int32) + rows
+        marks[places] = _classes()[points]
+        owner = np.full(len(marks), -1, np.int32)
+        owner[places] = rows
+        del points, places, rows
         keep = marks > 0
         keep[1:] |= marks[:-1] > 0
         keep[0] = True
@@ -94,7 +101,7 @@ def _bundle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes, n = batch.column(1).to_numpy(), batch.column(2).to_numpy().astype(np.float64)
         for lang in sorted(set(langs)):
             mine = np.flatnonzero(langs == lang)
-            vector = sum(n[part] @ trigram_vectors(codes[part]) for part in np.array_split(mine, -(-len(mine) // 4096)))
+            vector = sum(n[part] @ trigram_vectors(codes[part]) for part in np.array_split(mine, -(-len(mine) // VECTORS)))
             yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([vector.tolist()], pa.list_(pa.float64()))], names=["lang", "vector"])
 
 
@@ -128,9 +135,9 @@ def _scorer(prototypes: dict[str, list[float]]):
                 seen, where = np.unique(codes[part], return_inverse=True)
                 if len(seen):
                     documents = np.zeros((high - low, DIMENSIONS), np.float32)
-                    for c in range(0, len(seen), 8192):
-                        inside = (where >= c) & (where < c + 8192)
-                        width = min(8192, len(seen) - c)
+                    for c in range(0, len(seen), VECTORS):
+                        inside = (where >= c) & (where < c + VECTORS)
+                        width = min(VECTORS, len(seen) - c)
                         counts = np.bincount((rows[part][inside] - low) * width + where[inside] - c, minlength=(high - low) * width)
                         documents += counts.reshape(high - low, width).astype(np.float32) @ trigram_vectors(seen[c : c + width])
                     has = np.flatnonzero(np.diff(row_ends[low : high + 1]))

@@ -45,8 +45,8 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[size]
 
 
-def pieces(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first row, last row + 1, bytes, offsets of the rows in them); nulls are empty."""
+def pieces(column: pa.Array, most: int = PIECE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, last row + 1, bytes, offsets of the rows in them), of at most so many bytes or one row; nulls are empty."""
     column = column.cast(pa.large_binary())
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
@@ -57,7 +57,7 @@ def pieces(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]
     raw = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
     at = 0
     while at < len(column):
-        to = max(at + 1, int(np.searchsorted(offs, offs[at] + PIECE_BYTES, side="right")) - 1)
+        to = max(at + 1, int(np.searchsorted(offs, offs[at] + most, side="right")) - 1)
         yield at, to, raw[offs[at] : offs[to]], offs[at : to + 1] - offs[at]
         at = to
 

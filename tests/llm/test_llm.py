@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -470,6 +471,22 @@ def test_documents_in_no_known_language_go(spark):
     assert langid.drop_undetermined(make(spark, unknown)).count() == len(rows)
 
 
+def test_language_kernels_work_in_bounded_memory():
+    rng = random.Random(3)
+    words = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyzéß") for _ in range(rng.randint(2, 9))) for _ in range(20_000)]
+    texts = [" ".join(rng.choices(words, k=400)) for _ in range(1500)]
+    batch = pa.RecordBatch.from_arrays([pa.array(["xx"] * len(texts)), pa.array(texts)], names=["lang", "text"])
+    langid._classes()
+    tracemalloc.start()
+    try:
+        counted = list(langid._count(iter([batch])))
+        (bundle,) = langid._bundle(iter(counted))
+        (found,) = langid._predict({"xx": bundle.column(1)[0].as_py()})(iter([batch]))
+        assert set(found.column(1).to_pylist()) == {"xx"} and tracemalloc.get_traced_memory()[1] < 80 << 20
+    finally:
+        tracemalloc.stop()
+
+
 def test_document_vectors_are_bundles_of_bound_trigrams():
     column = pa.array(["abca", None, "ab ca"])
     ((_, _, codes, rows),) = langid.trigrams(column)
