@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,8 +31,8 @@ CUT_BYTES, VECTORS = 1 << 19, 2048
 UNDETERMINED = "und"
 #: Cosine below which no language is told: this share of this quantile, in length classes with so many labelled documents.
 SLACK, LOW_QUANTILE, CLASS_ROWS = 0.5, 0.01, 50
-#: The bound is set on about this many labelled documents, dealt by hash.
-CALIBRATION_ROWS = 50_000
+#: Steps in which cosines are counted for the bound.
+SCORE_BINS = 10_000
 
 
 @functools.cache
@@ -182,41 +183,45 @@ def identify(docs: DataFrame) -> DataFrame:
     return predict(docs, prototypes, {"held_out": F.coalesce(fold == 2, F.lit(False))})
 
 
-def _clear(prototypes: dict[str, list[float]], lows: dict[int, float]):
-    """Rows (row, has id, length class, text): the row of those without an id, and of those near enough to a language."""
+def _rate(prototypes: dict[str, list[float]]):
+    """Rows (row, ..., mended text if the row's is not valid) with their cosine in place of the last column; null if there is none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _, rate = _scorer(prototypes)
         for batch in batches:
-            best, score = rate(batch.columns[-1])
-            size, known = batch.columns[-2].to_numpy(), batch.columns[-3].to_numpy(zero_copy_only=False)
-            bound = np.zeros(len(size))
-            for c in sorted(lows):
-                bound[size >= c] = lows[c]
-            keep = pa.array(~known | ((best >= 0) & (score >= bound)))
-            yield pa.RecordBatch.from_arrays(batch.columns[:1], names=["row"]).filter(keep)
+            text, mended = batch.column(0).field("text"), batch.columns[-1]
+            best, score = rate(text if mended.null_count == len(mended) else pc.coalesce(mended, text))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(score, mask=best < 0)], names=[*batch.schema.names[:-1], "score"])
 
     return run
 
 
+def length_bounds(rated: DataFrame) -> dict[int, float]:
+    """Cosine that is enough, by length class, from all rows (size_class, score) whose score is not null.
+
+    The quantile is taken of cosines rounded down to a SCORE_BINS-th, whose counts stand for all rows: at most so many a class.
+    """
+    counts = rated.where("score is not null").groupBy("size_class", F.floor(F.col("score") * SCORE_BINS).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    found = counts.groupBy("size_class").agg(F.sum("n").alias("n"), F.percentile(F.col("bin") / SCORE_BINS, LOW_QUANTILE, F.col("n")).alias("low"))
+    return {r.size_class: SLACK * r.low for r in found.collect() if r.n >= CLASS_ROWS}  # at most 32 classes
+
+
 def drop_undetermined(docs: DataFrame) -> DataFrame:
     """Documents for which a language was found, with all their columns; rows without an id stay.
 
-    A document goes if it has no letter, or if its cosine is below SLACK times the LOW_QUANTILE quantile of about
-    CALIBRATION_ROWS labelled documents of its length class (doubling lengths) that are not held out. A class with fewer
-    than CLASS_ROWS of them has the bound of the class below it, or none. If nothing could be learned, all documents
-    stay. Each row is judged by its own text, also where rows share a doc_id, and filtered in the task that reads it.
+    Learns from all labelled documents. A document goes if it has no letter, or if its cosine is below SLACK times the
+    LOW_QUANTILE quantile of all labelled documents of its length class (doubling lengths). A class with fewer than
+    CLASS_ROWS of them has the bound of the class below it, or none. If nothing could be learned, all documents
+    stay. Each row is judged by its own text, also where rows share a doc_id. Rows are rated once and stored with their cosine.
     """
-    fold = F.pmod(F.crc32(common.utf8_bytes(F.col("doc_id").cast("string"))), F.lit(4))
-    labelled = docs.where((fold != 2) & F.col("lang").isNotNull())
-    prototypes = learn(labelled)
+    prototypes = learn(docs)
     if not prototypes:
         return docs
     size = F.floor(F.log2(F.greatest(F.lit(1), F.length(F.coalesce("text", F.lit("")))).cast("double"))).cast("int")
-    share = min(1.0, CALIBRATION_ROWS / max(1, labelled.count()))
-    dealt = labelled.where(F.pmod(F.xxhash64(F.lit("calibration"), "doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
-    scored = predict(dealt, prototypes, {"size_class": size})
-    found = scored.where(F.col("lang_pred") != UNDETERMINED).groupBy("size_class").agg(F.count(F.lit(1)).alias("n"), F.percentile_approx("score", LOW_QUANTILE, 10_000).alias("low"))
-    lows = {r.size_class: SLACK * r.low for r in found.collect() if r.n >= CLASS_ROWS}  # at most 32 classes
-    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.col("doc_id").isNotNull().alias("has_id"), size.alias("size_class"), F.make_valid_utf8("text").alias("text"))
-    return rows.mapInArrow(_clear(prototypes, lows), rows.select("row").schema).select(*[F.col("row")[c].alias(c) for c in docs.columns])
+    mended = F.when(~F.is_valid_utf8("text"), F.make_valid_utf8("text"))
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.col("doc_id").isNotNull().alias("has_id"), F.col("lang").isNotNull().alias("labelled"), size.alias("size_class"), mended.alias("mended"))
+    rated = common.stored(rows.mapInArrow(_rate(prototypes), rows.drop("mended").withColumn("score", F.lit(None).cast("double")).schema), "language-rated")
+    lows = length_bounds(rated.where("labelled"))
+    bound = F.coalesce(*[F.when(F.col("size_class") >= c, F.lit(lows[c])) for c in sorted(lows, reverse=True)], F.lit(0.0))
+    kept = rated.where(~F.col("has_id") | F.coalesce(F.col("score") >= bound, F.lit(False)))
+    return kept.select(*[F.col("row")[c].alias(c) for c in docs.columns])

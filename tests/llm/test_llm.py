@@ -471,6 +471,19 @@ def test_documents_in_no_known_language_go(spark):
     assert langid.drop_undetermined(make(spark, unknown)).count() == len(rows)
 
 
+def test_language_bounds_come_from_every_labelled_document(spark):
+    rng = random.Random(7)
+    text = lambda letters, n: " ".join("".join(rng.choice(letters) for _ in range(rng.randint(2, 6))) for _ in range(n))
+    known, foreign = "abcde", "qwzxkvj"
+    rows = [(i, text(known, 2), "xx", "s") for i in range(60_000)] + [(100_000 + i, text(known, 80), "xx", "s") for i in range(52)]
+    rows += [(200_000 + i, text(known, 16) + " " + text(foreign, 64), None, "s") for i in range(10)]
+    twos = [i for i in range(300_000, 301_000) if zlib.crc32(str(i).encode()) % 4 == 2][:60]
+    rows += [(i, text("漢字仮名交", 40), "zz", "s") for i in twos]
+    left = {r.doc_id for r in langid.drop_undetermined(make(spark, rows)).collect()}
+    assert set(twos) <= left and set(range(100_000, 100_052)) <= left
+    assert not left & set(range(200_000, 200_010))
+
+
 def test_language_kernels_work_in_bounded_memory():
     rng = random.Random(3)
     words = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyzéß") for _ in range(rng.randint(2, 9))) for _ in range(20_000)]
