@@ -17,6 +17,8 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 #: A side is broadcast only when its stored table has at most this many rows (of a few dozen bytes each).
 BROADCAST_ROWS = 200_000
+#: Bits for each hash in the filter by which rows are parted.
+FILTER_SLOTS = 16
 
 
 #: Tables that this process has written by `stored` and not released.
@@ -111,15 +113,35 @@ def row_hashes(docs: DataFrame) -> list[Column]:
     return [F.xxhash64(*named), F.xxhash64(F.lit("row"), *named)]
 
 
+def parted(rows: DataFrame, named: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """rows (h1, ...) that are surely not named by h1, and the others: all named ones and a few more. Nothing is shuffled.
+
+    A named hash sets one bit of a table of 64-bit words that is broadcast. The table has FILTER_SLOTS bits a hash, but at most
+    BROADCAST_ROWS words: with more hashes than those have room for, more rows are among the others. named: stored tables.
+    """
+    words = max(1, min(BROADCAST_ROWS, -(-named.count() * FILTER_SLOTS // 64)))
+    word, bit = F.pmod(F.shiftright("h1", 6), F.lit(words)), F.col("h1").bitwiseAND(F.lit(63)).cast("int")
+    marks = named.groupBy(word.alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit)).alias("bits"))
+    marks = F.broadcast(stored(marks, "row-marks"))
+    told = rows.withColumn("word", word).join(marks, "word", "left").withColumn("may", F.coalesce(F.bit_get("bits", bit) == 1, F.lit(False)))
+    return told.where(~F.col("may")).select(*rows.columns), told.where("may").select(*rows.columns)
+
+
 def without_rows(docs: DataFrame, dropped: DataFrame, repeated: DataFrame) -> DataFrame:
-    """docs less the rows whose hashes (h1, h2) are in dropped; of the equal rows named in repeated one stays."""
+    """docs less the rows whose hashes (h1, h2) are in dropped; of the equal rows named in repeated one stays.
+
+    Only rows that may be among those named are shuffled with their texts, the others pass where they are. dropped is a stored table.
+    """
     h1, h2 = row_hashes(docs)
-    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), h1.alias("h1"), h2.alias("h2")).join(dropped.select("h1", "h2"), ["h1", "h2"], "left_anti")
     repeated = stored(repeated.select("h1", "h2").distinct(), "repeated-rows")
+    dropped = dropped.select("h1", "h2")
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), h1.alias("h1"), h2.alias("h2"))
+    passed, rows = parted(rows, dropped.unionByName(repeated))
+    rows = rows.join(dropped, ["h1", "h2"], "left_anti")
     if not repeated.isEmpty():
         single, several = rows.join(repeated, ["h1", "h2"], "left_anti"), rows.join(repeated, ["h1", "h2"], "left_semi")
         rows = single.unionByName(several.dropDuplicates(["h1", "h2"]))
-    return rows.select(*[F.col("row")[c].alias(c) for c in docs.columns])
+    return passed.unionByName(rows.select(*passed.columns)).select(*[F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def seeded_hex(seed: str, row_id: Column) -> Column:

@@ -49,6 +49,38 @@ def test_leaks_and_languages_leave_namesakes(spark, namesakes):
     assert left[5, namesakes[3][1], "en"] == 1 and left[5, "12 34", "en"] == 0 and left[None, "12 34", "en"] == 1
 
 
+def shuffled_rows(plan):
+    """Rows that all shuffles of an executed plan have written."""
+    name, below = plan.nodeName(), plan.children()
+    inner = [plan.finalPhysicalPlan()] if name == "AdaptiveSparkPlan" else [plan.plan()] if name.endswith("QueryStage") else [below.apply(i) for i in range(below.size())]
+    return sum(map(shuffled_rows, inner)) + (plan.metrics().apply("shuffleRecordsWritten").value() if name == "Exchange" else 0)
+
+
+@pytest.mark.parametrize("room", [None, 1])
+def test_only_rows_that_may_be_dropped_are_shuffled(spark, monkeypatch, room):
+    """room: words of the filter; with one word nearly all rows are shuffled, and the result is the same."""
+    if room:
+        monkeypatch.setattr(common, "BROADCAST_ROWS", room)
+    rng = random.Random(12)
+    rows = [(i if i % 7 else None, words(rng, 5) if i % 11 else None, "en", "a") for i in range(2000)] + [(3000, "twice", "en", "a")] * 3 + [(3001, "thrice gone", None, "b")] * 2
+    docs = make(spark, rows)
+    h1, h2 = common.row_hashes(docs)
+    hashes = common.stored(docs.select("doc_id", "text", h1.alias("h1"), h2.alias("h2")), "hashes")
+    dropped = common.stored(hashes.where("doc_id % 20 = 3 or doc_id = 3001").select("h1", "h2").distinct(), "dropped")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        left = common.without_rows(docs, dropped, hashes.where("doc_id = 3000"))
+        got = kept(left)
+        moved = shuffled_rows(left._jdf.queryExecution().executedPlan())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    want = Counter(r[:3] for r in rows if r[0] is None or r[0] % 20 != 3 and r[0] < 3000)
+    want[3000, "twice", "en"] = 1
+    assert got == want and left.columns == docs.columns
+    assert moved > 1500 if room else moved < 800
+
+
 @pytest.mark.parametrize(("capacity", "hot", "key"), [(1, 1 << 40, None), (500, 300, None), (1 << 30, 200, "length")])
 def test_index_splits_and_chains(spark, capacity, hot, key):
     rng = random.Random(capacity)
