@@ -252,50 +252,49 @@ def fit_distance(item: np.ndarray, stretch: np.ndarray, most: int) -> tuple[int,
     return int(row.min()), int(row.argmin())
 
 
+def _found(index: ItemIndex, share: float, column: pa.Array) -> Iterator[tuple[int, int, list[tuple[int, int, int, int, int]]]]:
+    """(first row, last row + 1, hits) for pieces of a column; a hit: row, item, distance, words of the item, end word."""
+    size = np.array([len(x) for x in index.items], np.int64)
+    for at, words, counts in word_rows(column):
+        ends = np.cumsum(counts)
+        met, begin, item = index.candidates(words)
+        row = np.searchsorted(ends, met, side="right")
+        begin = np.maximum(begin, (ends - counts)[row])
+        # One look for each row, item and half an item of text covers all matches there.
+        tries = np.unique(np.stack([row, item, begin // np.maximum(size[item] // 2, 1)], axis=1), axis=0)
+        best: dict[tuple[int, int], tuple[int, int]] = {}
+        for r, i, half in tries.tolist():
+            words_i = index.items[i]
+            most = int(share * len(words_i))
+            low = max(int(ends[r] - counts[r]), half * max(len(words_i) // 2, 1) - most)
+            high = min(int(ends[r]), (half + 1) * max(len(words_i) // 2, 1) + len(words_i) + most)
+            d, end = fit_distance(words_i, words[low:high], most)
+            if d <= most and (d, low + end) < best.get((r, i), (most + 1, 0)):
+                best[r, i] = d, low + end
+        yield at, at + len(counts), [(at + r, i, d, len(index.items[i]), end - int(ends[r] - counts[r])) for (r, i), (d, end) in sorted(best.items())]
+
+
 def _match(index: ItemIndex, share: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, items, distances, places, lengths = [], [], [], [], []
-            for at, words, counts in word_rows(batch.column(1)):
-                ends = np.cumsum(counts)
-                met, begin, item = index.candidates(words)
-                row = np.searchsorted(ends, met, side="right")
-                begin = np.maximum(begin, (ends - counts)[row])
-                # One look for each row, item and half an item of text covers all matches there.
-                size = np.array([len(x) for x in index.items], np.int64)[item] if len(item) else item
-                tries = np.unique(np.stack([row, item, begin // np.maximum(size // 2, 1)], axis=1), axis=0)
-                best: dict[tuple[int, int], tuple[int, int]] = {}
-                for r, i, half in tries.tolist():
-                    words_i = index.items[i]
-                    most = int(share * len(words_i))
-                    low = max(int(ends[r] - counts[r]), half * max(len(words_i) // 2, 1) - most)
-                    high = min(int(ends[r]), (half + 1) * max(len(words_i) // 2, 1) + len(words_i) + most)
-                    d, end = fit_distance(words_i, words[low:high], most)
-                    if d <= most and (d, low + end) < best.get((r, i), (most + 1, 0)):
-                        best[r, i] = d, low + end
-                for (r, i), (d, end) in sorted(best.items()):
-                    rows.append(at + r)
-                    items.append(index.ids[i])
-                    distances.append(d)
-                    places.append(end - int(ends[r] - counts[r]))
-                    lengths.append(len(index.items[i]))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(items, pa.int64()), pa.array(distances, pa.int64()), pa.array(lengths, pa.int64()), pa.array(places, pa.int64())], names=["doc_id", "item_id", "distance", "item_words", "end_word"])
+            hits = [hit for _, _, some in _found(index, share, batch.column(1)) for hit in some]
+            rows, items, distances, lengths, places = (pa.array([hit[k] for hit in hits], pa.int64()) for k in range(5))
+            ids = pa.array([index.ids[i] for i in items.to_pylist()], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), ids, distances, lengths, places], names=["doc_id", "item_id", "distance", "item_words", "end_word"])
 
     return run
 
 
 def _clean(index: ItemIndex, share: float):
-    """Rows (row, has id, text) that hold no item; rows without an id stay."""
-    match = _match(index, share)
+    """Rows (row, has id) that hold no item; rows without an id stay. They leave in pieces, so no batch is there twice."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = np.ones(batch.num_rows, bool)
-            numbered = pa.RecordBatch.from_arrays([pa.array(np.arange(batch.num_rows)), batch.columns[-1]], names=["row", "text"])
-            for hit in match(iter([numbered])):
-                keep[hit.column(0).to_numpy()] = False
-            keep |= ~batch.columns[-2].to_numpy(zero_copy_only=False)
-            yield batch.filter(pa.array(keep))
+            keep = ~batch.column(1).to_numpy(zero_copy_only=False)
+            for at, to, hits in _found(index, share, batch.column(0).field("text")):
+                clean = np.ones(to - at, bool)
+                clean[[hit[0] - at for hit in hits]] = False
+                yield batch.slice(at, to - at).filter(pa.array(clean | keep[at:to]))
 
     return run
 
@@ -333,7 +332,7 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     items one after another, and what a block finds goes at once.
     """
     share, repeats = options.get("share", EDIT_SHARE), options.get("repeats", REPEATS)
-    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.col("doc_id").isNotNull().alias("has_id"), "text")
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.col("doc_id").isNotNull().alias("has_id"))
     for index in _blocks(benchmark, share, repeats):
         rows = rows.mapInArrow(_clean(index, share), rows.schema)
     return rows.select(*[F.col("row")[c].alias(c) for c in docs.columns])

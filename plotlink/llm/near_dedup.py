@@ -181,7 +181,7 @@ def _cross_links(percent: int):
 
         def of(k: int) -> np.ndarray:
             if k not in sets:
-                sets[k] = _split(pa.array([group[k][9]], pa.large_string()))[0]
+                sets[k] = next(_split(pa.array([group[k][9]], pa.large_string())))
             return sets[k]
 
         for x in np.flatnonzero(block == i):
@@ -227,21 +227,20 @@ def _confirm(percent: int):
             fresh = np.ones(len(ids), bool)
             fresh[1:] = ids[1:] != ids[:-1]
             sets_a = _split(c["t_a"].take(pa.array(np.flatnonzero(fresh))))
-            at, good = -1, []
+            mine, good = np.zeros(0, np.uint64), []
             for k, other in enumerate(_split(c["t_b"])):
-                at += int(fresh[k])
-                good.append(_linked(sets_a[at], other, percent))
+                mine = next(sets_a) if fresh[k] else mine
+                good.append(_linked(mine, other, percent))
             keep = pa.array(np.flatnonzero(good))
             yield pa.RecordBatch.from_arrays([c["a"].take(keep), c["b"].take(keep)], names=["a", "b"])
 
     return run
 
 
-def _split(column: pa.Array) -> list[np.ndarray]:
-    out: list[np.ndarray] = []
+def _split(column: pa.Array) -> Iterator[np.ndarray]:
+    """Each row's set; those of one piece are there at once."""
     for _, _, values, _, sizes in text_sets(column):
-        out += np.split(values, np.cumsum(sizes)[:-1])
-    return out
+        yield from np.split(values, np.cumsum(sizes)[:-1])
 
 
 def _confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:

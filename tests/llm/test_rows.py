@@ -2,9 +2,11 @@
 
 import hashlib
 import random
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -81,6 +83,37 @@ def test_only_rows_that_may_be_dropped_are_shuffled(spark, monkeypatch, room):
     assert moved > 1500 if room else moved < 800
 
 
+def test_leak_filter_gets_and_gives_texts_once(spark, namesakes):
+    bench = spark.createDataFrame([(1, namesakes[3][1])], "item_id long, text string")
+    plan = decontaminate.drop_leaks(make(spark, namesakes), bench)._jdf.queryExecution().analyzed()
+    while plan.nodeName() != "MapInArrow":
+        plan = plan.children().apply(0)
+    sent = plan.children().apply(0).output()
+    assert [sent.apply(i).name() for i in range(sent.size())] == ["row", "has_id"]
+
+    rng = random.Random(33)
+    held = words(rng, 30)
+    texts = [f"{words(rng, 20)} {held} {words(rng, 20)}" if i % 7 == 0 else None if i % 7 == 1 else words(rng, 600) for i in range(3000)]
+    has_id = [i % 14 > 0 for i in range(3000)]
+    batch = pa.RecordBatch.from_arrays([pa.StructArray.from_arrays([pa.array(range(3100)), pa.array(["x"] * 100 + texts)], ["doc_id", "text"])[100:], pa.array(has_id)], names=["row", "has_id"])
+    left = list(decontaminate._clean(decontaminate.ItemIndex([1], [held]), 0.2)(iter([batch])))
+    assert [r["doc_id"] - 100 for b in left for r in b.column(0).to_pylist()] == [i for i in range(3000) if i % 7 or not has_id[i]]
+    assert batch.nbytes > 6 << 20 and max(b.nbytes for b in left) < 1 << 20
+
+
+@pytest.mark.parametrize("kernel", [decontaminate.word_rows, near_dedup.text_sets])
+def test_memory_of_word_kernels(monkeypatch, kernel):
+    """Beside an 8 MB column, with some words of other scripts, a task needs less than 40 MB."""
+    monkeypatch.setattr(textkernel, "_powers", {})
+    column = pa.array([words(random.Random(k), 400) + " \u4e16\u754c" for k in range(50)] * 60)
+    assert 6 << 20 < column.nbytes < 12 << 20
+    tracemalloc.start()
+    rows = sum(len(x[-1]) for x in kernel(column))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows == len(column) and peak < 40 << 20, peak >> 20
+
+
 @pytest.mark.parametrize(("capacity", "hot", "key"), [(1, 1 << 40, None), (500, 300, None), (1 << 30, 200, "length")])
 def test_index_splits_and_chains(spark, capacity, hot, key):
     rng = random.Random(capacity)
