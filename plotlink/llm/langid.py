@@ -28,6 +28,8 @@ CLASS_BITS = 7
 #: are made at once. The peak of a task's memory is set by these (a longer text is cut at once, some 60 bytes a letter).
 STEP_LETTERS, STEP_ROWS = 1 << 20, 512
 CUT_BYTES, VECTORS = 1 << 19, 2048
+#: Trigrams by language that a task counts before their vectors are bundled.
+COUNTS = 1 << 16
 UNDETERMINED = "und"
 #: Cosine below which no language is told: this share of this quantile, in length classes with so many labelled documents.
 SLACK, LOW_QUANTILE, CLASS_ROWS = 0.5, 0.01, 50
@@ -85,38 +87,83 @@ def trigrams(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarra
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Trigrams by language with their number, over all batches; with more than COUNTS of them, a trigram may come again."""
+    names: dict[str, int] = {}
+    total: dict[int, int] = {}
+
+    def counted() -> pa.RecordBatch:
+        keys = np.fromiter(total, np.int64, len(total))
+        langs = pa.array(list(names), pa.string()).take(pa.array(keys >> 3 * CLASS_BITS))
+        return pa.RecordBatch.from_arrays([langs, pa.array((keys & ((1 << 3 * CLASS_BITS) - 1)).astype(np.int32)), pa.array(list(total.values()), pa.int64())], names=["lang", "code", "n"])
+
     for batch in batches:
-        names, which = np.unique(np.array(batch.column(0).to_pylist(), dtype=object).astype(str), return_inverse=True)
-        total: dict[int, int] = {}
+        which = np.array([names.setdefault(x, len(names)) for x in batch.column(0).to_pylist()], np.int64)
         for at, _, codes, rows in trigrams(batch.column(1)):
-            keys, n = np.unique((which[at + rows].astype(np.int64) << 3 * CLASS_BITS) | codes, return_counts=True)
+            keys, n = np.unique((which[at + rows] << 3 * CLASS_BITS) | codes, return_counts=True)
             for k, c in zip(keys.tolist(), n.tolist(), strict=True):
                 total[k] = total.get(k, 0) + c
-        keys = np.fromiter(total, np.int64, len(total))
-        yield pa.RecordBatch.from_arrays([pa.array(names[keys >> 3 * CLASS_BITS].tolist(), pa.string()), pa.array((keys & ((1 << 3 * CLASS_BITS) - 1)).astype(np.int32)), pa.array(list(total.values()), pa.int64())], names=["lang", "code", "n"])
+            if len(total) >= COUNTS:
+                yield counted()
+                total.clear()
+    if total:
+        yield counted()
+
+
+def _sums(langs: list[str], vectors: list[np.ndarray]) -> pa.RecordBatch:
+    ends = np.arange(len(langs) + 1, dtype=np.int32) * DIMENSIONS
+    return pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.ListArray.from_arrays(ends, np.concatenate(vectors))], names=["lang", "vector"])
 
 
 def _bundle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A batch for each language of a batch: the sum of its trigrams' vectors, each as often as it was counted."""
+    for batch in batches:
+        langs = batch.column(0).dictionary_encode()
+        places = langs.indices.to_numpy()
+        order = np.argsort(places, kind="stable")
+        ends = np.searchsorted(places[order], np.arange(len(langs.dictionary) + 1))
+        codes, n = batch.column(1).to_numpy()[order], batch.column(2).to_numpy()[order].astype(np.float64)
+        for lang, low, high in zip(langs.dictionary.to_pylist(), ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+            parts = [slice(at, min(at + VECTORS, high)) for at in range(low, high, VECTORS)]
+            yield _sums([lang], [sum(n[part] @ trigram_vectors(codes[part]) for part in parts)])
+
+
+def _total(batches: Iterator[pa.RecordBatch], most: int | None = None) -> Iterator[pa.RecordBatch]:
+    """Vectors summed by language, STEP_ROWS of them in a batch; with most, at most so many are held and a language may come again."""
+    sums: dict[str, np.ndarray] = {}
+
+    def summed() -> Iterator[pa.RecordBatch]:
+        langs = sorted(sums)
+        for at in range(0, len(langs), STEP_ROWS):
+            part = langs[at : at + STEP_ROWS]
+            yield _sums(part, [sums.pop(x) for x in part])
+
     for batch in batches:
-        langs = np.array(batch.column(0).to_pylist(), dtype=object)
-        codes, n = batch.column(1).to_numpy(), batch.column(2).to_numpy().astype(np.float64)
-        for lang in sorted(set(langs)):
-            mine = np.flatnonzero(langs == lang)
-            vector = sum(n[part] @ trigram_vectors(codes[part]) for part in np.array_split(mine, -(-len(mine) // VECTORS)))
-            yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([vector.tolist()], pa.list_(pa.float64()))], names=["lang", "vector"])
+        for lang, vector in zip(batch.column(0).to_pylist(), batch.column(1).flatten().to_numpy().reshape(-1, DIMENSIONS), strict=True):
+            sums[lang] = sums[lang] + vector if lang in sums else vector.copy()
+            if most and len(sums) >= most:
+                yield from summed()
+    yield from summed()
 
 
-def learn(labelled: DataFrame) -> dict[str, list[float]]:
-    """Prototypes by language, from all rows (lang, text) whose lang is not null.
+def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return _total(_bundle(_count(batches)), STEP_ROWS)
+
+
+def profiles(labelled: DataFrame) -> DataFrame:
+    """lang and vector: the sum of the vectors of all trigrams of all rows (lang, text) whose lang is not null.
 
-    Trigrams are counted over the whole table; only one vector a language comes to the driver.
+    A task sums its own rows, so what is shuffled is a vector a language and task, and the task that adds a language's vectors
+    up reads one from each. Sums are of whole numbers and exact in any order. No Spark aggregate takes part: each of
+    its tasks would take a page of tens of MB for a few rows, and with many shuffle partitions these make the heap grow.
     """
-    counts = labelled.where("lang is not null").select("lang", F.make_valid_utf8("text").alias("text")).mapInArrow(_count, "lang string, code int, n long")
-    profile = counts.groupBy("lang", "code").agg(F.sum("n").alias("n"))
-    parts = profile.mapInArrow(_bundle, "lang string, vector array<double>")
-    sums = parts.select("lang", F.posexplode("vector")).groupBy("lang", "pos").agg(F.sum("col").alias("v"))
-    rows = sums.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("pos", "v"))).alias("vector")).collect()
-    return {r.lang: [x.v for x in r.vector] for r in rows}
+    texts = labelled.where("lang is not null").select("lang", F.make_valid_utf8("text").alias("text"))
+    parts = texts.mapInArrow(_profile, "lang string, vector array<double>")
+    return parts.repartition("lang").mapInArrow(_total, "lang string, vector array<double>")
+
+
+def learn(labelled: DataFrame) -> dict[str, list[float]]:
+    """Prototypes by language, from all rows (lang, text) whose lang is not null; only one vector a language comes to the driver."""
+    return {r.lang: r.vector for r in profiles(labelled).collect()}
 
 
 def _scorer(prototypes: dict[str, list[float]]):

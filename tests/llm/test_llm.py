@@ -500,6 +500,39 @@ def test_language_kernels_work_in_bounded_memory():
         tracemalloc.stop()
 
 
+def test_languages_are_learned_without_aggregates_of_spark(spark):
+    rng = random.Random(29)
+    word = lambda letters: "".join(rng.choice(letters) for _ in range(rng.randint(1, 7)))
+    rows = [(i, " ".join(word("abcdeéß漢字") for _ in range(rng.randint(0, 30))), f"l{rng.randrange(700)}" if i % 3 else "xx", "s") for i in range(3000)]
+    docs = make(spark, [*rows, (5000, None, "xx", "s"), (5001, "1 2", "digits", "s"), (5002, "abc", None, "s")]).repartition(7)
+    want = defaultdict(lambda: np.zeros(langid.DIMENSIONS))
+    for lang in {r[2] for r in rows}:
+        for _, _, codes, _ in langid.trigrams(pa.array([t for _, t, x, _ in rows if x == lang])):
+            want[lang] += langid.trigram_vectors(codes).sum(0, dtype=np.float64)
+    profiles = langid.profiles(docs)
+    got = [(r.lang, r.vector) for r in profiles.collect()]
+    assert len(got) == len(dict(got)) and dict(got) == {k: v.tolist() for k, v in want.items() if v.any()} == langid.learn(docs)
+    plan = profiles._jdf.queryExecution().toString()
+    assert "Aggregate" not in plan and "Sort" not in plan
+
+
+def test_trigrams_of_many_letters_are_counted_in_bounded_memory():
+    rng = np.random.RandomState(31)
+    texts = ["".join(map(chr, rng.randint(0x4E00, 0x9F00, 2000))) for _ in range(500)]
+    batch = pa.RecordBatch.from_arrays([pa.array(["zh", "ja"] * 250), pa.array(texts)], names=["lang", "text"])
+    langid._classes()
+    tracemalloc.start()
+    try:
+        counted = list(langid._count(iter([batch])))
+        assert sum(sum(x.column(2).to_pylist()) for x in counted) == 500 * 2000 and len(counted) > 1
+        del counted
+        tracemalloc.reset_peak()
+        (sums,) = langid._profile(iter([batch]))
+        assert sums.column(0).to_pylist() == ["ja", "zh"] and tracemalloc.get_traced_memory()[1] < 80 << 20
+    finally:
+        tracemalloc.stop()
+
+
 def test_document_vectors_are_bundles_of_bound_trigrams():
     column = pa.array(["abca", None, "ab ca"])
     ((_, _, codes, rows),) = langid.trigrams(column)
