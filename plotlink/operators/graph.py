@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plotlink.operators.scratch import cut_lineage
+from plotlink.operators.scratch import cut_lineage, spread
 from plotlink.params import DEFAULTS, Params
 
 
@@ -39,24 +39,24 @@ def line_directions(way_nodes: DataFrame, buildings: DataFrame, blocked: DataFra
     relations hold. A node that another building uses, or from which lines leave in several directions, has none.
     Neighbours that belong to the building itself run along its wall and do not count.
     """
-    order = Window.partitionBy("way_id").orderBy("pos")
-    w = way_nodes.select("way_id", "pos", "node_id").withColumn("before", F.lag("node_id").over(order)).withColumn("after", F.lead("node_id").over(order))
-    ends = w.groupBy("way_id").agg(F.min_by("node_id", "pos").alias("head"), F.max_by("node_id", "pos").alias("tail"), F.min_by("after", "pos").alias("second"), F.max_by("before", "pos").alias("last_but_one"))
-    w = w.join(ends, "way_id")
-    closed = F.col("head") == F.col("tail")
-    w = w.withColumn("before", F.coalesce("before", F.when(closed, F.col("last_but_one")))).withColumn("after", F.coalesce("after", F.when(closed, F.col("second"))))
     b = buildings.select("way_id").distinct().withColumn("is_building", F.lit(True))
-    refs = w.join(b, "way_id", "left").select(F.col("way_id").alias("ref"), "node_id", "before", "after", F.coalesce("is_building", F.lit(False)).alias("ref_building"))
-    own = way_nodes.select("way_id", "node_id").join(b.select("way_id"), "way_id", "left_semi").distinct()
-    pairs = own.join(refs, "node_id").where(F.col("ref") != F.col("way_id"))
+    lists = way_nodes.where("way_id is not null").groupBy("way_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "node_id"))), lambda p: p["node_id"]).alias("nodes"))
+    lists = cut_lineage(lists.join(spread(b), "way_id", "left").select("way_id", "nodes", F.coalesce("is_building", F.lit(False)).alias("is_building")))
+    own = lists.where("is_building").select("way_id", F.explode(F.array_distinct("nodes")).alias("node_id"))
+    # Only nodes of a single building can have a direction, so each use by a line meets one building, however many share a node.
+    sole = own.groupBy("node_id").agg(F.min("way_id").alias("way_id"), F.count(F.lit(1)).alias("n")).where("n = 1 and node_id is not null").drop("n")
     if blocked is not None:
-        pairs = pairs.join(blocked.select("node_id").distinct(), "node_id", "left_anti")
-    steps = pairs.select("way_id", "node_id", "ref_building", F.explode(F.array("before", "after")).alias("from_node"))
+        sole = sole.join(spread(blocked.select("node_id").distinct()), "node_id", "left_anti")
+    size, at = F.size("nodes"), lambda k: F.get("nodes", k)
+    closed = at(F.lit(0)) == at(size - 1)
+    beside = lambda node, k: F.struct(node.alias("node_id"), F.coalesce(at(k - 1), F.when(closed, at(size - 2))).alias("before"), F.coalesce(at(k + 1), F.when(closed, at(F.lit(1)))).alias("after"))
+    uses = lists.where("not is_building").select(F.explode(F.transform("nodes", beside)).alias("r")).select("r.*").distinct()
+    steps = uses.join(spread(sole), "node_id").select("way_id", "node_id", F.explode(F.array("before", "after")).alias("from_node"))
     wall = own.select("way_id", F.col("node_id").alias("from_node"), F.lit(True).alias("on_wall"))
-    steps = steps.join(wall, ["way_id", "from_node"], "left")
+    steps = steps.join(spread(wall), ["way_id", "from_node"], "left")
     usable = F.when(F.col("on_wall").isNull() & (F.col("from_node") != F.col("node_id")), F.col("from_node"))
-    g = steps.groupBy("way_id", "node_id").agg(F.max("ref_building").alias("building_there"), F.count_distinct(usable).alias("directions"), F.min(usable).alias("from_node"))
-    return g.where(~F.col("building_there") & (F.col("directions") == 1)).select("way_id", "node_id", "from_node")
+    g = steps.groupBy("way_id", "node_id").agg(F.min(usable).alias("from_node"), F.max(usable).alias("other"))
+    return g.where("from_node = other").select("way_id", "node_id", "from_node")
 
 
 def keep_nodes(way_nodes: DataFrame, buildings: DataFrame, tagged: DataFrame, directions: DataFrame, members: DataFrame | None = None) -> DataFrame:

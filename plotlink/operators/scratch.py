@@ -28,3 +28,9 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     path = shared_path(df.sparkSession, "round")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df as a side of a join that is dealt out by the key, never sent to every task: Spark takes a side for small by its files, and
+    does not see what explodes, groups and compression hide."""
+    return df.hint("merge")

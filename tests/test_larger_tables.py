@@ -3,6 +3,7 @@
 import duckdb
 import pytest
 
+from plotlink.operators import graph
 from plotlink.plans import catalogue
 
 
@@ -29,3 +30,36 @@ def parts(low, high, step=1):
 
 def test_session_counts_far_north(agrees):
     assert agrees("session_counts", part=parts(23_900, 24_100))
+
+
+def most_rows(df):
+    """The most rows that an operator of the last step gave out."""
+    df.collect()
+
+    def walk(plan):
+        for inner in ("executedPlan", "plan"):
+            if type(plan).__name__ == "JavaObject" and plan.nodeName() in ("AdaptiveSparkPlan", "ShuffleQueryStage", "BroadcastQueryStage", "ResultQueryStage") and hasattr(plan.getClass(), "getMethod"):
+                try:
+                    yield from walk(getattr(plan, inner)())
+                    return
+                except Exception:  # the other kind of plan
+                    continue
+        rows = plan.metrics().get("numOutputRows")
+        yield rows.get().value() if rows.isDefined() else 0
+        children = plan.children()
+        for k in range(children.size()):
+            yield from walk(children.apply(k))
+
+    return max(walk(df._jdf.queryExecution().executedPlan()))
+
+
+def test_many_ways_at_a_node(spark):
+    """A node that thousands of buildings and lines share has no direction, and its pairs are not made."""
+    ways = spark.range(3000).selectExpr("id AS way_id", "explode(array(0L, id + 10)) AS node_id").selectExpr("way_id", "CASE WHEN node_id = 0 THEN 0 ELSE 1 END AS pos", "node_id")
+    ways = ways.unionByName(spark.createDataFrame([(9001, 0, 11), (9001, 1, 7)], "way_id long, pos int, node_id long"))
+    d = graph.line_directions(ways, ways.where("way_id < 1500").select("way_id"))
+    assert [tuple(r) for r in d.collect()] == [(1, 11, 7)]
+    assert most_rows(d) < 20_000
+    kept = graph.keep_nodes(ways, ways.where("way_id < 1500").select("way_id"), ways.limit(0).select("node_id"), d)
+    assert {r["mode"]: r["count"] for r in kept.groupBy("mode").count().collect()} == {"fixed": 1500, "sliding": 1}
+    assert most_rows(kept) < 20_000
