@@ -62,15 +62,15 @@ def line_directions(way_nodes: DataFrame, buildings: DataFrame, blocked: DataFra
 def keep_nodes(way_nodes: DataFrame, buildings: DataFrame, tagged: DataFrame, directions: DataFrame, members: DataFrame | None = None) -> DataFrame:
     """way_id, node_id, mode of building nodes that must stay connected: sliding (a single line ends there),
     on_outline (tagged, used by this building alone) or fixed. members: node_id of nodes that relations hold, which keeps them too."""
-    n_refs = way_nodes.groupBy("node_id").agg(F.count_distinct("way_id").alias("n_ways"))
-    own = way_nodes.select("way_id", "node_id").join(buildings.select("way_id").distinct(), "way_id", "left_semi").distinct()
+    n_refs = way_nodes.groupBy("node_id").agg((F.min("way_id") != F.max("way_id")).alias("several"))
+    own = way_nodes.select("way_id", "node_id").join(spread(buildings.select("way_id").distinct()), "way_id", "left_semi").distinct()
     d = directions.select("way_id", "node_id", F.lit(True).alias("slides"))
-    k = own.join(n_refs, "node_id").join(tagged.select("node_id").distinct().withColumn("tagged", F.lit(True)), "node_id", "left").join(d, ["way_id", "node_id"], "left")
+    k = own.join(spread(n_refs), "node_id").join(spread(tagged.select("node_id").distinct().withColumn("tagged", F.lit(True))), "node_id", "left").join(spread(d), ["way_id", "node_id"], "left")
     if members is None:
-        k = k.where((F.col("n_ways") > 1) | F.col("tagged"))
+        k = k.where(F.col("several") | F.col("tagged"))
     else:
-        k = k.join(members.select("node_id").distinct().withColumn("member", F.lit(True)), "node_id", "left").where((F.col("n_ways") > 1) | F.col("tagged") | F.col("member"))
-    mode = F.when(F.col("slides"), "sliding").when(F.col("tagged") & (F.col("n_ways") == 1), "on_outline").otherwise("fixed")
+        k = k.join(spread(members.select("node_id").distinct().withColumn("member", F.lit(True))), "node_id", "left").where(F.col("several") | F.col("tagged") | F.col("member"))
+    mode = F.when(F.col("slides"), "sliding").when(F.col("tagged") & ~F.col("several"), "on_outline").otherwise("fixed")
     return k.select("way_id", "node_id", mode.alias("mode"))
 
 
