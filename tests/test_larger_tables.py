@@ -63,3 +63,11 @@ def test_many_ways_at_a_node(spark):
     kept = graph.keep_nodes(ways, ways.where("way_id < 1500").select("way_id"), ways.limit(0).select("node_id"), d)
     assert {r["mode"]: r["count"] for r in kept.groupBy("mode").count().collect()} == {"fixed": 1500, "sliding": 1}
     assert most_rows(kept) < 20_000
+
+
+@pytest.mark.parametrize("name", ["corner_owner", "free_positions", "same_corners", "keep_relaxed", "touching_pairs", "alignment_edges", "alignment_condensed", "alignment_members", "group_corner_moves"])
+def test_sides_are_dealt_out(spark, tmp_path, name):
+    """No side of a join whose size Spark can't tell from the files is sent whole to every task."""
+    duckdb.sql(f"COPY ({parts(0, 60)}) TO '{tmp_path}/part.parquet' (FORMAT parquet)")
+    plan = catalogue.QUERIES[name](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
