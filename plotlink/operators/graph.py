@@ -115,7 +115,7 @@ def reachable(edges: DataFrame, starts: DataFrame, rounds: int = 10_000) -> Data
     seen = starts.select("start", F.col("start").alias("node")).distinct()
     frontier = seen
     for _ in range(rounds):
-        new = frontier.join(edges.select(F.col("src").alias("node"), "dst"), "node").select("start", F.col("dst").alias("node")).distinct().join(seen, ["start", "node"], "left_anti")
+        new = frontier.join(spread(edges.select(F.col("src").alias("node"), "dst")), "node").select("start", F.col("dst").alias("node")).distinct().join(spread(seen), ["start", "node"], "left_anti")
         new = cut_lineage(new)
         if new.isEmpty():
             return seen
@@ -169,7 +169,7 @@ def corner_owners(corners: DataFrame, nodes: DataFrame, most: float) -> DataFram
     n = nodes.select("node_id", F.col("x").alias("nx"), F.col("y").alias("ny"), cell(F.col("x")).alias("gx"), cell(F.col("y")).alias("gy"))
     d = F.hypot(F.col("x") - F.col("nx"), F.col("y") - F.col("ny"))
     key: list[Column] = [F.round("x", 2).alias("kx"), F.round("y", 2).alias("ky")]
-    return c.join(n, ["gx", "gy"]).withColumn("d", d).where(F.col("d") <= most).groupBy(*key).agg(F.min(F.struct("d", "node_id")).alias("m")).select("kx", "ky", "m.node_id", F.col("m.d").alias("dist"))
+    return c.join(spread(n), ["gx", "gy"]).withColumn("d", d).where(F.col("d") <= most).groupBy(*key).agg(F.min(F.struct("d", "node_id")).alias("m")).select("kx", "ky", "m.node_id", F.col("m.d").alias("dist"))
 
 
 def change_preview(before: DataFrame, after: DataFrame, least: float = 0.001) -> DataFrame:
