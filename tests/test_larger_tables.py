@@ -1,9 +1,10 @@
 """Queries on tables whose keys go beyond those of the small ones."""
 
 import duckdb
+import numpy as np
 import pytest
 
-from plotlink.operators import graph
+from plotlink.operators import edits, graph
 from plotlink.plans import catalogue
 
 
@@ -71,3 +72,31 @@ def test_sides_are_dealt_out(spark, tmp_path, name):
     duckdb.sql(f"COPY ({parts(0, 60)}) TO '{tmp_path}/part.parquet' (FORMAT parquet)")
     plan = catalogue.QUERIES[name](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
+def test_uncrossed_streams(spark):
+    """Groups of all sizes, cut by batches, get what swapping one group by itself gives, without a call of Python a group."""
+    rng = np.random.default_rng(1)
+    rows = [(g, c, *map(float, rng.integers(0, 30, 2)), g * 100 + c, *map(float, rng.integers(0, 30, 2)), 0.0) for g in range(120) for c in range(1 + g % 12)]
+    assigned = spark.createDataFrame(rows, "way_id long, corner long, x double, y double, node_id long, nx double, ny double, d double")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        out = edits.uncrossed(assigned)
+        got = {(r.way_id, r.corner): (r.node_id, r.nx, r.ny, r.d) for r in out.collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = {}
+    for g in range(120):
+        mine = [r for r in rows if r[0] == g]
+        n, far = len(mine), lambda a, b: float(np.hypot(a[2] - b[5], a[3] - b[6]))
+        order = list(range(n))
+        while True:
+            best = max(((far(mine[i], mine[order[i]]) + far(mine[j], mine[order[j]]) - far(mine[i], mine[order[j]]) - far(mine[j], mine[order[i]]), -i, -j) for i in range(n) for j in range(i + 1, n)), default=(0.0,))
+            if best[0] <= 1e-9:
+                break
+            i, j = -best[1], -best[2]
+            order[i], order[j] = order[j], order[i]
+        want |= {(g, mine[i][1]): (*mine[order[i]][4:7], far(mine[i], mine[order[i]])) for i in range(n)}
+    assert got == want
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "MapInPandas" in plan and "FlatMapGroupsInPandas" not in plan
