@@ -3,8 +3,9 @@
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from plotlink.operators import edits, graph
+from plotlink.operators import edits, graph, raster
 from plotlink.plans import catalogue
 
 
@@ -100,3 +101,23 @@ def test_uncrossed_streams(spark):
     assert got == want
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "MapInPandas" in plan and "FlatMapGroupsInPandas" not in plan
+
+
+def test_pictures_are_looked_up_together(spark):
+    """Pictures of several sizes, some without samples, edges or whole pixels: as support says for one place after another."""
+    rng = np.random.default_rng(2)
+    rows = []
+    for k in range(40):
+        w, h = int(rng.integers(3, 20)), int(rng.integers(3, 20))
+        gray = rng.integers(0, 256, w * h).astype(float).tolist() if k % 9 else [30.0] * (w * h)
+        x, y = map(float, rng.integers(0, 4, 2))
+        ring = [x, y, x + 4, y, x + 4, y + 3, x, y + 3, x, y] if k % 7 else None
+        rows.append((k, gray if k != 11 else None, w, h, 0.0, h * 0.5, 0.5, ring, float(rng.integers(-2, 3)) / 4, 0.25, 0.3 if k % 7 else 0.0))
+    images = raster.with_edges(spark.createDataFrame(rows, "id long, gray array<double>, w int, h int, min_x double, max_y double, res double, ring array<double>, offset_x double, offset_y double, overhang double"))
+    got = raster.score_at(images, ["id"])
+    points = F.filter(raster.outline_samples(raster.G.mitred(F.col("ring"), F.col("overhang"))), lambda p: ~p["masked"])
+    want = images.withColumn("points", F.explode(F.array(points))).select("id", raster.support(F.col("points"), F.col("offset_x"), F.col("offset_y"), F.lit(1), raster.DEFAULTS).alias("score"))
+    scores = {r.id: r.score for r in got.collect()}
+    assert scores == {r.id: r.score for r in want.collect()}
+    assert any(v for v in scores.values()) and any(v is None for v in scores.values())
+    assert "ArrowEvalPython" in got._jdf.queryExecution().executedPlan().toString()
