@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plotlink.operators.scratch import cut_lineage
+from plotlink.operators.scratch import cut_lineage, spread
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -19,7 +19,7 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     neighbours are, else they and their smaller ones)."""
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else edges
     least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    joined = both.join(least, "u")
+    joined = both.join(spread(least), "u")
     if large:
         out = joined.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
@@ -45,7 +45,7 @@ def _closure(links: DataFrame, rounds: int = 60) -> DataFrame:
     paths = cut_lineage(links.select("src", "dst").distinct())
     n = paths.count()
     for _ in range(rounds):
-        further = paths.join(paths.select(F.col("src").alias("dst"), F.col("dst").alias("to")), "dst").select("src", F.col("to").alias("dst"))
+        further = paths.join(spread(paths.select(F.col("src").alias("dst"), F.col("dst").alias("to"))), "dst").select("src", F.col("to").alias("dst"))
         paths = cut_lineage(paths.unionByName(further).distinct())
         now = paths.count()
         if now == n:
@@ -65,21 +65,21 @@ def groups(candidates: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFram
     links = cut_lineage(links.where("src <> dst").select("src", "dst").distinct())
     part = cut_lineage(parts(links))
     back = links.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-    one_way = links.join(back, ["src", "dst"], "left_anti").join(part.withColumnRenamed("node", "src"), "src").select("part").distinct()
-    mixed = cut_lineage(part.join(one_way, "part", "left_semi"))
-    inner = links.join(mixed.select(F.col("node").alias("src")), "src", "left_semi")
+    one_way = links.join(spread(back), ["src", "dst"], "left_anti").join(spread(part.withColumnRenamed("node", "src")), "src").select("part").distinct()
+    mixed = cut_lineage(part.join(spread(one_way), "part", "left_semi"))
+    inner = links.join(spread(mixed.select(F.col("node").alias("src"))), "src", "left_semi")
     paths = _closure(inner)
-    mutual = paths.join(paths.select(F.col("dst").alias("src"), F.col("src").alias("dst")), ["src", "dst"], "left_semi")
-    named = mixed.select("node").join(mutual.groupBy(F.col("src").alias("node")).agg(F.min("dst").alias("least")), "node", "left").select("node", F.coalesce("least", "node").alias("grp"))
-    named = cut_lineage(named.unionByName(part.join(mixed.select("node"), "node", "left_anti").select("node", F.col("part").alias("grp"))))
-    members = candidates.select("id").join(named.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("grp", "id").alias("grp"))
+    mutual = paths.join(spread(paths.select(F.col("dst").alias("src"), F.col("src").alias("dst"))), ["src", "dst"], "left_semi")
+    named = mixed.select("node").join(spread(mutual.groupBy(F.col("src").alias("node")).agg(F.min("dst").alias("least"))), "node", "left").select("node", F.coalesce("least", "node").alias("grp"))
+    named = cut_lineage(named.unionByName(part.join(spread(mixed.select("node")), "node", "left_anti").select("node", F.col("part").alias("grp"))))
+    members = candidates.select("id").join(spread(named.withColumnRenamed("node", "id")), "id", "left").select("id", F.coalesce("grp", "id").alias("grp"))
     a, b = named.select(F.col("node").alias("src"), "grp"), named.select(F.col("node").alias("dst"), F.col("grp").alias("other"))
-    takes = paths.join(a, "src").join(b, "dst").where("grp <> other").select("grp", "other").distinct()
+    takes = paths.join(spread(a), "src").join(spread(b), "dst").where("grp <> other").select("grp", "other").distinct()
     return members, takes
 
 
 def moves_with(members: DataFrame, takes: DataFrame, starts: DataFrame) -> DataFrame:
     """start, node of the candidates in starts (start) only: what moves with them, themselves included."""
-    own = starts.select("start").distinct().join(members.withColumnRenamed("id", "start"), "start")
-    all_groups = own.select("start", "grp").unionByName(own.join(takes, "grp").select("start", F.col("other").alias("grp")))
-    return all_groups.join(members.withColumnRenamed("id", "node"), "grp").select("start", "node")
+    own = starts.select("start").distinct().join(spread(members.withColumnRenamed("id", "start")), "start")
+    all_groups = own.select("start", "grp").unionByName(own.join(spread(takes), "grp").select("start", F.col("other").alias("grp")))
+    return all_groups.join(spread(members.withColumnRenamed("id", "node")), "grp").select("start", "node")
