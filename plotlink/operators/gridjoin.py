@@ -13,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plotlink.operators.scratch import spread
 from plotlink.params import DEFAULTS
 
 BOX = ("x0", "y0", "x1", "y1")
@@ -62,10 +63,11 @@ def _with_cells(df: DataFrame, others: Column, size: float, grow: float, larger:
     return out.drop("cell_place", "other_levels", "own_level")
 
 
-def envelope_join(left: DataFrame, right: DataFrame, *, prefix: str = "o_", grow: float = 0.0, size: float = DEFAULTS.cell) -> DataFrame:
+def envelope_join(left: DataFrame, right: DataFrame, *, prefix: str = "o_", grow: float = 0.0, size: float = DEFAULTS.cell, few: bool = False) -> DataFrame:
     """All pairs whose envelopes, the left one grown, meet (touching counts). The right side's columns get the prefix.
 
     Rows with a null, NaN, infinite or inverted envelope meet nothing. `size` is the finest cell.
+    few: the right side is a handful of large envelopes, which may be sent to all tasks, as dealing out by cell would leave few with work.
     """
     a, b = _levelled(left, size, grow), _levelled(right, size, 0.0)
     in_a, in_b = _levels(a), _levels(b)
@@ -77,7 +79,7 @@ def envelope_join(left: DataFrame, right: DataFrame, *, prefix: str = "o_", grow
     here = F.lit(True)
     for axis in "xy":
         here = here & (F.col(f"cell_{axis}") == _cell(F.greatest(F.col(f"{axis}0") - g, F.col(f"{prefix}{axis}0")), _width(F.col("cell_level"), size)))
-    return a.join(b, list(_KEY)).where(meets & here).drop(*_KEY)
+    return a.join(b if few else spread(b), list(_KEY)).where(meets & here).drop(*_KEY)
 
 
 def self_envelope_join(df: DataFrame, key: str, *, prefix: str = "o_", grow: float = 0.0, size: float = DEFAULTS.cell) -> DataFrame:

@@ -48,7 +48,7 @@ def split(official: DataFrame, areas: DataFrame, params: Params = DEFAULTS) -> D
     shape = "polygons" if "polygons" in official.columns else "ring"
     if "ring" not in areas.columns:
         areas = areas.withColumn("ring", G.rectangle(*[F.col(c) for c in gridjoin.BOX]))
-    hit = gridjoin.envelope_join(official.select("id", F.col(shape).alias("shape"), *gridjoin.BOX), areas.select(F.col("ring"), *gridjoin.BOX), prefix="a_", size=params.cell)
+    hit = gridjoin.envelope_join(official.select("id", F.col(shape).alias("shape"), *gridjoin.BOX), areas.select(F.col("ring"), *gridjoin.BOX), prefix="a_", size=params.cell, few=True)
     over = lambda e: (F.least(e["ax"], e["bx"]) <= F.col("x1")) & (F.greatest(e["ax"], e["bx"]) >= F.col("x0")) & (F.least(e["ay"], e["by"]) <= F.col("y1")) & (F.greatest(e["ay"], e["by"]) >= F.col("y0"))
     bordered = F.exists(G.edges(F.col("a_ring")), over)
     told = hit.withColumn("bordered", bordered).withColumn("within", ~F.col("bordered") & G.contains_point(F.col("a_ring"), F.col("x0"), F.col("y0")))
