@@ -250,7 +250,9 @@ def at_outlines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _scene(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pictures of 16 by 16 pixels of half a metre: a bright block of 8 by 6 pixels on dark ground, moved by whole pixels."""
-    c = _cells(spark, sf_dir).withColumn("mx", (F.col("q") % 3 - 1).cast("int")).withColumn("my", (F.col("d") % 3 - 1).cast("int"))
+    # The table is a few bytes a picture, so it is dealt out before they are drawn: its file alone would be one task.
+    c = _cells(spark, sf_dir).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "id")
+    c = c.withColumn("mx", (F.col("q") % 3 - 1).cast("int")).withColumn("my", (F.col("d") % 3 - 1).cast("int"))
     px, py = lambda i: i % 16, lambda i: F.floor(i / 16).cast("int")
     inside = lambda i: (px(i) >= 4 + F.col("mx")) & (px(i) < 12 + F.col("mx")) & (py(i) >= 5 - F.col("my")) & (py(i) < 11 - F.col("my"))
     gray = F.transform(F.sequence(F.lit(0), F.lit(16 * 16 - 1)), lambda i: F.when(inside(i), 200.0).otherwise(30.0))
